@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif, licenses, packing, prefix_counts, secret_scans, url_filters
+from . import decontamination, gif, language_id, licenses, packing, prefix_counts, secret_scans, toxicity, url_filters
 from .common import read
 
 #: Token budget that op3 reports on.
@@ -44,6 +44,24 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(_fold(4) != 2))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(_fold(5) != 0))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _places(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
 
@@ -75,6 +93,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_token_counts, op4_media_columns, op8_secret_scans, op9_license_scans, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_token_counts, op4_media_columns, op5_language_id, op6_toxicity, op8_secret_scans, op9_license_scans, op10_benchmark_decontamination)}
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {}
