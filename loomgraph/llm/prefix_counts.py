@@ -13,6 +13,7 @@ how many tokens a prefix has, or how long a prefix fits a budget, without encodi
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterator
@@ -37,6 +38,7 @@ _LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _MARKS = r"!-&(-/:-@\[-`{-~"
 #: Runs of one class, none of which a longer or shorter text would cut elsewhere (no apostrophes).
 _PLAIN = re.compile(f"[ \n]?(?:[{_LETTERS}]+|[0-9]+|[{_MARKS}]+)+")
+_STEM, _TAIL = re.compile(f"[{_LETTERS}]+"), ",.!?:;%$#&*"
 _RUN = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
 
 
@@ -65,8 +67,7 @@ class PrefixCounter(dict):
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.halves = {a + b: (a, b) for a, b in reversed(pairs)}
         self.follows: dict[tuple[bytes, bytes], bool] = {}
-        self.runs: dict[str, list[int]] = {}
-        self.states: dict[bytes, tuple[bytes, int]] = {}
+        self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
@@ -89,25 +90,23 @@ class PrefixCounter(dict):
         return known
 
     def run(self, raw: bytes) -> list[int]:
-        """Counts at each byte of one pre-token, by dynamic programming over the last token. Pre-tokens that begin
-        alike share the states of their common prefix."""
-        last, count, states = [b""], [0], self.states
-        if len(states) > 2 * self.most:
-            states.clear()
+        """Counts at each byte of one pre-token, by dynamic programming over the last token."""
+        known, follows = self.known, self.follows
+        last, count, begin = [b""], [0], 0
         for end in range(1, len(raw) + 1):
-            state = states.get(raw[:end]) if end <= 64 else None
-            if state is None:
-                begin = end - 1
-                while True:
-                    token = raw[begin:end]
-                    if token in self.known and (not begin or self.may_follow(last[begin], token)):
+            # Only one begin is right. Most often it is that of the last token, which grows, or a new one.
+            for begin in (begin, *range(end - 1, -1, -1)):
+                token = raw[begin:end]
+                if token in known:
+                    if not begin:
                         break
-                    begin -= 1
-                state = token, count[begin] + 1
-                if end <= 64:
-                    states[raw[:end]] = state
-            last.append(state[0])
-            count.append(state[1])
+                    before = last[begin]
+                    if (fits := follows.get((before, token))) is None:
+                        fits = self.may_follow(before, token)
+                    if fits:
+                        break
+            last.append(token)
+            count.append(count[begin] + 1)
         return count[1:]
 
     def encoded(self, text: str) -> int:
@@ -115,24 +114,32 @@ class PrefixCounter(dict):
 
     def at_characters(self, piece: str) -> list[int]:
         """Counts at each code point of one pre-token, which ends where the next byte does not go on with it."""
-        if (counts := self.runs.get(piece)) is None:
-            raw = piece.encode()
-            counts = self.run(raw)
-            if len(raw) > len(piece):
-                counts = [n for i, n in enumerate(counts) if i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80]
-            if len(piece) <= 64:
-                if len(self.runs) >= self.most:
-                    self.runs.clear()
-                self.runs[piece] = counts
+        raw = piece.encode()
+        counts = self.run(raw)
+        if len(raw) > len(piece):
+            counts = [n for i, n in enumerate(counts) if i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80]
         return counts
 
+    def word(self, piece: str) -> bytes:
+        """Changes of the count at the code points of one pre-token."""
+        if (changes := self.words.get(piece)) is None:
+            before, out = 0, []
+            for n in self.at_characters(piece):
+                out.append(n - before & 255)
+                before = n
+            changes = bytes(out)
+            if len(piece) <= 64:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                self.words[piece] = changes
+        return changes
+
     def unit(self, unit: str) -> bytes:
         """Changes of the count at the code points of one unit."""
-        counts, before = [], 0
         if _PLAIN.fullmatch(unit):
-            pieces = _RUN.findall(unit)
-        else:
-            pieces = [unit[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(unit)]
+            return b"".join(map(self.word, _RUN.findall(unit)))
+        counts, before = [], 0
+        pieces = [unit[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(unit)]
         for piece in pieces:
             # a part of 're is tokenized as other text
             inside = [self.encoded(piece[:i]) for i in range(1, len(piece) + 1)] if _CONTRACTION.fullmatch(piece) else self.at_characters(piece)
@@ -145,7 +152,13 @@ class PrefixCounter(dict):
 
     def __missing__(self, key: str) -> bytes:
         if (changes := self.older.get(key)) is None:
-            changes = self.unit(key if key[:1] == "\n" else " " + key)
+            stem = key.rstrip(_TAIL)
+            if _STEM.fullmatch(stem):
+                changes = self.word(" " + stem)
+                if len(stem) < len(key):
+                    changes += self.word(key[len(stem) :])
+            else:
+                changes = self.unit(key if key[:1] == "\n" else " " + key)
         if len(key) <= 64:
             if len(self) >= self.most:
                 self.older = dict(self)
@@ -189,6 +202,7 @@ def prefix_counts(docs: DataFrame, library: str | None = None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _made.get(library) or _made.setdefault(library, PrefixCounter(library))
+        gc.disable()  # the counter's many small objects form no cycles
         for batch in slices(batches):
             found = [counter.changes(x) for x in texts(batch)]
             total = [int(np.frombuffer(x, np.int8).sum(dtype=np.int64)) for x in found]
