@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif, language_id, licenses, packing, prefix_counts, secret_scans, toxicity, url_filters
+from . import decontamination, gif, jaccard_join, language_id, licenses, packing, prefix_counts, secret_scans, toxicity, url_filters
 from .common import read
 
 #: Token budget that op3 reports on.
@@ -62,6 +62,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def _places(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
 
@@ -93,6 +97,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_token_counts, op4_media_columns, op5_language_id, op6_toxicity, op8_secret_scans, op9_license_scans, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_token_counts, op4_media_columns, op5_language_id, op6_toxicity, op7_jaccard_join, op8_secret_scans, op9_license_scans, op10_benchmark_decontamination)}
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {}
