@@ -98,18 +98,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_in_se
     return by_row.select("doc_id", F.col("n_words").cast("long"), F.expr(_COVERED).cast("long").alias("n_hit"), "items", "spans")
 
 
+def _settled(rows: DataFrame, *kept: str) -> DataFrame:
+    """The same hits behind a generator: else a filter on them is pushed below the words, which are then split anew
+    for each position."""
+    return rows.select(*kept, F.explode(F.array("hits")).alias("hits"))
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_in_set: int = MOST_IN_SET) -> DataFrame:
     """docs without the rows that hold a window of an item; all columns stay as they are."""
     packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     rows, _ = matches(packed, benchmark, n, most_in_set)
-    return rows.filter(F.size("hits") == 0).select("row.*")
+    return _settled(rows, "row").filter(F.size("hits") == 0).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_in_set: int = MOST_IN_SET) -> DataFrame:
     """docs with the words inside windows of items, and the separators before them, cut out of text."""
     packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     rows, _ = matches(packed, benchmark, n, most_in_set)
-    parts = rows.withColumn("spans", F.expr("array_sort(transform(hits, h -> struct(h.pos, h.len)))")).withColumn("own", F.expr(f"regexp_extract_all(text, r'{_WORD}', 0)")).withColumn("gap", F.expr(f"split(text, r'{_WORD}')"))
+    parts = _settled(rows, "row", "text").withColumn("spans", F.expr("array_sort(transform(hits, h -> struct(h.pos, h.len)))")).withColumn("own", F.expr(f"regexp_extract_all(text, r'{_WORD}', 0)")).withColumn("gap", F.expr(f"split(text, r'{_WORD}')"))
     kept = "filter(sequence(0, size(own) - 1), i -> NOT exists(spans, s -> i >= s.pos AND i < s.pos + s.len))"
     cut = F.expr(f"concat(array_join(transform({kept}, i -> concat(gap[i], own[i])), ''), gap[size(own)])")
     changed = parts.select("row", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")).alias("cut"))

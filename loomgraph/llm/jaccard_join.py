@@ -382,7 +382,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
 
 def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows with the same doc_id one stays. All
-    columns stay as they are."""
-    first = jaccard_components(docs, n, percent).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """docs without the rows whose component has a smaller doc_id; of rows with the same doc_id one stays, and rows
+    without a doc_id all stay. All columns stay as they are."""
+    first = jaccard_components(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
