@@ -1,0 +1 @@
+"""Knowledge graphs from documents, built and asked with Spark DataFrames."""
