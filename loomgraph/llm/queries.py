@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif, jaccard_join, language_id, licenses, packing, prefix_counts, secret_scans, toxicity, url_filters
+from . import decontamination, gif, jaccard_join, language_id, licenses, oracles, packing, prefix_counts, secret_scans, toxicity, url_filters
 from .common import read
 
 #: Token budget that op3 reports on.
@@ -99,4 +99,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_token_counts, op4_media_columns, op5_language_id, op6_toxicity, op7_jaccard_join, op8_secret_scans, op9_license_scans, op10_benchmark_decontamination)}
 #: DuckDB SQL of the queries that SQL can express over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
