@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, texts, written
+from .common import bounded, checkpoint, slices, texts, written
 from .components import connected_components
 
 #: Groups beyond k + 1, so that a set may have that many empty groups without emitting them.
@@ -207,7 +207,7 @@ def sketches(docs: DataFrame, n: int, sizes: Sizes) -> DataFrame:
             arrays += [pa.array(x, pa.list_(pa.int64())) for x in (own, over)] + [pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], ["doc_id", "n_shingles", "f1", "f2", "own", "over", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, n_shingles long, f1 long, f2 long, own array<long>, over array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(bounded(find, _hashes), "doc_id long, n_shingles long, f1 long, f2 long, own array<long>, over array<long>, sketch binary")
 
 
 def _matrix(parts: list[bytes]) -> np.ndarray:
@@ -299,7 +299,7 @@ def _by_list(members: DataFrame, percent: int, cross: bool) -> DataFrame:
     cut = members.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keyed = cut.select("sig", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"), "f1", "f2", "n_shingles", "sketch", *(["component"] if cross else []))
     dealt = keyed.repartition("sig", "b1", "b2").sortWithinPartitions("sig", "b1", "b2")
-    return dealt.mapInArrow(find, "sig long, a1 long, a2 long, b1 long, b2 long")
+    return dealt.mapInArrow(bounded(find), "sig long, a1 long, a2 long, b1 long, b2 long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
@@ -321,7 +321,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percen
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *keys, pa.array([_signed(h) for h in found], pa.list_(pa.int64()))], ["doc_id", "f1", "f2", "members"])
 
     # A doc_id that stands for several rows may bring other texts along; the fingerprint tells them apart.
-    whole = written(chosen.mapInArrow(sets, "doc_id long, f1 long, f2 long, members array<long>").join(wanted, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["f1", "f2"]))
+    whole = written(chosen.mapInArrow(bounded(sets, _hashes), "doc_id long, f1 long, f2 long, members array<long>").join(wanted, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["f1", "f2"]))
     a = whole.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("doc_id").alias("src"), F.col("members").alias("ma"))
     b = whole.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("doc_id").alias("dst"), F.col("members").alias("mb"))
     both = some.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).withColumn("shared", F.size(F.array_intersect("ma", "mb")))

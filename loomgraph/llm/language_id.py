@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import bounded, slices, texts
 from .sampling import by_hash
 
 ORDER = 3
@@ -55,29 +55,28 @@ class Model:
         symbol[used] = np.arange(1, len(used) + 1)
         size = len(used) + 1
         n = len(self.languages)
-        # order 0 and -1, then each longer order from the rows of the shorter one
-        rows = np.full((1, size, n), 8.0, np.float64)
+        known = [np.unique(np.concatenate([self._split(g, symbol, size, order)[0] for g in self.grams])) for order in range(ORDER + 1)]
+        begins = np.cumsum([0, *map(len, known)])
+        # Rows of order 0 begin with 1/256, those of each longer order with the rows of the shorter one.
+        rows = np.empty((begins[-1], size, n), np.float32)
+        rows[0] = 8.0
         at = np.zeros(1, np.int64)
         for order in range(ORDER + 1):
+            begin = begins[order]
             if order:
-                known = np.unique(np.concatenate([self._split(g, symbol, size, order)[0] for g in self.grams]))
-                shorter = at[known % size ** (order - 1)]
-                wide = np.tile(at, size)  # a context that is not known keeps the row of its suffix
-                wide[known] = len(rows) + np.arange(len(known))
-                rows, begin, at = np.concatenate([rows, rows[shorter]]), len(rows), wide
-            else:
-                known, begin = np.zeros(1, np.int64), 0
+                rows[begin : begins[order + 1]] = rows[at[known[order] % size ** (order - 1)]]
+                at = np.tile(at, size)  # a context that is not known keeps the row of its suffix
+                at[known[order]] = begin + np.arange(len(known[order]))
             for i, (g, c) in enumerate(zip(self.grams, self.counts)):
                 context, follows = self._split(g, symbol, size, order)
                 pair, where = np.unique(context * size + follows, return_inverse=True)
                 seen = np.bincount(where, c)
-                context = pair // size
-                own, of = np.unique(context, return_inverse=True)
+                own, of = np.unique(pair // size, return_inverse=True)
                 total, different = np.bincount(of, seen), np.bincount(of)
-                row = begin + np.searchsorted(known, own)
+                row = begin + np.searchsorted(known[order], own)
                 rows[row, :, i] += np.log2((total + different) / different)[:, None]
                 rows[row[of], pair % size, i] = np.log2((total + different)[of] / seen)
-        return symbol, size, at, rows.astype(np.float32).reshape(-1, n)
+        return symbol, size, at.astype(np.int32), rows.reshape(-1, n)
 
     @staticmethod
     def _split(grams: np.ndarray, symbol: np.ndarray, size: int, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +118,7 @@ def fit(train: DataFrame, most: int = 1500) -> Model:
                 grams, n = count_grams(_PAD.join(t.encode() for t in own))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    found = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(bounded(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (found.column(i).to_numpy() for i in range(3))
     languages = sorted(set(lang.tolist()))
     of = [np.flatnonzero(lang == x) for x in languages]
@@ -161,7 +160,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(per_byte, pa.float64())], [*batch.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(score, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return kept.mapInArrow(bounded(score, _made), f"{fields}, lang_pred string, score double, bits_per_byte double")
 
 
 def accepted(found: DataFrame) -> DataFrame:

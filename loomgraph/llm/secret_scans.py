@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import bounded, slices, texts
 
 KINDS = ("assign", "access", "hex", "novel")
 # The patterns of the contract. Letters of the first one are matched in either case, ASCII alone.
@@ -122,7 +122,7 @@ def scan(docs: DataFrame, dictionary: bytes | None = None, reach: int = 80, leas
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(find, f"{fields}, spans array<struct<kind:string,start:bigint,end:bigint,text:string>>")
+    return kept.mapInArrow(bounded(find), f"{fields}, spans array<struct<kind:string,start:bigint,end:bigint,text:string>>")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
