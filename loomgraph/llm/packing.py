@@ -169,9 +169,8 @@ def pack(
     ranges = _ranges(best_two_fit(counts, capacity))
     spark = docs.sparkSession
     plan = spark.createDataFrame(ranges or [(0, 0, 0, 1, 0, 0)], "length long, first_rank long, n_ranks long, uses long, first_sequence long, first_offset long")
-    # At most capacity * buckets rows, for any corpus.
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row_key", "piece")) - 1
-    ranked = part.select(*names, "row_key", "bucket").withColumn("local", rank).join(F.broadcast(before.drop("n")), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("local"))
+    ranked = part.select(*names, "row_key", "bucket").withColumn("local", rank).join(before.drop("n"), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("local"))
     p = F.broadcast(plan.withColumnRenamed("length", "l"))
     at = F.col("rank") - F.col("first_rank")
     placed = ranked.join(p, (F.col("length") == F.col("l")) & (at >= 0) & (at < F.col("n_ranks")))
