@@ -61,6 +61,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs stay on the executors until the driver collects its garbage; it does so now.
+    For use after a phase that shuffles much."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None:  # stopped before
@@ -81,12 +88,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(at, step)
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """text, and all other columns in one named row: what an operator adds cannot clash with them."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def restored(df: DataFrame, columns: list[str], text: Column | str = "text") -> DataFrame:
+    """The columns that aside() put away, with a text."""
+    text = F.col(text) if isinstance(text, str) else text
+    return df.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns])
+
+
 _trim = None
 
 
-def bounded(find: Callable, *caches: dict) -> Callable:
-    """A function of mapInArrow that gives its memory back when a task ends: workers are kept from stage to stage, and
-    what one operator has cached is of no use to the next one."""
+#: Bytes of a batch that goes to a Python worker; a longer row goes alone.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, find: Callable, schema: str, *caches: dict) -> DataFrame:
+    """mapInArrow with batches bounded by bytes, not by rows alone, and workers that give their memory back.
+
+    Workers are kept from stage to stage; what one operator has cached is of no use to the next one, so the caches
+    are cleared when a task ends. A session with a smaller bound keeps it.
+    """
+    conf = df.sparkSession.conf
+    found = conf.get(_BATCH).rstrip("b")
+    if found.isdigit() and int(found) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -96,7 +126,7 @@ def bounded(find: Callable, *caches: dict) -> Callable:
                 c.clear()
             release()
 
-    return run
+    return df.mapInArrow(run, schema)
 
 
 def release() -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, aside, restored, written
 
 #: Windows of the benchmark that the plan may carry (about 80 bytes each).
 MOST_IN_SET = 50_000
@@ -64,17 +64,18 @@ def _joined(split: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame
     return kept.join(by_row, "row_key", "left").withColumn("hits", F.coalesce(F.expr(verified), F.expr(f"CAST(array() AS {HITS})")))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_in_set: int = MOST_IN_SET) -> tuple[DataFrame, DataFrame]:
-    """docs with row_key, words and hits (array of pos, len, window), and the benchmark's windows."""
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_in_set: int = MOST_IN_SET) -> tuple[DataFrame, DataFrame, bool]:
+    """docs with row_key, words and hits (array of pos, len, window), the benchmark's windows, and whether these are
+    few enough to be sent along."""
     found = written(windows(benchmark, n))
     split = docs.withColumn("row_key", F.monotonically_increasing_id()).withColumn("words", words(F.col("text")))
     sizes = {x.length: x.n for x in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # n rows at most
     if sum(sizes.values()) > most_in_set:
-        return _joined(split, found, sorted(sizes)), found
+        return _joined(split, found, sorted(sizes)), found, False
     by_length: dict[int, list] = {}
     for x in found.select("length", "window", "hash").distinct().collect():
         by_length.setdefault(x.length, []).append(x)
-    return split.withColumn("hits", _in_set(by_length)), found
+    return split.withColumn("hits", _in_set(by_length)), found, True
 
 
 #: Distinct positions in a row's spans (array of pos, len, sorted): each span adds what lies beyond those before it.
@@ -89,10 +90,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_in_se
     and spans (array of pos, len in words). Null texts have no words, items without words no windows. Repeated
     rows stay and count once each; further columns are dropped; an empty table gives no rows.
     """
-    rows, found = matches(docs.select("doc_id", "text"), benchmark, n, most_in_set)
+    rows, found, few = matches(docs.select("doc_id", "text"), benchmark, n, most_in_set)
     hit = rows.select("row_key", "doc_id", F.size("words").alias("n_words"), F.explode_outer("hits").alias("hit"))
     named = found.select(F.col("window"), F.col("item_id").cast("string").alias("item"))
-    joined = hit.withColumn("window", F.col("hit.window")).join(F.broadcast(named) if most_in_set <= MOST_IN_SET else named, "window", "left")
+    joined = hit.withColumn("window", F.col("hit.window")).join(F.broadcast(named) if few else named, "window", "left")
     span = F.when(F.col("item").isNotNull(), F.struct(F.col("hit.pos").alias("pos"), F.col("hit.len").alias("len")))
     by_row = joined.groupBy("row_key", "doc_id", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     return by_row.select("doc_id", F.col("n_words").cast("long"), F.expr(_COVERED).cast("long").alias("n_hit"), "items", "spans")
@@ -106,17 +107,14 @@ def _settled(rows: DataFrame, *kept: str) -> DataFrame:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_in_set: int = MOST_IN_SET) -> DataFrame:
     """docs without the rows that hold a window of an item; all columns stay as they are."""
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    rows, _ = matches(packed, benchmark, n, most_in_set)
-    return _settled(rows, "row").filter(F.size("hits") == 0).select("row.*")
+    rows, _, _ = matches(aside(docs), benchmark, n, most_in_set)
+    return restored(_settled(rows, "row", "text").filter(F.size("hits") == 0), docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_in_set: int = MOST_IN_SET) -> DataFrame:
     """docs with the words inside windows of items, and the separators before them, cut out of text."""
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    rows, _ = matches(packed, benchmark, n, most_in_set)
+    rows, _, _ = matches(aside(docs), benchmark, n, most_in_set)
     parts = _settled(rows, "row", "text").withColumn("spans", F.expr("array_sort(transform(hits, h -> struct(h.pos, h.len)))")).withColumn("own", F.expr(f"regexp_extract_all(text, r'{_WORD}', 0)")).withColumn("gap", F.expr(f"split(text, r'{_WORD}')"))
     kept = "filter(sequence(0, size(own) - 1), i -> NOT exists(spans, s -> i >= s.pos AND i < s.pos + s.len))"
     cut = F.expr(f"concat(array_join(transform({kept}, i -> concat(gap[i], own[i])), ''), gap[size(own)])")
-    changed = parts.select("row", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")).alias("cut"))
-    return changed.select(*[F.col("cut").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return restored(parts, docs.columns, F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))

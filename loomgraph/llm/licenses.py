@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import map_batches, slices, texts
 
 #: Phrases that stand for a label on their own.
 PHRASES = {
@@ -186,7 +186,7 @@ def scan(
 
     own = "row_key long, doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>"
     keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text")
-    read_rows = keyed.mapInArrow(read, own + ", hashes array<long>")
+    read_rows = map_batches(keyed, read, own + ", hashes array<long>")
     # The first hash of each row stands for the document itself, so positions count from 1.
     hits = read_rows.select("*", F.posexplode("hashes").alias("pos", "hash")).drop("hashes").join(F.broadcast(grams), "hash")
     of_doc = F.col("template") == ""
@@ -211,4 +211,4 @@ def scan(
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *made], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "spans", "score"])
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, spans array<struct<template:string,start:long,end:long,share:double>>, score double"
-    return by_doc.drop("row_key").mapInArrow(finish, schema)
+    return map_batches(by_doc.drop("row_key"), finish, schema)

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, slices, texts
+from .common import aside, map_batches, restored, slices, texts
 
 KINDS = ("assign", "access", "hex", "novel")
 # The patterns of the contract. Letters of the first one are matched in either case, ASCII alone.
@@ -122,18 +122,18 @@ def scan(docs: DataFrame, dictionary: bytes | None = None, reach: int = 80, leas
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(bounded(find), f"{fields}, spans array<struct<kind:string,start:bigint,end:bigint,text:string>>")
+    return map_batches(kept, find, f"{fields}, spans array<struct<kind:string,start:bigint,end:bigint,text:string>>")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """docs with every span of text replaced by a mark; overlapping spans get one. All other columns stay."""
-    found = scan(docs, **options)
+    found = scan(aside(docs), **options)
     step = """aggregate(spans, named_struct('upto', 0L, 'out', ''), (a, s) -> named_struct(
         'upto', greatest(a.upto, s.end),
         'out', CASE WHEN s.start >= a.upto THEN concat(a.out, substring(text, int(a.upto) + 1, int(s.start - a.upto)), '{mark}') ELSE a.out END),
         a -> concat(a.out, substring(text, int(a.upto) + 1, length(text))))"""
     text = F.when(F.size("spans") > 0, F.expr(step.format(mark=mark.replace("\\", "\\\\").replace("'", "\\'")))).otherwise(F.col("text"))
-    return found.withColumn("text", text).drop("spans").select(*docs.columns)
+    return restored(found, docs.columns, text)
 
 
 def digest(spans: list[tuple[int, str, int]]) -> str:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.properties import clean, merged, without_nulls
-from ..schemas import EDGES, NODES
+from .iteration import running_sum
 
 #: Properties that lookups filter by, for the layout on disk.
 LOOKUPS = {"Company": "name", "Metric": "name", "Person": "name", "Segment": "name", "Period": "fiscal_year"}
@@ -105,9 +105,8 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.repartitionByRange("src", "tgt").sortWithinPartitions("src", "type").write.parquet(f"{path}/edges")
 
 
-def read_snapshot(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    nodes = spark.read.parquet(f"{path}/nodes")
-    return nodes.select([f.split()[0] for f in NODES.split(", ") if "map<" not in f and "variant" not in f] + ["properties", "name_lc"]), spark.read.parquet(f"{path}/edges").select([f.split()[0] for f in EDGES.split(", ") if "variant" not in f] + ["properties"])
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
 def summary(assigned: DataFrame, aliases: DataFrame, relationships: DataFrame, written: DataFrame) -> DataFrame:
@@ -115,10 +114,7 @@ def summary(assigned: DataFrame, aliases: DataFrame, relationships: DataFrame, w
     that became edges."""
     docs = assigned.groupBy("document_id").agg(F.min("doc_ord").alias("doc_ord"))
     first = assigned.groupBy("canonical_id").agg(F.min("doc_ord").alias("doc_ord")).groupBy("doc_ord").agg(F.count("*").alias("new"))
-    # Documents are few beside their records; a running sum over them needs one order.
-    from pyspark.sql import Window
-
-    so_far = docs.join(first, "doc_ord", "left").withColumn("entities_resolved", F.sum(F.coalesce("new", F.lit(0))).over(Window.orderBy("doc_ord")))
+    so_far = running_sum(docs.join(first, "doc_ord", "left").withColumn("new", F.coalesce("new", F.lit(0))), "doc_ord", "new", "entities_resolved")
     remapped = aliases.groupBy("document_id").agg(F.count_if(F.col("raw_id") != F.col("canonical_id")).alias("ids_remapped"))
     tried = relationships.groupBy("document_id").agg(F.count("*").alias("attempted"))
     made = written.groupBy("document_id").agg(F.count("*").alias("written"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction, loading, resolution, windows
 from ..operators.extraction import Extractor
+from ..operators.iteration import checkpoint, numbered
 
 
 @dataclass
@@ -39,14 +40,10 @@ def build(blocks: DataFrame, extractor: Extractor, order: DataFrame | None = Non
     The extractor's answers are checkpointed: what follows reads them several times, and a call is never repeated
     for it.
     """
-    from pyspark.sql import Window
-
-    from ..operators.iteration import checkpoint
-
     texts = windows.texts(blocks)
     answers = checkpoint(extraction.responses(texts, extractor, throttle))
     if order is None:
-        order = blocks.select("document_id").distinct().withColumn("doc_ord", (F.row_number().over(Window.orderBy("document_id")) - 1).cast("long"))
+        order = numbered(blocks, "document_id", "doc_ord")
     return graph_of(*extraction.parsed(answers.join(order, "document_id")), strict=strict)
 
 

@@ -10,6 +10,7 @@ from loomgraph import schemas
 from loomgraph.functions import properties, text
 from loomgraph.operators import extraction, loading, resolution, retrieval, windows
 from loomgraph.operators.evidence import NOTHING, Evidence
+from loomgraph.operators.iteration import numbered, running_sum
 from loomgraph.plans import agent, build
 from loomgraph.plans.guard import NotReadOnly, check
 from loomgraph.plans.patterns import Match, shortest_path
@@ -128,6 +129,23 @@ def test_extractor_sees_known_ids_in_order(spark):
     assert {r.entity_id for r in built.nodes.collect()} == {"company_acme", "geography_india"} and built.edges.count() == 1
 
 
+def test_positions_and_running_sums(spark):
+    df = spark.createDataFrame([(f"d{i % 97:03}", i) for i in range(500)], "k string, i long").repartition(7)
+    got = {r.k: r.n for r in numbered(df, "k", "n").collect()}
+    assert got == {f"d{i:03}": i for i in range(97)}
+    sums = [r.s for r in running_sum(df, "i", "i", "s", bucket=30).orderBy("i").collect()]
+    assert sums == [i * (i + 1) // 2 for i in range(500)]
+
+
+def test_snapshot_layout(spark, tmp_path):
+    nodes = spark.createDataFrame([("b", "T", ["T"], "Bee"), ("a", "T", ["T"], "ay"), ("c", "U", ["U"], None)], "entity_id string, entity_type string, labels array<string>, name string")
+    edges = spark.createDataFrame([("a", "R", "b")], "src string, type string, tgt string")
+    loading.write_snapshot(nodes, edges, str(tmp_path / "s"))
+    again, links = loading.read_snapshot(spark, str(tmp_path / "s"))
+    assert [r.entity_id for r in retrieval.search(again, "BE").collect()] == ["b"] and links.count() == 1
+    assert "StringContains(name_lc,be)" in retrieval.search(again, "BE", limit=None)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_throttle():
     now, slept = [0.0], []
     t = extraction.Throttle(2, 60, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
