@@ -96,6 +96,22 @@ def read_extractions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def records(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entity and relationship records of extraction results with doc_ord, in the order of their lists."""
+    seq = (F.col("doc_ord") * (1 << 40) + F.col("pos")).cast("long").alias("seq")
+    stamped = lambda c: F.struct("document_id", F.col(f"{c}.source.page_num").alias("page_num"), F.col(f"{c}.source.section").alias("section")).alias("source")
+    e = found.select("document_id", "doc_ord", F.posexplode("entities").alias("pos", "e"))
+    r = found.select("document_id", "doc_ord", F.posexplode("relationships").alias("pos", "r"))
+    entities = e.select("document_id", "doc_ord", seq, "e.id", "e.type", "e.properties", stamped("e")).filter("id IS NOT NULL")
+    relationships = r.select("document_id", "doc_ord", seq, "r.source_id", "r.target_id", "r.type", "r.properties", stamped("r")).filter("source_id IS NOT NULL AND target_id IS NOT NULL")
+    return entities, relationships
+
+
+def page_sizes(blocks: DataFrame) -> DataFrame:
+    """(document_id, page_idx, blocks) of all pages."""
+    return blocks.groupBy("document_id", "page_idx").agg(F.count("*").alias("blocks"))
+
+
 def write_json(df: DataFrame, path: str, key: str) -> None:
     """One folder of JSON lines for each key, non-ASCII kept; a later run replaces the keys that it brings."""
     df.withColumn("_key", F.col(key)).write.partitionBy("_key").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)

@@ -59,6 +59,12 @@ def pending(filings: DataFrame, done: DataFrame, force: bool = False) -> DataFra
     return filings if force else filings.join(done.select("document_id").distinct(), "document_id", "left_anti")
 
 
+def missing(filings: DataFrame, parsed: DataFrame) -> DataFrame:
+    """An error row for each filing without its parsed document."""
+    gone = filings.join(parsed.select("document_id").distinct(), "document_id", "left_anti")
+    return gone.select("document_id", F.lit(None).cast("string").alias("pages"), F.concat(F.lit("no parsed document: "), "parsed_json").alias("message"))
+
+
 def file_stem(path: Column) -> Column:
     """File name without folder and suffix, and without the prefix of parsed files."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", ""), "^parsed_", "")

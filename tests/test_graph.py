@@ -11,7 +11,7 @@ from loomgraph.functions import properties, text
 from loomgraph.operators import extraction, loading, resolution, retrieval, windows
 from loomgraph.operators.evidence import NOTHING, Evidence
 from loomgraph.operators.iteration import numbered, running_sum
-from loomgraph.plans import agent, build
+from loomgraph.plans import agent, build, chat
 from loomgraph.plans.guard import NotReadOnly, check
 from loomgraph.plans.patterns import Match, shortest_path
 from loomgraph.plans.session import GraphSession
@@ -220,6 +220,37 @@ def test_agent_states(graph):
     assert "DROP" not in got.graph_context and "QUERY RESULTS" in got.graph_context
 
 
+def test_chat_boundaries(graph):
+    seen = []
+
+    def complete(messages, tools):
+        seen.append((messages, tools))
+        if tools and len(seen) == 1:
+            return {"content": None, "tool_calls": [{"name": "search_nodes", "arguments": '{"query": "beta"}'}, {"name": "search_nodes", "arguments": "{bad"}]}
+        return {"content": "from the model"}
+
+    r = agent.ask(graph, "q", chat.ChatPlanner(complete), chat.ChatAnswerer(complete))
+    assert r.answer == "from the model" and "Beta" in r.graph_context and len(seen[0][1]) == 6
+    assert {t["function"]["name"] for t in chat.tool_definitions()} == set(agent.TOOLS)
+    assert chat.ChatExtractor(complete, 2024)("d", "1-3", "text", ["a"]) == "from the model" and "2024" in seen[-1][0][1]["content"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomgraph.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    page = {"page_number": 1, "blocks": [{"block_type": "text", "block_order": 0, "content": "Acme operates in India"}]}
+    (tmp_path / "in" / "d.json").write_text(json.dumps({"id": "d", "name": "d", "pages": [page]}))
+    main(["build", str(tmp_path / "in"), str(tmp_path / "g")])
+    main(["summary", str(tmp_path / "g")])
+    main(["search", str(tmp_path / "g"), "acme"])
+    (tmp_path / "x.json").write_text(json.dumps({"document_id": "d", "entities": [{"id": "company_z", "type": "Company", "properties": {"name": "Z"}}]}))
+    main(["ingest", str(tmp_path / "x.json"), str(tmp_path / "g2")])
+    main(["search", str(tmp_path / "g2"), "z", "--type", "Company"])
+    out = capsys.readouterr().out
+    assert "OPERATES_IN: 1" in out and "company_acme" in out and "company_z" in out
+
+
 def test_evidence_text():
     e = Evidence()
     assert e.text() == NOTHING and e.empty()
