@@ -32,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, checkpoint, slices, texts, written
+from .common import checkpoint, free, map_batches, slices, texts, written
 from .components import connected_components
 
 #: Groups beyond k + 1, so that a set may have that many empty groups without emitting them.
 SPARE = 2
 #: Members of a list that one task compares with one another.
 BLOCK = 1024
+#: Slots of a sketch.
+MOST_SLOTS = 1 << 16
 #: Sizes of a heavy class: from its least size to this many times it.
 _SPREAD = 1.3
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -165,10 +167,11 @@ def light_signatures(h: np.ndarray, sizes: Sizes) -> tuple[list[int], list[int]]
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parities of the shingles' counts in slots, a power of two of them, two for each shingle at least.
+    """Parities of the shingles' counts in slots, a power of two of them: two for each shingle at least, and no more
+    than MOST_SLOTS, beyond which the bound only gets weaker.
 
     Two sketches differ in no more slots than their sets do in shingles; halves of one, added, are a smaller one."""
-    slots = max(64, 1 << (2 * len(h) - 1).bit_length())
+    slots = min(MOST_SLOTS, max(64, 1 << (2 * len(h) - 1).bit_length()))
     odd = np.bincount(((h >> np.uint64(8)) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -207,7 +210,7 @@ def sketches(docs: DataFrame, n: int, sizes: Sizes) -> DataFrame:
             arrays += [pa.array(x, pa.list_(pa.int64())) for x in (own, over)] + [pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], ["doc_id", "n_shingles", "f1", "f2", "own", "over", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(bounded(find, _hashes), "doc_id long, n_shingles long, f1 long, f2 long, own array<long>, over array<long>, sketch binary")
+    return map_batches(docs.select("doc_id", "text"), find, "doc_id long, n_shingles long, f1 long, f2 long, own array<long>, over array<long>, sketch binary", _hashes)
 
 
 def _matrix(parts: list[bytes]) -> np.ndarray:
@@ -230,7 +233,7 @@ def forest(parts: list[bytes], n: np.ndarray, percent: int) -> list[tuple[int, i
     """Edges of a spanning forest of the graph of members that may link. Members near the middle come first, so
     that most of the others hang on them directly."""
     rows = _matrix(parts)
-    bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.ascontiguousarray(rows[:, :64]).view(np.uint8), axis=1, bitorder="little")
     middle = bits.mean(0) > 0.5
     order = np.argsort((bits != middle).sum(1), kind="stable")
     left = np.ones(len(n), bool)
@@ -299,7 +302,7 @@ def _by_list(members: DataFrame, percent: int, cross: bool) -> DataFrame:
     cut = members.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keyed = cut.select("sig", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"), "f1", "f2", "n_shingles", "sketch", *(["component"] if cross else []))
     dealt = keyed.repartition("sig", "b1", "b2").sortWithinPartitions("sig", "b1", "b2")
-    return dealt.mapInArrow(bounded(find), "sig long, a1 long, a2 long, b1 long, b2 long")
+    return map_batches(dealt, find, "sig long, a1 long, a2 long, b1 long, b2 long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
@@ -321,7 +324,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percen
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *keys, pa.array([_signed(h) for h in found], pa.list_(pa.int64()))], ["doc_id", "f1", "f2", "members"])
 
     # A doc_id that stands for several rows may bring other texts along; the fingerprint tells them apart.
-    whole = written(chosen.mapInArrow(bounded(sets, _hashes), "doc_id long, f1 long, f2 long, members array<long>").join(wanted, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["f1", "f2"]))
+    found = map_batches(chosen, sets, "doc_id long, f1 long, f2 long, members array<long>", _hashes)
+    whole = written(found.join(wanted, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["f1", "f2"]))
     a = whole.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("doc_id").alias("src"), F.col("members").alias("ma"))
     b = whole.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("doc_id").alias("dst"), F.col("members").alias("mb"))
     both = some.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).withColumn("shared", F.size(F.array_intersect("ma", "mb")))
@@ -329,6 +333,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percen
     return checkpoint(both.select("a1", "a2", "b1", "b2", "src", "dst", (100 * F.col("shared") >= percent * union).alias("linked")))
 
 
+def _same_id(some: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the classes of a doc_id that stands for several texts."""
+    several = some.groupBy("doc_id").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).filter("a <> b").select(F.col("doc_id").alias("src"))
+    texts_of = some.select(F.col("doc_id").alias("src"), "f1", "f2").join(several, "src", "left_semi")
+    return texts_of.join(reps.withColumnRenamed("doc_id", "dst"), ["f1", "f2"]).select("src", "dst")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Components of the links of all rows of docs(doc_id, text) whose sets of n-word shingles have a Jaccard
     similarity of `percent` per cent or more.
@@ -345,7 +356,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     reps = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id")))
     kept = some.filter("sketch IS NOT NULL")
     rows = kept.select("f1", "f2", F.explode("own").alias("sig"), F.lit(True).alias("is_own")).unionByName(kept.select("f1", "f2", F.explode("over").alias("sig"), F.lit(False).alias("is_own")))
-    # One exchange by signature serves the distinct rows, the lists and the members of lists.
+    # One exchange by signature serves the distinct rows and the lists.
     entries = rows.repartition("sig").groupBy("sig", "f1", "f2").agg(F.max("is_own").alias("is_own"))
     lists = entries.groupBy("sig").agg(
         F.count("*").alias("members"),
@@ -360,14 +371,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     same = ["members", "x1", "x2"]
     longer = lists.filter("members > 1 AND has_own").groupBy(*same).agg(F.min("sig").alias("sig"), *[F.first(c).alias(c) for c in ("a1", "a2", "b1", "b2")])
     lists = written(longer)
+    free(docs.sparkSession)
     two = lists.filter("members = 2 AND a1 <> b1").select("a1", "a2", "b1", "b2")
     large = lists.filter("members > 2 OR a1 = b1").select("sig", "members")
     inside = entries.join(large, "sig").select("sig", "members", "f1", "f2")
     marks = kept.select("f1", "f2", "n_shingles", "sketch").dropDuplicates(["f1", "f2"])
     members = written(inside.join(marks, ["f1", "f2"]))
     edges = written(_by_list(members, percent, cross=False))
+    free(docs.sparkSession)
     tested = _verified(two.unionByName(edges.drop("sig")).distinct(), docs, reps, n, percent)
-    links = tested.filter("linked").select("src", "dst")
+    links = tested.filter("linked").select("src", "dst").unionByName(_same_id(some, reps))
     failed = edges.join(tested.filter("NOT linked"), ["a1", "a2", "b1", "b2"], "left_semi").select("sig").distinct()
     found = connected_components(links)
     again = checkpoint(failed)

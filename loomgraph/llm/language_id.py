@@ -9,7 +9,6 @@ table of costs by context, byte and language, and a text's code lengths are sums
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, slices, texts
+from .common import aside, map_batches, restored, slices, texts
 from .sampling import by_hash
 
 ORDER = 3
@@ -89,6 +88,8 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.languages = model.languages
+        if not self.languages:
+            return
         self.symbol, self.size, self.at, self.cost = model.tables()
 
     def code_lengths(self, raws: list[bytes]) -> np.ndarray:
@@ -118,7 +119,7 @@ def fit(train: DataFrame, most: int = 1500) -> Model:
                 grams, n = count_grams(_PAD.join(t.encode() for t in own))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    found = sample.mapInArrow(bounded(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = map_batches(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (found.column(i).to_numpy() for i in range(3))
     languages = sorted(set(lang.tolist()))
     of = [np.flatnonzero(lang == x) for x in languages]
@@ -160,9 +161,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(per_byte, pa.float64())], [*batch.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(bounded(score, _made), f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return map_batches(kept, score, f"{fields}, lang_pred string, score double, bits_per_byte double", _made)
 
 
-def accepted(found: DataFrame) -> DataFrame:
-    """Rows in a determined language whose text is worth fewer bits under it than its plain bytes."""
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") < math.log2(256)))
+def accepted(docs: DataFrame, model: Model, most_bits: float = 12.0) -> DataFrame:
+    """Rows of docs in a determined language. All columns stay as they are.
+
+    A text in none of the learned languages is one that costs more than `most_bits` a byte even in the best one: most
+    of its bytes escape all contexts. Keys, numbers and other runs of known characters stay well below.
+    """
+    found = identify(aside(docs), model)
+    return restored(found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") <= most_bits)), docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, slices, texts, written
-from .tokens import ids, vocabulary
+from .tokens import ids, made, vocabulary
 
 PIECES = "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, capacity: int, library: str, ranks: str | None, clos
             yield pa.RecordBatch.from_arrays(columns, names)
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text")
-    return map_batches(keyed, cut, PIECES + (", ids binary" if with_ids else ""))
+    return map_batches(keyed, cut, PIECES + (", ids binary" if with_ids else ""), made)
 
 
 class _Counts:

@@ -26,9 +26,7 @@ class Ids:
     """
 
     def __init__(self, library: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(library)
+        self.path, self.loaded = library, None  # most workers never need the library itself
         self.fast = None
         if ranks:
             import base64
@@ -40,6 +38,14 @@ class Ids:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @property
+    def library(self):
+        if self.loaded is None:
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded
+
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
@@ -48,9 +54,9 @@ class Ids:
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
 
-_made: dict[tuple, Ids] = {}
+#: One encoder in each Python worker.
+made: dict[tuple, Ids] = {}
 
 
 def ids(library: str, ranks: str | None = None) -> Ids:
-    """One encoder in each Python worker."""
-    return _made.get((library, ranks)) or _made.setdefault((library, ranks), Ids(library, ranks))
+    return made.get((library, ranks)) or made.setdefault((library, ranks), Ids(library, ranks))
