@@ -38,7 +38,7 @@ from .components import connected_components
 #: Groups beyond k + 1, so that a set may have that many empty groups without emitting them.
 SPARE = 2
 #: Members of a list that one task compares with one another.
-BLOCK = 1024
+BLOCK = 512
 #: Slots of a sketch.
 MOST_SLOTS = 1 << 16
 #: Sizes of a heavy class: from its least size to this many times it.
@@ -374,7 +374,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     free(docs.sparkSession)
     two = lists.filter("members = 2 AND a1 <> b1").select("a1", "a2", "b1", "b2")
     large = lists.filter("members > 2 OR a1 = b1").select("sig", "members")
-    inside = entries.join(large, "sig").select("sig", "members", "f1", "f2")
+    # Few lists are that long. Up to some ten million bytes of them are broadcast, so that the other entries are
+    # dropped before any shuffle.
+    few = large.count() <= 1_000_000
+    inside = rows.join(F.broadcast(large) if few else large, "sig").select("sig", "members", "f1", "f2").distinct()
     marks = kept.select("f1", "f2", "n_shingles", "sketch").dropDuplicates(["f1", "f2"])
     members = written(inside.join(marks, ["f1", "f2"]))
     edges = written(_by_list(members, percent, cross=False))
@@ -397,6 +400,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; of rows with the same doc_id one stays, and rows
     without a doc_id all stay. All columns stay as they are."""
-    first = jaccard_components(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    found = checkpoint(jaccard_components(docs, n, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
+    gone = found.filter("doc_id <> component_id").select("doc_id")
+    several = found.filter("doc_id = component_id AND rows > 1").select("doc_id")
+    n_gone, n_several = gone.count(), several.count()
+    # Up to some ten million bytes of ids are broadcast; beyond that the documents are shuffled.
+    small = lambda ids, size: F.broadcast(ids) if size <= 1_000_000 else ids
+    kept = docs.join(small(gone, n_gone), "doc_id", "left_anti")
+    if n_several:
+        single = kept.join(small(several, n_several), "doc_id", "left_anti")
+        kept = single.unionByName(kept.join(small(several, n_several), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
