@@ -11,14 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, jaccard_join, language_id, packing, secret_scans
-from loomgraph.llm.common import read, written
+from loomgraph.llm.common import free, read, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language, or with text that no language model shortens, go."""
-    model = language_id.fit(docs)
-    found = language_id.identify(docs.select(F.struct("*").alias("row"), "text"), model)
-    return language_id.accepted(found).select("row.*")
+    """Documents without a determinable language, or in none of the learned ones, go."""
+    return language_id.accepted(docs, language_id.fit(docs))
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,4 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs)
+            free(spark)
     return docs
