@@ -128,6 +128,14 @@ def test_prefix_counts_at_every_prefix(library):
         assert len(encode(library, text[:n])) <= budget and all(len(encode(library, text[:i])) > budget for i in range(n + 1, len(text) + 1))
 
 
+def test_prefix_counts_of_long_units(library):
+    counter = prefix_counts.PrefixCounter(vocabulary("byte_bpe_50k.json"))
+    for text in ["a" * 3000 + "世" * 2000 + "-" * 3000 + "qx7" * 2000, " " * 4000 + "x", "tionthererbleing" * 3000]:
+        changes = counter.changes(text)
+        for n in (0, 1, 777, 3500, len(text)):
+            assert prefix_counts.tokens_at(changes, n) == len(encode(library, text[:n]))
+
+
 def test_prefix_counts(spark, library):
     found = prefix_counts.prefix_counts(docs(spark, n_tokens=3)).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in found) == sorted((str(d), len((t or "").encode()), len(encode(library, t))) for d, t, *_ in AWKWARD)
@@ -298,6 +306,8 @@ def test_language_id(spark):
     assert all(r.lang_pred == r.lang for r in found if r.lang in LANGS) and all(0 <= r.score <= 1 for r in found)
     assert {r.lang_pred for r in found if r.doc_id in (1, 2, 3) and r.text in (None, "", "  \n\t ")} == {"und"}
     assert language_id.accepted(docs(spark, test, score=5), model).count() == len(test)
+    odd = [(1, "世界和平万岁" * 5, "aa", "s", 1), (2, "1234", "aa", "s", 1)]
+    assert [r.doc_id for r in language_id.accepted(docs(spark, test[:1] + odd), model).collect()] == [0]
     empty = language_id.fit(docs(spark, []))
     assert {r.lang_pred for r in language_id.identify(docs(spark), empty).collect()} == {"und"}
 
