@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import map_batches, slices, texts
 from .tokens import SPECIAL, vocabulary
 
 #: Unicode's White_Space, which the tokenizer's pattern means by \\s.
@@ -37,7 +37,7 @@ _CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
 _LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _MARKS = r"!-&(-/:-@\[-`{-~"
 #: Runs of one class, none of which a longer or shorter text would cut elsewhere (no apostrophes).
-_PLAIN = re.compile(f"[ \n]?(?:[{_LETTERS}]+|[0-9]+|[{_MARKS}]+)+")
+_PLAIN = re.compile(f"[ \n]?(?:[{_LETTERS}]++|[0-9]++|[{_MARKS}]++)++")
 _STEM, _TAIL = re.compile(f"[{_LETTERS}]+"), ",.!?:;%$#&*"
 _RUN = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
 
@@ -53,7 +53,7 @@ def _byte_letters() -> dict[str, int]:
 class PrefixCounter(dict):
     """Maps a unit, without the blank before it, to the changes of the count at its code points."""
 
-    def __init__(self, library: str, most: int = 250_000):
+    def __init__(self, library: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -63,6 +63,7 @@ class PrefixCounter(dict):
             model = json.load(f)["model"]
         raw = lambda word: bytes(letters[c] for c in word)
         self.known = {raw(w) for w in model["vocab"] if all(c in letters for c in w)}
+        self.longest = max(map(len, self.known))
         pairs = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.halves = {a + b: (a, b) for a, b in reversed(pairs)}
@@ -83,7 +84,7 @@ class PrefixCounter(dict):
         """Whether the tokens stay as they are side by side: no merge across their border comes before the merges
         that take up the two parts at it (of equal merges, the left one comes first)."""
         if (known := self.follows.get((a, b))) is None:
-            if len(self.follows) > 4 * self.most:
+            if len(self.follows) > 2 * self.most:
                 self.follows.clear()
             left, right = self.edge(a, 1), self.edge(b, 0)
             known = self.follows[a, b] = not any((m := self.rank.get((x, y))) is not None and m < end_x and m <= end_y for x, end_x in left for y, end_y in right)
@@ -91,20 +92,21 @@ class PrefixCounter(dict):
 
     def run(self, raw: bytes) -> list[int]:
         """Counts at each byte of one pre-token, by dynamic programming over the last token."""
-        known, follows = self.known, self.follows
+        known, follows, most = self.known, self.follows, self.longest
         last, count, begin = [b""], [0], 0
         for end in range(1, len(raw) + 1):
             # Only one begin is right. Most often it is that of the last token, which grows, or a new one.
-            for begin in (begin, *range(end - 1, -1, -1)):
-                token = raw[begin:end]
-                if token in known:
-                    if not begin:
-                        break
-                    before = last[begin]
-                    if (fits := follows.get((before, token))) is None:
-                        fits = self.may_follow(before, token)
-                    if fits:
-                        break
+            token = raw[begin:end]
+            if token not in known or begin and not self.may_follow(last[begin], token):
+                for begin in range(end - 1, max(0, end - most) - 1, -1):
+                    token = raw[begin:end]
+                    if token in known:
+                        if not begin:
+                            break
+                        if (fits := follows.get((last[begin], token))) is None:
+                            fits = self.may_follow(last[begin], token)
+                        if fits:
+                            break
             last.append(token)
             count.append(count[begin] + 1)
         return count[1:]
@@ -209,7 +211,7 @@ def prefix_counts(docs: DataFrame, library: str | None = None) -> DataFrame:
             n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), n_bytes, pa.array(total, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "prefix_changes"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, prefix_changes binary")
+    return map_batches(docs.select("doc_id", "text"), count, "doc_id long, n_bytes long, n_tokens long, prefix_changes binary")
 
 
 def tokens_at(changes: bytes, length: int) -> int:
