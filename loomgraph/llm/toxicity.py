@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import checkpoint, map_batches, slices, texts
 from .sampling import by_hash
 
 #: Bytes of a lower-case text that are not in words.
@@ -229,23 +229,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_terms: int = 400, most_stems: int = 200, least_docs: int = 4) -> Model:
     """Fit to docs(doc_id, text) and labels(doc_id, toxic), from about `most` labelled rows (the sample's bound).
 
-    One half of the sample gives the lexicon (at most `most_terms` terms and `most_stems` stems, those that single
-    out toxic texts best), the other half the logistic model. Null labels are left out; of several labels of a
-    document the largest counts. Without labels of both kinds all scores are the labels' mean, or 0.
+    The lexicon has at most `most_terms` terms and `most_stems` stems of `least_docs` toxic texts or more, those that
+    single out toxic texts best. The logistic model learns how far to trust matches from texts that the lexicon has not
+    seen: each half of the sample is matched with the lexicon of the other half. Null labels are left out; of several
+    labels of a document the largest counts. Without labels of both kinds all scores are the labels' mean, or 0.
     """
     given = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = by_hash(given.withColumn("all", F.lit(1)), "doc_id", "all", most, "toxicity").select("doc_id", "toxic")
     # The sample's labels are at most about `most` rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)).cast("int"))
+    totals = {(r.part, r.toxic): r.n for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
+    size = lambda toxic, *parts: sum(totals.get((p, toxic), 0) for p in parts)
+    if not size(0, 0, 1) or not size(1, 0, 1):
+        return Model({}, {}, prior=float(given.agg(F.avg("toxic")).first()[0] or 0.0))
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, bool], list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(texts(batch), batch.column(2).to_pylist()):
+            for text, toxic, part in zip(texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 own = {w.decode("utf-8", "replace") for w in words(text)}
                 stems = {w[:n] for w in own for n in range(4, min(len(w), 9))}
                 for key in [(w, False) for w in own if 3 <= len(w) <= 40] + [(w, True) for w in stems]:
-                    counts.setdefault(key, [0, 0])[toxic] += 1
+                    counts.setdefault(key, [0, 0, 0, 0])[2 * part + toxic] += 1
             if len(counts) > 500_000:
                 yield emitted(counts)
                 counts = {}
@@ -253,31 +258,34 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_terms: int
 
     def emitted(counts: dict) -> pa.RecordBatch:
         keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([counts[k][0] for k in keys], pa.int64()), pa.array([counts[k][1] for k in keys], pa.int64())], ["word", "is_stem", "clean", "toxic"])
-
-    totals = {t: n for t, n in rows.filter("part = 0").groupBy("toxic").agg(F.count("*")).collect()}
-    n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
-    if not n_clean or not n_toxic:
-        mean = given.agg(F.avg("toxic")).first()[0]
-        return Model({}, {}, prior=float(mean or 0.0))
-    counted = rows.filter("part = 0").select("doc_id", "text", "toxic").mapInArrow(vocabulary, "word string, is_stem boolean, clean long, toxic long").groupBy("word", "is_stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    # Half a count less keeps words of few texts behind those of many.
-    strong = counted.withColumn("odds", odds).filter((F.col("toxic") >= least_docs) & (F.col("odds") >= 3.0)).withColumn("rank", F.col("odds") * F.sqrt("toxic"))
-    top = lambda stems, n: strong.filter(F.col("is_stem") == stems).orderBy(F.desc("rank"), "word").limit(n).collect()
-    terms = {r.word: r.odds for r in top(False, most_terms)}
-    stems: dict[str, float] = {}
-    for r in sorted(top(True, most_stems), key=lambda r: len(r.word)):
-        if not any(r.word[:n] in stems for n in range(4, len(r.word))) and sum(t.startswith(r.word) for t in terms) != 1:
-            stems[r.word] = r.odds
-    model = Model(terms, stems)
-    seen = _features(rows.filter("part = 1").select("toxic", "text"), model, "toxic int").toArrow()
-    y = seen.column(0).to_numpy().astype(float)
-    if not len(y) or y.min() == y.max():
-        return Model(terms, stems, prior=float(y.mean()) if len(y) else n_toxic / (n_clean + n_toxic))
-    x = np.array(seen.column(1).to_pylist(), float)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *(pa.array([counts[k][i] for k in keys], pa.int64()) for i in range(4))], ["word", "is_stem", "clean0", "toxic0", "clean1", "toxic1"])
+
+    found = map_batches(rows.select("doc_id", "text", "toxic", "part"), vocabulary, "word string, is_stem boolean, clean0 long, toxic0 long, clean1 long, toxic1 long")
+    counted = found.groupBy("word", "is_stem").agg(*[F.sum(c).alias(c) for c in ("clean0", "toxic0", "clean1", "toxic1")])
+    some = checkpoint(counted.filter(F.col("toxic0") + F.col("toxic1") >= least_docs))
+
+    def lexicon(*parts: int) -> Model:
+        clean, toxic = (sum((F.col(f"{c}{p}") for p in parts), F.lit(0)) for c in ("clean", "toxic"))
+        odds = F.log((F.col("toxic") + 0.5) / (size(1, *parts) + 1)) - F.log((F.col("clean") + 0.5) / (size(0, *parts) + 1))
+        # Two standard errors below the odds a term must still be well above chance; few texts make large errors.
+        error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+        own = some.select("word", "is_stem", clean.alias("clean"), toxic.alias("toxic")).withColumn("odds", odds)
+        strong = own.filter((F.col("toxic") >= max(2, least_docs * len(parts) // 2)) & (F.col("odds") >= 3.0) & (F.col("odds") - 2 * error >= 0.75)).withColumn("rank", F.col("odds") * F.sqrt("toxic"))
+        top = lambda stems, n: strong.filter(F.col("is_stem") == stems).orderBy(F.desc("rank"), "word").limit(n).collect()
+        terms = {r.word: r.odds for r in top(False, most_terms)}
+        stems: dict[str, float] = {}
+        for r in sorted(top(True, most_stems), key=lambda r: len(r.word)):
+            # a stem of one term alone adds nothing to it
+            if not any(r.word[:n] in stems for n in range(4, len(r.word))) and sum(t.startswith(r.word) for t in terms) != 1:
+                stems[r.word] = r.odds
+        return Model(terms, stems)
+
+    final = lexicon(0, 1)
+    matched = [_features(rows.filter(F.col("part") == 1 - p).select("toxic", "text"), lexicon(p), "toxic int").toArrow() for p in (0, 1)]
+    y = np.concatenate([m.column(0).to_numpy() for m in matched]).astype(float)
+    x = np.array([f for m in matched for f in m.column(1).to_pylist()], float)
     scale = np.maximum(x.std(0), 1e-6)
-    return Model(terms, stems, logistic(np.column_stack([np.ones(len(x)), x / scale]), y).tolist(), scale.tolist())
+    return Model(final.terms, final.stems, logistic(np.column_stack([np.ones(len(x)), x / scale]), y).tolist(), scale.tolist())
 
 
 _made: dict[str, Scorer] = {}
@@ -300,7 +308,7 @@ def _features(rows: DataFrame, model: Model, own: str) -> DataFrame:
             found = [scorer.features(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], [batch.schema.names[0], "features"])
 
-    return rows.mapInArrow(find, f"{own}, features array<double>")
+    return map_batches(rows, find, f"{own}, features array<double>")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -314,4 +322,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = [scorer.features(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scorer.score(np.array(found)), pa.float64()), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "score", "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, score double, features array<double>")
+    return map_batches(docs.select("doc_id", "text"), find, "doc_id long, score double, features array<double>")
