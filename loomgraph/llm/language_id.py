@@ -111,7 +111,7 @@ def fit(train: DataFrame, most: int = 1500) -> Model:
     sample = by_hash(train.select("doc_id", "text", "lang"), "doc_id", "lang", most, "ppm").filter(F.col("text").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=1 << 20):
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(2).to_pylist(), texts(batch)):
                 by_lang.setdefault(lang, []).append(text)
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             _made.clear()
             _made[own.key] = Scorer(own)
         scorer = _made[own.key]
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=1 << 19):
             whole = texts(batch)
             raws = [t.encode() for t in whole]
             bits = scorer.code_lengths(raws)
