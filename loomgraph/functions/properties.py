@@ -34,11 +34,13 @@ def clean(properties: str) -> Column:
     return F.expr(f"map_from_entries(filter({every}, (x, i) -> NOT array_contains(slice({last}, i + 2, size({last})), x.key)))")
 
 
-def merged(rows: DataFrame, keys: list[str], properties: str = "properties", seq: str = "seq") -> DataFrame:
-    """keys and the property map in which of each key's values the one with the largest seq wins, nulls included."""
-    each = rows.select(*keys, seq, F.explode(properties).alias("k", "v"))
-    last = each.groupBy(*keys, "k").agg(F.max_by("v", seq).alias("v"))
-    return last.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(properties))
+def merged(rows: DataFrame, keys: list[str], properties: str = "properties", seq: str = "seq", last: tuple[str, ...] = ()) -> DataFrame:
+    """keys and the property map in which of each key's values the one with the largest seq wins, nulls included;
+    and the columns `last` of the record with the largest seq. A key without properties has an empty map."""
+    each = rows.select(*keys, seq, *last, F.explode_outer(properties).alias("k", "v"))
+    own = each.groupBy(*keys, "k").agg(F.max_by("v", seq).alias("v"), F.max(seq).alias("_seq"), *[F.max_by(c, seq).alias(c) for c in last])
+    entries = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))
+    return own.groupBy(*keys).agg(F.map_from_entries(entries).alias(properties), *[F.max_by(c, "_seq").alias(c) for c in last])
 
 
 def without_nulls(properties: Column) -> Column:

@@ -50,12 +50,8 @@ def nodes_of(resolved: DataFrame) -> DataFrame:
 
 def edges_of(relationships: DataFrame) -> DataFrame:
     """One edge for each (source, type, target): properties last-wins without nulls, sources of the last record."""
-    key = ["source_id", "type", "target_id"]
-    last = relationships.groupBy(*key).agg(F.array(F.max_by("document_id", "seq")).alias("sources"))
-    props = merged(relationships.withColumn("properties", clean("properties")), key)
-    joined = last.join(props, key, "left")
-    empty = F.expr("map_from_arrays(CAST(array() AS array<string>), CAST(array() AS array<variant>))")
-    return joined.select(F.col("source_id").alias("src"), "type", F.col("target_id").alias("tgt"), F.coalesce(without_nulls(F.col("properties")), empty).alias("properties"), "sources")
+    props = merged(relationships.withColumn("properties", clean("properties")), ["source_id", "type", "target_id"], last=("document_id",))
+    return props.select(F.col("source_id").alias("src"), "type", F.col("target_id").alias("tgt"), without_nulls(F.col("properties")).alias("properties"), F.array("document_id").alias("sources"))
 
 
 def edge_history(relationships: DataFrame) -> DataFrame:
