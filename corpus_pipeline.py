@@ -20,8 +20,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of equal and nearly equal texts the document with the smallest doc_id stays."""
-    return jaccard_join.one_of_each(docs)
+    """Of each component of equal and nearly equal texts (80 % of their five-word shingles) the document with the
+    smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
