@@ -29,6 +29,7 @@ CONTEXT = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-ke
 _CONTEXT = re.compile("|".join(CONTEXT), re.IGNORECASE | re.ASCII)
 _CONTEXT_BYTES = [w.encode() for w in CONTEXT]
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+_IN_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")
 #: What code and configuration hold around secrets; the rest of the dictionary are its parts joined in usual ways.
 _PARTS = (
     "access account address api app application array auth authorization aws azure base64 bearer bool bucket build byte cache "
@@ -85,14 +86,13 @@ def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: Novelty,
     upto = 0
     for m in _CONTEXT.finditer(text):
         begin = max(upto, m.start() - reach)
-        # a candidate is a whole run, so the window grows to the end of the runs at its borders
+        # a candidate is a whole run, so the window grows to the start and the end of the runs at its borders
+        while begin > upto and text[begin - 1] in _IN_RUN:
+            begin -= 1
         for c in _CANDIDATE.finditer(text, begin):
             if c.start() > m.end() + reach:
                 break
             upto = max(upto, c.end())
-            whole = c.start() == 0 or not _CANDIDATE.match(text[c.start() - 1] * 20)
-            if not whole or not any(x.isdigit() for x in c[0]) or not any(x.isalpha() for x in c[0]):
-                continue
             if any(a < c.end() and c.start() < b for a, _, b in taken):
                 continue
             if novelty(text[max(0, c.start() - 256) : c.start()], c[0], text[c.end() : c.end() + 256]) >= least:

@@ -504,6 +504,20 @@ def test_secrets(spark):
     assert secret_scans.digest(spans) == hashlib.sha256(b"assign:0:3,hex:5:40").hexdigest()
 
 
+def test_secrets_on_the_left_and_without_digits(spark):
+    rng = random.Random(13)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key, jwt = ("".join(rng.choices(signs + "0123456789", k=k)) for k in (120, 300))
+    letters, digits = "".join(rng.choices(signs, k=40)), "".join(rng.choices("0123456789", k=22))
+    texts = [f"{key} is the secret", f"see {jwt} # token and another token", f"the secret is {letters} today", f"the secret is {digits} today", f"{key}{' ' * 80}secret", f"{key}{' ' * 81}secret", f"the secret is {'-' * 60} today", f"token {key} token {jwt} token"]
+    want = [[key], [jwt], [letters], [digits], [key], [], [], [key, jwt]]
+    rows = [(d, t, "en", "s", len(t)) for d, t in enumerate(texts)]
+    found = {r.doc_id: [s.text for s in r.spans if s.kind == "novel"] for r in secret_scans.scan(docs(spark, rows)).collect()}
+    assert found == dict(enumerate(want))
+    cleaned = {r.doc_id: r.text for r in secret_scans.redact(docs(spark, rows)).collect()}
+    assert cleaned[0] == "[SECRET] is the secret" and cleaned[2] == "the secret is [SECRET] today"
+
+
 def test_licenses(spark):
     grant = licenses.TEMPLATES["mit:grant"]
     cut = grant.split()
