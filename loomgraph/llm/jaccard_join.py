@@ -123,16 +123,16 @@ class Sizes:
 
     @cache  # noqa: B019
     def classes(self, s: int) -> tuple[tuple[int, int], ...]:
-        """(class, groups) of a heavy set: that of its size, and the one before if partners may be there."""
-        low, number = self.heavy_from, 0
-        before = None
+        """(class, groups) of a heavy set: that of its size, and all before it that partners may be in."""
+        low, number, least = self.heavy_from, 0, self.least_partner(s)
+        out: tuple[tuple[int, int], ...] = ()
         while True:
             high = int(low * _SPREAD)
-            groups = self.differ(high, self.largest_partner(high)) + 1 + SPARE
+            if least <= high:
+                out = ((number, self.differ(high, self.largest_partner(high)) + 1 + SPARE), *out)
             if s <= high:
-                own = ((number, groups),)
-                return own + (before[1],) if before and self.least_partner(s) <= before[0] else own
-            before, low, number = (high, (number, groups)), high + 1, number + 1
+                return out
+            low, number = high + 1, number + 1
 
 
 def heavy_signatures(h: np.ndarray, sizes: Sizes) -> list[np.ndarray]:

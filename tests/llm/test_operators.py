@@ -472,6 +472,23 @@ def test_pipeline_drops_edited_copies(spark):
     assert kept == {d for d, c in plain_components(rows, 5, 80).items() if d == c} and kept & set(range(6)) == {0, 2, 3, 4}
 
 
+@pytest.mark.parametrize("percent", [60, 70, 80, 90])
+def test_linked_sizes_share_a_class(percent):
+    sizes = jaccard_join.Sizes(percent)
+    for s in range(sizes.heavy_from, 400):
+        for t in range(s, sizes.largest_partner(s) + 1):
+            assert {c for c, _ in sizes.classes(s)} & {c for c, _ in sizes.classes(t)}, (s, t)
+
+
+def test_jaccard_of_sets_two_classes_apart(spark):
+    rows = []
+    for i, size in enumerate([20, 31, 50, 77, 120, 200, 310]):
+        w = [f"w{i}x{j}" for j in range(size)]
+        rows += [(2 * i, " ".join(w[: -(-(size - 2) * 61 // 100) + 2]), "en", "s", 1), (2 * i + 1, " ".join(w), "en", "s", 1)]
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs(spark, rows), percent=60).collect()}
+    assert found == plain_components(rows, 3, 60) and set(found.values()) == {d for d in found if d % 2 == 0}
+
+
 # ---- secrets, licenses, decontamination
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
