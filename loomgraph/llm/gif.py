@@ -98,18 +98,6 @@ def lzw_decode(raw: bytes, bits: int, count: int) -> np.ndarray:
     clear, end = 1 << bits, (1 << bits) + 1
     data = np.frombuffer(raw + b"\0\0\0\0", np.uint8)
     stop_bit, bit, width = 8 * len(raw), 0, bits + 1
-    # Streams that clear their table before codes get longer have one width throughout.
-    every = _codes(data, 0, stop_bit // width, width)
-    stops = np.flatnonzero(every == end)
-    if len(stops):
-        every = every[: stops[0]]
-    clears = np.flatnonzero(every == clear)
-    if len(clears) and clears[0] == 0:
-        gaps = np.diff(np.append(clears, len(every))) - 1
-        if gaps.max(initial=0) <= clear - 2:
-            kept = every[every != clear]
-            if (kept < clear).all() and len(kept) >= count:
-                return kept[:count].astype(np.uint8)
     out: list[np.ndarray] = []
     have, segment, width, more = 0, [], bits + 1, True
     while more and have < count:
@@ -268,6 +256,19 @@ def frames(media: DataFrame, key: str = "media_id", data: str = "gif", bins: int
     return map_batches(media.select(key, data), read, schema)
 
 
+def read_back(data: bytes) -> tuple[bytes, int, int, list[int]]:
+    """Samples of all frames, number of frames, duration in ms, and the histogram of grey values (the mean of the
+    colours) where each frame lies on its canvas."""
+    samples, n, ms, counts = [], 0, 0, np.zeros(16, np.int64)
+    for f in decode(data):
+        h, w = f.indices.shape
+        seen = f.pixels[f.top : f.top + h, f.left : f.left + w]
+        counts += histogram(seen[seen[..., 3] > 0][:, :3].sum(1, dtype=np.uint16) // 3)
+        samples.append(f.indices.tobytes())
+        n, ms = n + 1, ms + f.delay_ms
+    return b"".join(samples), n, ms, counts.tolist()
+
+
 def text_media(docs: DataFrame) -> DataFrame:
     """Store each whole text of docs(doc_id, text) as a GIF and read it back.
 
@@ -283,10 +284,8 @@ def text_media(docs: DataFrame) -> DataFrame:
                 raw = text.encode()
                 sizes.append(len(raw))
                 gif = encode(raw + bytes(-len(raw) % 64 or (0 if raw else 64)))
-                read = decode(gif, render=False)
-                payload = b"".join(f.indices.tobytes() for f in read)
-                made.append(gif), back.append(payload), counts.append(len(read)), lasts.append(sum(f.delay_ms for f in read))
-                bins.append(histogram(np.frombuffer(payload, np.uint8)))
+                payload, n_frames, ms, seen = read_back(gif)
+                made.append(gif), back.append(payload), counts.append(n_frames), lasts.append(ms), bins.append(seen)
             types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip((sizes, made, back, counts, lasts, bins), types))], ["doc_id", "n_bytes", "gif", "payload", "n_frames", "duration_ms", "histogram"])
 

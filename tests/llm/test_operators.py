@@ -218,6 +218,22 @@ def test_text_media(spark):
     assert gif.text_media(docs(spark, [])).count() == 0
 
 
+def test_read_back_counts_colours():
+    import struct
+
+    samples = bytes(range(256)) * 2 + bytes(64 * 3)
+    data = gif.encode(samples)
+    assert gif.read_back(data) == (samples, 1, 100, [32 + 192] + [32] * 15)
+    inverted = data.replace(gif._GREY, gif._GREY[::-1])
+    assert gif.read_back(inverted) == (samples, 1, 100, [32] * 15 + [32 + 192])
+    rng = random.Random(14)
+    drawn = [rng.choice((3, 200)) for _ in range(600)]
+    raw = lzw_encode(drawn, 8)
+    blocks = b"".join(bytes([len(b)]) + b for b in (raw[i : i + 255] for i in range(0, len(raw), 255))) + b"\0"
+    other = b"GIF89a" + struct.pack("<HHBBB", 30, 20, 0xF7, 0, 0) + gif._GREY[::-1] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 30, 20, 0) + b"\x08" + blocks + b";"
+    assert gif.read_back(other) == (bytes(drawn), 1, 0, [0, 0, 0, drawn.count(200)] + [0] * 11 + [drawn.count(3)])
+
+
 # ---- components, URL filters
 
 
