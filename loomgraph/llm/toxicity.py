@@ -226,11 +226,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_terms: int = 400, most_stems: int = 200, least_docs: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_terms: int | None = None, most_stems: int | None = None, least_docs: int = 4) -> Model:
     """Fit to docs(doc_id, text) and labels(doc_id, toxic), from about `most` labelled rows (the sample's bound).
 
-    The lexicon has at most `most_terms` terms and `most_stems` stems of `least_docs` toxic texts or more, those that
-    single out toxic texts best. The logistic model learns how far to trust matches from texts that the lexicon has not
+    The lexicon has all terms and stems of `least_docs` toxic texts or more that single out toxic texts well (the sample
+    bounds them), or the best `most_terms` and `most_stems` of them. The logistic model learns how far to trust matches from texts that the lexicon has not
     seen: each half of the sample is matched with the lexicon of the other half. Null labels are left out; of several
     labels of a document the largest counts. Without labels of both kinds all scores are the labels' mean, or 0.
     """
@@ -271,7 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_terms: int
         error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
         own = some.select("word", "is_stem", clean.alias("clean"), toxic.alias("toxic")).withColumn("odds", odds)
         strong = own.filter((F.col("toxic") >= max(2, least_docs * len(parts) // 2)) & (F.col("odds") >= 3.0) & (F.col("odds") - 2 * error >= 0.75)).withColumn("rank", F.col("odds") * F.sqrt("toxic"))
-        top = lambda stems, n: strong.filter(F.col("is_stem") == stems).orderBy(F.desc("rank"), "word").limit(n).collect()
+        ranked = lambda stems: strong.filter(F.col("is_stem") == stems).orderBy(F.desc("rank"), "word")
+        top = lambda stems, n: (ranked(stems) if n is None else ranked(stems).limit(n)).collect()
         terms = {r.word: r.odds for r in top(False, most_terms)}
         stems: dict[str, float] = {}
         for r in sorted(top(True, most_stems), key=lambda r: len(r.word)):

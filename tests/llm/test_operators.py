@@ -377,6 +377,15 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs(spark), none).collect()} == {0.0}
 
 
+def test_lexicon_keeps_all_strong_terms(spark):
+    rng = random.Random(15)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    terms, plain = (["".join(rng.choices(letters, k=7)) for _ in range(k)] for k in (450, 100))
+    rows = [(d, " ".join(rng.sample(plain, 20) + (rng.sample(terms, 90) if d % 4 == 0 else [])), "en", "s", 1) for d in range(400)]
+    labels = spark.createDataFrame([(d, int(d % 4 == 0)) for d in range(400)], "doc_id long, toxic int")
+    assert set(toxicity.fit(docs(spark, rows), labels).terms) == set(terms)
+
+
 # ---- Jaccard join
 
 
