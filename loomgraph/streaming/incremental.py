@@ -1,4 +1,9 @@
-"""Incremental loading: new extraction files become the next snapshot of the graph, once each."""
+"""Incremental loading: new extraction files become the next snapshot of the graph, once each.
+
+Files come in the order of their names within a batch, after those of all earlier batches. A snapshot keeps, beside
+nodes and edges, what later files must know of earlier ones: the entities as they were resolved (`state`) and the files
+read (`files`). So any number of batches give the same graph as one batch of all files.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from .. import schemas
-from ..operators import loading
+from ..operators import extraction, loading, resolution
+from ..operators.iteration import checkpoint, numbered
+from ..sources import documents
+
+TABLES = ("nodes", "edges", "state", "files")
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """Extraction results as they arrive; the checkpoint of the query knows which files were read."""
-    return spark.readStream.schema(schemas.EXTRACTION).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
+    found = spark.readStream.schema(schemas.EXTRACTION).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
+    return found.select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
 def event_counts(events: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -21,48 +31,83 @@ def event_counts(events: DataFrame, window: str = "1 day", late: str = "1 day")
 
 
 class Snapshots:
-    """Numbered snapshots of node and edge tables in a folder. A batch reads the last one and writes its own, so a
-    batch that is run again writes the same one again."""
+    """Numbered snapshots of tables in a folder. A batch reads the last one before it and writes its own, so a batch
+    that is run again writes the same one again."""
 
     def __init__(self, path: str):
         self.path = path
 
-    def _at(self, spark: SparkSession, version: int) -> str | None:
-        found = f"{self.path}/{version:08d}"
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{found}/_done")
-        return found if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+    def _last(self, spark: SparkSession, before: int) -> str | None:
+        """The newest finished snapshot before a version, from one listing of the folder."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = sorted((s.getPath().getName() for s in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
+        for name in names:
+            if name.isdigit() and int(name) < before and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_done")):
+                return f"{self.path}/{name}"
+        return None
+
+    def read(self, spark: SparkSession, before: int) -> dict[str, DataFrame] | None:
+        found = self._last(spark, before)
+        return found and {t: spark.read.parquet(f"{found}/{t}") for t in TABLES}
 
     def latest(self, spark: SparkSession, before: int) -> tuple[DataFrame, DataFrame] | None:
-        for version in range(before - 1, -1, -1):
-            if found := self._at(spark, version):
-                return spark.read.parquet(f"{found}/nodes"), spark.read.parquet(f"{found}/edges")
-        return None
+        """Nodes and edges of the last snapshot before a version."""
+        found = self.read(spark, before)
+        return found and (found["nodes"], found["edges"])
 
-    def write(self, spark: SparkSession, version: int, nodes: DataFrame, edges: DataFrame) -> None:
+    def write(self, spark: SparkSession, version: int, **tables: DataFrame) -> None:
         out = f"{self.path}/{version:08d}"
-        nodes.write.mode("overwrite").parquet(f"{out}/nodes")
-        edges.write.mode("overwrite").parquet(f"{out}/edges")
+        for name in TABLES:
+            tables[name].write.mode("overwrite").parquet(f"{out}/{name}")
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_done")
         at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True).close()
 
 
+def _state(old: DataFrame | None, assigned: DataFrame) -> DataFrame:
+    """Entities as resolved so far: type, name and place of the first record, properties last-wins with nulls, sources."""
+    new = resolution.resolved(assigned).join(assigned.groupBy(F.col("canonical_id").alias("entity_id")).agg(F.min("seq").alias("seq")), "entity_id")
+    if old is None:
+        return new
+    a, b = old.alias("o"), new.alias("n")
+    first = lambda c: F.coalesce(f"o.{c}", f"n.{c}").alias(c)
+    none = F.array().cast(old.schema["sources"].dataType)
+    sources = F.array_distinct(F.concat(F.coalesce("o.sources", none), F.coalesce("n.sources", none))).alias("sources")
+    properties = loading.over(F.col("o.properties"), F.col("n.properties")).alias("properties")
+    joined = a.join(b, F.col("o.entity_id") == F.col("n.entity_id"), "full_outer")
+    return joined.select(*[sources if c == "sources" else properties if c == "properties" else first(c) for c in new.columns])
+
+
+def next_snapshot(last: dict[str, DataFrame] | None, results: DataFrame) -> dict[str, DataFrame]:
+    """The tables after extraction results(document_id, entities, relationships, file_path) that come after `last`.
+
+    Entities of earlier snapshots are leaders that come before all new records, which follow them or become leaders
+    themselves, as if all had come at once. A file without results changes nothing but the list of files.
+    """
+    read = last["files"].count() if last else 0
+    files = numbered(results, "file_path", "doc_ord").withColumn("doc_ord", F.col("doc_ord") + read)
+    found = checkpoint(results.withColumn("document_id", F.coalesce("document_id", F.lit("unknown"))).join(files, "file_path"))
+    entities, relationships = documents.records(found)
+    records = resolution.with_names(extraction.merge_entities(entities.withColumn("type", F.coalesce("type", F.lit("")))))
+    if last:
+        known = last["state"].select(F.col("entity_id").alias("id"), F.col("entity_type").alias("type"), "name", "seq", F.lit(-1).cast("long").alias("doc_ord"))
+        records = records.unionByName(known, allowMissingColumns=True)
+    assigned = checkpoint(resolution.assign(records)).filter("doc_ord >= 0")
+    state = checkpoint(_state(last and last["state"], assigned))
+    nodes = loading.nodes_of(state)
+    linked = extraction.dedup_relationships(relationships.withColumn("type", F.coalesce("type", F.lit(""))))
+    edges = loading.edges_of(loading.with_endpoints(loading.remap(linked, resolution.alias(assigned)), nodes))
+    if last:
+        edges = loading.upsert_edges(last["edges"], edges)
+        files = last["files"].unionByName(files)
+    return {"nodes": nodes, "edges": edges, "state": state, "files": files}
+
+
 def load(stream: DataFrame, snapshots: Snapshots, checkpoint: str) -> DataStreamWriter:
-    """Write each batch of extraction results into the next snapshot: node and edge upserts by key."""
+    """Write each batch of extraction results into the next snapshot."""
 
     def batch(results: DataFrame, version: int) -> None:
         spark = results.sparkSession
-        found = results.withColumn("doc_ord", F.lit(version).cast("long"))
-        e = found.select("document_id", "doc_ord", F.posexplode("entities").alias("seq", "e")).select("document_id", "doc_ord", "seq", "e.*")
-        nodes = loading.nodes_of(
-            e.filter("id IS NOT NULL").groupBy(F.col("id").alias("entity_id")).agg(
-                F.max_by("type", "seq").alias("entity_type"), F.max_by(F.expr("coalesce(try_variant_get(try_element_at(properties, 'name'), '$', 'string'), id)"), "seq").alias("name"),
-                F.max_by("properties", "seq").alias("properties"), F.array_distinct(F.collect_list("source")).alias("sources"), F.min("doc_ord").alias("first_doc_ord"),
-            )
-        )
-        r = found.select("document_id", "doc_ord", F.posexplode("relationships").alias("seq", "r")).select("document_id", "doc_ord", "seq", "r.*")
-        last = snapshots.latest(spark, version)
-        every = loading.upsert_nodes(last[0], nodes) if last else nodes
-        edges = loading.edges_of(loading.with_endpoints(r, every))
-        snapshots.write(spark, version, every, loading.upsert_edges(last[1], edges) if last else edges)
+        snapshots.write(spark, version, **next_snapshot(snapshots.read(spark, version), results))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
