@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from typing import Any
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 #: Logical plans of queries. Commands are none of them; they run as soon as spark.sql() sees them, so the text is
@@ -20,18 +22,65 @@ class NotReadOnly(ValueError):
     """The text is not a query."""
 
 
-def check(spark: SparkSession, text: str) -> None:
-    """Raise NotReadOnly unless every node of the parsed plan is one of a query."""
-    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
-    while todo:
-        plan = todo.pop()
-        if (kind := plan.getClass().getSimpleName().rstrip("$")) not in QUERY_PLANS:
+#: Built-in functions that run code of the caller's choice.
+UNSAFE = frozenset(("reflect", "java_method", "try_reflect"))
+
+
+def _parts(found: Any) -> list[Any]:
+    """A Scala sequence as a list."""
+    return [found.apply(i) for i in range(found.length())]
+
+
+def _known(spark: SparkSession, name: list[str]) -> bool:
+    """Whether a name is that of a safe built-in function, as this session would resolve it."""
+    if len(name) != 1 or name[0].lower() in UNSAFE:
+        return False
+    state, jvm = spark._jsparkSession.sessionState(), spark._jvm
+    key = jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name[0].lower())
+    for registry in (state.functionRegistry(), state.tableFunctionRegistry()):
+        if registry.functionExists(key):
+            info = registry.lookupFunction(key)
+            return info.isDefined() and info.get().getSource() == "built-in"
+    return False
+
+
+def check(spark: SparkSession, text: str, views: Collection[str] = ()) -> None:
+    """Raise NotReadOnly unless every node of the parsed plan is one of a query, every relation one of `views` or of
+    the query's own names, and every function a built-in one that runs no code of the caller's."""
+    allowed = {v.lower() for v in views}
+    plans, used, functions = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)], [], []
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName().rstrip("$")
+        if kind not in QUERY_PLANS:
             raise NotReadOnly(f"{kind} is not allowed in a read-only query")
-        for part in (plan.children(), plan.innerChildren()):
-            todo += [part.apply(i) for i in range(part.length()) if hasattr(part.apply(i), "children")]
+        if kind == "UnresolvedRelation":
+            used.append(_parts(plan.multipartIdentifier()))
+        elif kind == "UnresolvedTableValuedFunction":
+            functions.append(_parts(plan.name()))
+        elif kind == "UnresolvedWith":
+            for named in _parts(plan.cteRelations()):
+                allowed.add(named._1().lower())
+                plans.append(named._2())
+        plans += [p for found in (plan.children(), plan.innerChildren()) for p in _parts(found)]
+        expressions = _parts(plan.expressions())
+        while expressions:
+            e = expressions.pop()
+            kind = e.getClass().getSimpleName()
+            if kind == "UnresolvedFunction":
+                functions.append(_parts(e.nameParts()))
+            elif is_instance_of(spark._sc._gateway, e, "org.apache.spark.sql.catalyst.expressions.SubqueryExpression"):
+                plans.append(e.plan())
+            expressions += _parts(e.children())
+    for name in used:
+        if len(name) != 1 or name[0].lower() not in allowed:
+            raise NotReadOnly(f"{'.'.join(name)} is not a table of the graph")
+    for name in functions:
+        if not _known(spark, name):
+            raise NotReadOnly(f"{'.'.join(name)} is not an allowed function")
 
 
-def read_only(spark: SparkSession, text: str, args: dict[str, Any] | list[Any] | None = None) -> DataFrame:
-    """Run a query with bound parameters; anything else is refused."""
-    check(spark, text)
+def read_only(spark: SparkSession, text: str, args: dict[str, Any] | list[Any] | None = None, views: Collection[str] = ()) -> DataFrame:
+    """Run a query over `views` with bound parameters; anything else is refused."""
+    check(spark, text, views)
     return spark.sql(text, args=args or None)

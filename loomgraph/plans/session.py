@@ -26,7 +26,7 @@ class GraphSession:
     """Lazy frames over nodes and edges; the caller owns the SparkSession."""
 
     def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, prefix: str = ""):
-        self.spark, self.nodes, self.edges = spark, nodes, edges
+        self.spark, self.nodes, self.edges, self.views = spark, nodes, edges, (f"{prefix}nodes", f"{prefix}edges")
         nodes.createOrReplaceTempView(f"{prefix}nodes")
         edges.createOrReplaceTempView(f"{prefix}edges")
 
@@ -40,7 +40,7 @@ class GraphSession:
         return Match(self.nodes, self.edges)
 
     def sql(self, text: str, args: dict[str, Any] | None = None, limit: int | None = retrieval.ROW_LIMIT) -> DataFrame:
-        found = read_only(self.spark, text, args)
+        found = read_only(self.spark, text, args, self.views)
         return found if limit is None else found.limit(limit)
 
     def schema_summary(self) -> str:
