@@ -21,38 +21,43 @@ def search(nodes: DataFrame, query: str, entity_type: str | None = None, limit:
     return found if limit is None else found.orderBy("entity_id").limit(limit)
 
 
+#: What tells edges apart; other columns of an edge are carried along.
+EDGE = ("src", "type", "tgt")
+
+
 def incident(edges: DataFrame) -> DataFrame:
-    """(here, there, src, type, tgt): each edge from both of its ends; a loop once."""
-    out = edges.select(F.col("src").alias("here"), F.col("tgt").alias("there"), "src", "type", "tgt")
-    back = edges.filter("src <> tgt").select(F.col("tgt").alias("here"), F.col("src").alias("there"), "src", "type", "tgt")
+    """(here, there, and the edge's columns): each edge from both of its ends; a loop once."""
+    out = edges.select(F.col("src").alias("here"), F.col("tgt").alias("there"), *edges.columns)
+    back = edges.filter("src <> tgt").select(F.col("tgt").alias("here"), F.col("src").alias("there"), *edges.columns)
     return out.unionByName(back)
 
 
 def paths(edges: DataFrame, start: DataFrame, depth: int = 1, rel_type: str | None = None) -> DataFrame:
     """Undirected paths of 1 to `depth` (2 at most) edges from start(entity_id), each edge at most once in a path.
 
-    Returns start_id, depth, mid_id (null at depth 1), end_id and hops (array of src, type, tgt). rel_type holds
-    for every hop. Filters on the start reach both scans of the edges.
+    Returns start_id, depth, mid_id (null at depth 1), end_id and hops (array of src, type, tgt and all other
+    columns of the edges, such as properties and sources). rel_type holds for every hop. Filters on the start
+    reach both scans of the edges.
     """
     if depth < 1:
         raise ValueError("depth must be 1 at least")
     kept = edges if rel_type is None else edges.filter(F.col("type") == rel_type)
     each = incident(kept)
-    hop = F.struct("src", "type", "tgt")
+    hop = F.struct(*EDGE, *[c for c in edges.columns if c not in EDGE])
+    same = [F.col(f"first.{c}") == F.col(f"second.{c}") for c in EDGE]
     one = start.select(F.col("entity_id").alias("start_id")).join(each, F.col("start_id") == F.col("here")).select("start_id", F.col("there").alias("end_id"), hop.alias("first"))
     at_one = one.select("start_id", F.lit(1).alias("depth"), F.lit(None).cast("string").alias("mid_id"), "end_id", F.array("first").alias("hops"))
     if min(depth, MOST_DEPTH) == 1:
         return at_one
     second = each.select("here", F.col("there").alias("last"), hop.alias("second"))
-    two = one.join(second, F.col("end_id") == F.col("here")).filter(F.col("first") != F.col("second"))
+    two = one.join(second, F.col("end_id") == F.col("here")).filter(~(same[0] & same[1] & same[2]))
     return at_one.unionByName(two.select("start_id", F.lit(2).alias("depth"), F.col("end_id").alias("mid_id"), F.col("last").alias("end_id"), F.array("first", "second").alias("hops")))
 
 
 def neighbors(edges: DataFrame, entity_id: str, depth: int = 1, rel_type: str | None = None, limit: int | None = PATH_LIMIT) -> DataFrame:
     """Paths from one node, in a fixed order; the limit counts paths."""
-    start = edges.sparkSession.createDataFrame([(entity_id,)], "entity_id string")
-    found = paths(edges, start, depth, rel_type)
-    return found if limit is None else found.orderBy("depth", "end_id", F.col("mid_id").asc_nulls_first(), F.to_json("hops")).limit(limit)
+    found = paths(edges, edges.sparkSession.range(1).select(F.lit(entity_id).alias("entity_id")), depth, rel_type)
+    return found if limit is None else found.orderBy("depth", "end_id", F.col("mid_id").asc_nulls_first(), F.to_json(F.transform("hops", lambda h: F.struct(*[h[c].alias(c) for c in EDGE])))).limit(limit)
 
 
 def nodes_on(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -63,8 +68,10 @@ def nodes_on(found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def edges_on(found: DataFrame) -> DataFrame:
-    """The edges of paths, each once."""
-    return found.select(F.explode("hops").alias("h")).select("h.src", "h.type", "h.tgt").distinct()
+    """The edges of paths, each once, with all their columns."""
+    each = found.select(F.explode("hops").alias("h")).select("h.*")
+    rest = [F.first(c).alias(c) for c in each.columns if c not in EDGE]
+    return each.groupBy(*EDGE).agg(*rest) if rest else each.distinct()
 
 
 def node_counts(nodes: DataFrame) -> DataFrame:
@@ -84,6 +91,15 @@ def schema_summary(nodes: DataFrame, edges: DataFrame) -> str:
     return "\n".join([*lines, "Relationship counts:", *[f"  {r.type}: {r.cnt}" for r in edge_counts(edges).collect()]])
 
 
+#: Columns that are of use to the engine alone, and those that a compact node leaves out besides.
+BOOKKEEPING, LONG = ("first_doc_ord", "name_lc", "depth"), ("sources", "labels")
+
+
+def full(nodes: DataFrame) -> DataFrame:
+    """Nodes once each with their sources, as evidence keeps them."""
+    return nodes.dropDuplicates(["entity_id"]).drop(*BOOKKEEPING)
+
+
 def compact(nodes: DataFrame) -> DataFrame:
     """Nodes once each, without bookkeeping; a property called type stays apart from the entity's type."""
-    return nodes.dropDuplicates(["entity_id"]).drop("sources", "labels", "first_doc_ord", "name_lc", "depth")
+    return full(nodes).drop(*LONG)

@@ -104,10 +104,12 @@ class Tools:
 
     def get_neighbors(self, entity_id: str, depth: int = 1, rel_type: str | None = None) -> dict[str, Any]:
         paths = self.graph.neighbors(entity_id, depth, rel_type)
-        nodes = [r.asDict(recursive=True) for r in retrieval.compact(retrieval.nodes_on(paths, self.graph.nodes)).collect()]
+        found = [r.asDict(recursive=True) for r in retrieval.full(retrieval.nodes_on(paths, self.graph.nodes)).collect()]
         edges = [r.asDict(recursive=True) for r in retrieval.edges_on(paths).collect()]
-        self.evidence.add_nodes(nodes)
+        # Evidence keeps the sources that an answer cites; the reply goes without them.
+        self.evidence.add_nodes(found)
         self.evidence.add_relationships(edges)
+        nodes = [{k: v for k, v in n.items() if k not in retrieval.LONG} for n in found]
         return {"nodes_found": len(nodes), "relationships_found": len(edges), "nodes": nodes, "relationships": edges}
 
     def run_query(self, query: str, params: dict[str, Any] | None = None) -> dict[str, Any]:
