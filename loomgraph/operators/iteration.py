@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Checkpoint to spark.checkpoint.dir; where that is unset, as in tests, to a temporary folder."""
+    """Checkpoint to spark.checkpoint.dir; where that is unset and all runs on one machine, to a temporary folder."""
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-"))
     return df.checkpoint()
 
 

@@ -53,21 +53,21 @@ def leaders(records: DataFrame, least: int = SAME_NAME, strict: bool = False) ->
     keys = checkpoint(keyed.groupBy("id", "type", "sorted_name").agg(F.min("seq").alias("seq")))
     by_name = keys.filter(~F.col("type").isin(*NUMBERED)) if strict else keys
     alike = similar_names(by_name.select("type", F.col("sorted_name").alias("name")).distinct(), least).select("type", "a", "b")
-    both = alike.unionByName(alike.select("type", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(by_name.select("type", F.col("sorted_name").alias("a"), F.col("sorted_name").alias("b")).distinct())
-    seq, of = F.col("seq"), F.col("of")
-    left = by_name.select("type", F.col("sorted_name").alias("a"), "seq")
-    right = by_name.select("type", F.col("sorted_name").alias("b"), F.col("seq").alias("of"))
-    fuzzy = both.join(left, ["type", "a"]).join(right, ["type", "b"]).filter(of < seq).select("seq", "of")
-    exact = keys.select("id", "seq").join(keys.select("id", F.col("seq").alias("of")), "id").filter(of < seq).select("seq", "of")
-    edges = checkpoint(fuzzy.unionByName(exact).distinct())
-    # null: not decided
-    state = checkpoint(keys.select("seq").join(edges.select("seq").distinct().withColumn("has", F.lit(True)), "seq", "left").select("seq", F.when(F.col("has").isNull(), True).alias("leads")))
+    own = by_name.select("type", F.col("sorted_name").alias("a"), F.col("sorted_name").alias("b")).distinct()
+    near = checkpoint(alike.unionByName(alike.select("type", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own))
+    # The records of one name, or of one id, have one leader at most, as all later ones follow it. So what a record
+    # must know of them is their leader and the first one that is not decided: two numbers, however many they are.
+    first = lambda when, name: F.min(F.when(when, F.col("seq"))).alias(name)
+    state = keys.withColumn("leads", F.lit(None).cast("boolean"))
     while not state.filter("leads IS NULL").isEmpty():
-        earlier = edges.join(state.filter("leads IS NULL").select("seq"), "seq", "left_semi").join(state.select(F.col("seq").alias("of"), F.col("leads").alias("other")), "of")
-        seen = earlier.groupBy("seq").agg(F.bool_or(F.coalesce("other", F.lit(False))).alias("follows"), F.bool_or(F.col("other").isNull()).alias("waits"))
-        decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("follows"), False).when(~F.col("waits"), True)
-        state = checkpoint(state.join(seen, "seq", "left").select("seq", decided.alias("leads")))
-    return keys.join(state.withColumnRenamed("leads", "is_leader"), "seq").select("id", "type", "sorted_name", "seq", "is_leader")
+        by_id = state.groupBy("id").agg(first(F.col("leads"), "id_lead"), first(F.col("leads").isNull(), "id_wait"))
+        named = state.groupBy("type", F.col("sorted_name").alias("b")).agg(first(F.col("leads"), "lead"), first(F.col("leads").isNull(), "wait"))
+        around = near.join(named, ["type", "b"]).groupBy("type", F.col("a").alias("sorted_name")).agg(F.min("lead").alias("lead"), F.min("wait").alias("wait"))
+        earlier = lambda c: F.coalesce(F.col(c) < F.col("seq"), F.lit(False))
+        follows, waits = earlier("id_lead") | earlier("lead"), earlier("id_wait") | earlier("wait")
+        decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(follows, False).when(~waits, True)
+        state = checkpoint(state.join(by_id, "id").join(around, ["type", "sorted_name"], "left").select(*keys.columns, decided.alias("leads")))
+    return state.withColumnRenamed("leads", "is_leader").select("id", "type", "sorted_name", "seq", "is_leader")
 
 
 def assign(records: DataFrame, least: int = SAME_NAME, strict: bool = False) -> DataFrame:
