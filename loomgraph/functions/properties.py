@@ -30,8 +30,10 @@ def clean(properties: str) -> Column:
         WHEN startswith({kind('e.value')}, 'ARRAY') THEN array(named_struct('key', e.key, 'value', {listed}))
         ELSE array(named_struct('key', e.key, 'value', e.value)) END"""
     every = f"flatten(transform(map_entries({properties}), e -> {entry}))"
-    last = f"transform({every}, x -> x.key)"
-    return F.expr(f"map_from_entries(filter({every}, (x, i) -> NOT array_contains(slice({last}, i + 2, size({last})), x.key)))")
+    # Entries and keys are bound by a lambda each, so that they are made once whatever follows.
+    kept = "map_from_entries(filter(e, (x, i) -> NOT array_contains(slice(k, i + 2, size(k)), x.key)))"
+    keyed = f"transform(array(transform(e, x -> x.key)), k -> {kept})[0]"
+    return F.when(F.col(properties).isNotNull(), F.expr(f"transform(array({every}), e -> {keyed})[0]"))
 
 
 def merged(rows: DataFrame, keys: list[str], properties: str = "properties", seq: str = "seq", last: tuple[str, ...] = ()) -> DataFrame:

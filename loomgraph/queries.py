@@ -284,9 +284,10 @@ def conversation_blocks(spark, sf_dir):
     return documents.blocks_of_turns(tables.read(spark, sf_dir, "conversations")).select("document_id", "page_idx", "block_type", "content")
 
 
-@query("SELECT doc_id AS document_id, k AS block_pos, substring(text, 5 * k + 1, 5 + k) AS content FROM documents, (SELECT unnest([0, 1, 2]) AS k)")
+@query("SELECT doc_id AS document_id, CAST(k AS INTEGER) AS block_pos, substring(text, 400 * k + 1, 400) AS content FROM documents, LATERAL (SELECT unnest(generate_series(0, length(text) // 400)) AS k)")
 def block_substring(spark, sf_dir):
-    boxes = F.array(*[F.struct(F.lit("text").alias("class"), F.lit(k).alias("index"), F.array(F.lit(5 * k), F.lit(6 * k + 5)).alias("pos")) for k in range(3)])
+    tile = F.sequence(F.lit(0), F.floor(F.length("text") / 400).cast("int"))  # boxes of 400 characters over the whole text
+    boxes = F.transform(tile, lambda k: F.struct(F.lit("text").alias("class"), k.alias("index"), F.array(400 * k, 400 * (k + 1)).alias("pos")))
     chunks = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("page_idx"), "text", F.struct(F.lit(1).alias("page_number")).alias("metadata"), boxes.alias("page_boxes"))
     return documents.blocks_of_chunks(chunks).select("document_id", "block_pos", "content")
 
@@ -349,7 +350,7 @@ def parse_json_props(spark, sf_dir):
     return bags.select("event_id", F.expr("try_variant_get(try_element_at(bag, 'k'), '$', 'bigint')").alias("k"))
 
 
-_ANSWER = """CASE WHEN doc_id % 5 = 0 THEN substring(text, 1, 300) ELSE '{"entities":[{"id":"company_' || (doc_id % 40) || '","type":"' || CASE WHEN doc_id % 7 = 0 THEN 'Firm' ELSE 'Company' END || '","properties":{"name":"Company ' || (doc_id % 40) || '","rank":' || doc_id || '},"source":{"page_num":1,"section":"s"}}],
+_ANSWER = """CASE WHEN doc_id % 5 = 0 THEN text ELSE '{"entities":[{"id":"company_' || (doc_id % 40) || '","type":"' || CASE WHEN doc_id % 7 = 0 THEN 'Firm' ELSE 'Company' END || '","properties":{"name":"Company ' || (doc_id % 40) || '","rank":' || doc_id || '},"source":{"page_num":1,"section":"s"}}],
 "relationships":[{"source_id":"company_' || (doc_id % 40) || '","target_id":"geography_' || lang || '","type":"OPERATES_IN","properties":{"filing_year":' || (2020 + doc_id % 3) || '},"source":{"page_num":1,"section":"s"}}]}' END"""
 
 
@@ -537,22 +538,21 @@ def pattern_two_hop(spark, sf_dir):
     return m.where(F.contains("r.name", F.lit("A"))).returns(company=F.col("c.name"), region=F.col("r.name"))
 
 
-@query(f"""{BOTH_SQL} SELECT p.entity_id AS product, s.entity_id AS supplier FROM nodes p LEFT JOIN (SELECT tgt, src FROM edges WHERE type = 'HAS_SEGMENT' AND src LIKE 'legal_1%') e ON e.tgt = p.entity_id
+@query(f"""{BOTH_SQL} SELECT p.entity_id AS product, s.entity_id AS supplier FROM nodes p LEFT JOIN (SELECT tgt, src FROM edges WHERE type = 'HAS_SEGMENT') e ON e.tgt = p.entity_id
   LEFT JOIN nodes s ON s.entity_id = e.src WHERE p.entity_type = 'Product'""")
 def pattern_optional(spark, sf_dir):
     from .plans.patterns import Match
 
     nodes, edges = graph(spark, sf_dir)
-    some = edges.filter(F.startswith("src", F.lit("legal_1")))
-    return Match(nodes, some).node("p", "Product").edge("e", "HAS_SEGMENT", direction="in", optional=True).node("s").returns(product=F.col("p.entity_id"), supplier=F.col("s.entity_id"))
+    return Match(nodes, edges).node("p", "Product").edge("e", "HAS_SEGMENT", direction="in", optional=True).node("s").returns(product=F.col("p.entity_id"), supplier=F.col("s.entity_id"))
 
 
-@query(f"{BOTH_SQL} SELECT entity_id FROM nodes WHERE entity_type = 'Product' AND entity_id NOT IN (SELECT tgt FROM edges WHERE type = 'HAS_SEGMENT' AND src < 'legal_3')")
+@query(f"{BOTH_SQL} SELECT entity_id FROM nodes WHERE entity_type = 'Geography' AND entity_id NOT IN (SELECT tgt FROM edges WHERE type = 'OPERATES_IN')")
 def pattern_not_exists(spark, sf_dir):
     from .plans.patterns import Match
 
     nodes, edges = graph(spark, sf_dir)
-    return Match(nodes, edges.filter("src < 'legal_3'")).node("p", "Product").exists("HAS_SEGMENT", direction="in", negated=True).returns(entity_id=F.col("p.entity_id"))
+    return Match(nodes, edges).node("p", "Geography").exists("OPERATES_IN", direction="in", negated=True).returns(entity_id=F.col("p.entity_id"))
 
 
 @query(f"""{BOTH_SQL} SELECT g.name AS place, count(*) AS n, count(DISTINCT c.entity_type) AS kinds, min(c.name) AS first FROM edges e JOIN nodes c ON c.entity_id = e.src JOIN nodes g ON g.entity_id = e.tgt
