@@ -29,8 +29,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir;
-    only where that is unset (local tests) a temporary folder is made."""
+    """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir; a temporary one is
+    made only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if found.isDefined():
         return found.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="loomgraph-")
     sc.setCheckpointDir(made)
     return made
@@ -61,6 +63,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of ids or keys that may be broadcast, a few million bytes; more of them are shuffled.
+MOST_SENT = 100_000
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table of narrow rows, marked for a broadcast if it is small enough."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= MOST_SENT else df
+
+
 def free(spark: SparkSession) -> None:
     """Shuffle files of finished jobs stay on the executors until the driver collects its garbage; it does so now.
     For use after a phase that shuffles much."""

@@ -2,8 +2,9 @@
 
 An item's windows are its runs of `n` words, or all of it where it has fewer. Each document's windows are hashed and
 looked up in the set of the windows' hashes, and every hit is verified by its words before it counts, in the same row:
-no document is shuffled. The set goes out with the plan as long as it holds at most MOST_IN_SET windows; beyond
-that the documents' window hashes are joined with it, and the hits are verified against the written words.
+no document is shuffled. A position is hashed in full only if its first two words begin a window. The set goes out
+with the plan as long as it holds at most MOST_IN_SET windows; beyond that the documents' window hashes are joined
+with it, without a shuffle as long as it can be broadcast, and the hits are verified against the written words.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, aside, restored, written
+from .common import ascii_lower, aside, few, restored, written
 
 #: Windows of the benchmark that the plan may carry (about 80 bytes each).
 MOST_IN_SET = 50_000
@@ -29,7 +30,8 @@ def windows(benchmark: DataFrame, n: int) -> DataFrame:
     own = benchmark.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(n)))
     at = F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length")))
     cut = own.withColumn("at", at).withColumn("cut", F.slice("words", F.col("at") + 1, F.col("length")))
-    return cut.select("item_id", "length", F.array_join("cut", " ").alias("window"), F.xxhash64("cut").alias("hash")).distinct()
+    head = F.xxhash64(F.get("cut", F.lit(0)), F.get("cut", F.lit(1)))
+    return cut.select("item_id", "length", F.array_join("cut", " ").alias("window"), F.xxhash64("cut").alias("hash"), head.alias("head")).distinct()
 
 
 HITS = "array<struct<pos:int,len:int,window:string>>"
@@ -45,9 +47,11 @@ def _in_set(by_length: dict[int, list]) -> Column:
     parts = [f"CAST(array() AS {HITS})"]
     for length, some in sorted(by_length.items()):
         cut = f"slice(words, i + 1, {length})"
-        hashes = ",".join(f"{x}L" for x in sorted({w.hash for w in some}))
+        hashes, heads = (",".join(f"{x}L" for x in sorted(own)) for own in ({w.hash for w in some}, {w.head for w in some}))
         texts = ",".join(f"'{x}'" for x in sorted({w.window for w in some}))  # words have no quotes and no backslashes
-        at = f"filter({_starts(length)}, i -> xxhash64({cut}) IN ({hashes}))"
+        # The first words alone are cheap to look at, and few positions pass.
+        first = f"xxhash64(words[i], {'words[i + 1]' if length > 1 else 'CAST(NULL AS string)'}) IN ({heads})"
+        at = f"filter({_starts(length)}, i -> {first} AND xxhash64({cut}) IN ({hashes}))"
         hits = f"transform({at}, i -> named_struct('pos', i, 'len', {length}, 'window', array_join({cut}, ' ')))"
         parts.append(f"filter({hits}, x -> x.window IN ({texts}))")
     return F.expr(f"concat({', '.join(parts)})")
@@ -58,7 +62,7 @@ def _joined(split: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame
     kept = written(split)
     each = [f"transform({_starts(n)}, i -> named_struct('pos', i, 'len', {n}, 'hash', xxhash64(slice(words, i + 1, {n}))))" for n in lengths]
     rows = kept.select("row_key", F.expr(f"explode({each[0] if len(each) == 1 else f'concat({", ".join(each)})'})").alias("w")).select("row_key", "w.*")
-    some = rows.join(found.select("hash", "window", F.col("length").alias("len")).distinct(), ["hash", "len"])
+    some = rows.join(few(found.select("hash", "window", F.col("length").alias("len")).distinct()), ["hash", "len"])
     by_row = some.groupBy("row_key").agg(F.collect_list(F.struct("pos", "len", "window")).alias("hits"))
     verified = "filter(hits, x -> array_join(slice(words, x.pos + 1, x.len), ' ') = x.window)"
     return kept.join(by_row, "row_key", "left").withColumn("hits", F.coalesce(F.expr(verified), F.expr(f"CAST(array() AS {HITS})")))
@@ -73,7 +77,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_in_set: int
     if sum(sizes.values()) > most_in_set:
         return _joined(split, found, sorted(sizes)), found, False
     by_length: dict[int, list] = {}
-    for x in found.select("length", "window", "hash").distinct().collect():
+    for x in found.select("length", "window", "hash", "head").distinct().collect():
         by_length.setdefault(x.length, []).append(x)
     return split.withColumn("hits", _in_set(by_length)), found, True
 
@@ -90,12 +94,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_in_se
     and spans (array of pos, len in words). Null texts have no words, items without words no windows. Repeated
     rows stay and count once each; further columns are dropped; an empty table gives no rows.
     """
-    rows, found, few = matches(docs.select("doc_id", "text"), benchmark, n, most_in_set)
+    rows, found, small = matches(docs.select("doc_id", "text"), benchmark, n, most_in_set)
     hit = rows.select("row_key", "doc_id", F.size("words").alias("n_words"), F.explode_outer("hits").alias("hit"))
-    named = found.select(F.col("window"), F.col("item_id").cast("string").alias("item"))
-    joined = hit.withColumn("window", F.col("hit.window")).join(F.broadcast(named) if few else named, "window", "left")
-    span = F.when(F.col("item").isNotNull(), F.struct(F.col("hit.pos").alias("pos"), F.col("hit.len").alias("len")))
-    by_row = joined.groupBy("row_key", "doc_id", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    # A window's items are one list, so a hit is one row however many items share its passage.
+    named = found.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("own"))
+    joined = hit.withColumn("window", F.col("hit.window")).join(F.broadcast(named) if small else named, "window", "left")
+    span = F.when(F.col("own").isNotNull(), F.struct(F.col("hit.pos").alias("pos"), F.col("hit.len").alias("len")))
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("own"))))
+    by_row = joined.groupBy("row_key", "doc_id", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), items.alias("items"))
     return by_row.select("doc_id", F.col("n_words").cast("long"), F.expr(_COVERED).cast("long").alias("n_hit"), "items", "spans")
 
 

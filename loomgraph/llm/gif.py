@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +12,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches, slices, texts
 
+#: Pixels of the largest canvas that is decoded; a larger one is an error of its image (a header alone may claim
+#: four billion).
+MOST_PIXELS = 1 << 26
 #: Widest image that encode() writes, and its most rows in a frame.
 WIDTH, MOST_ROWS = 64, 16384
 _GREY = bytes(c for i in range(256) for c in (i, i, i))
@@ -57,107 +58,114 @@ def _codes(raw: np.ndarray, first_bit: int, count: int, width: int) -> np.ndarra
     return word >> (bits & 7) & ((1 << width) - 1)
 
 
-def _segment(codes: np.ndarray, clear: int) -> np.ndarray:
-    """Samples of the codes between two clear codes.
+_LITERALS = [bytes((i,)) for i in range(256)]
 
-    Entry clear + 2 + k is what code k stands for with the first sample of code k + 1, that is a stretch of the
-    output itself. So each code has a length and a place to copy from, and all of them are followed at once, by
-    pointer doubling, until they end at literal codes.
-    """
-    literal = codes < clear
-    if literal.all():
-        return codes.astype(np.uint8)
-    n = len(codes)
-    refers = np.where(literal, -1, codes - clear - 2)
-    if literal[0] == False or (refers >= np.arange(n)).any():  # noqa: E712
+
+def _segment(codes: list[int], clear: int, most: int) -> bytes:
+    """Samples of the codes between two clear codes (one code at least), `most` of them if there are so many, or more.
+
+    Each code but the first adds an entry to the string table: what the code before it stands for and the first
+    sample of its own string. A code may name the entry that it is about to add."""
+    if codes[0] >= clear:
         raise ValueError("a code refers to an entry that is not there yet")
-    # length[k] = 1 + number of steps from k to a literal
-    length, to = np.ones(n, np.int64), refers.copy()
-    while (going := to >= 0).any():
-        length[going] += length[to[going]]
-        to[going] = to[to[going]]
-    start = np.cumsum(length) - length
-    total = int(length.sum())
-    # sample j of code k is sample j of its entry, which begins where code refers[k] begins
-    own = np.repeat(np.arange(n), length)
-    source = np.arange(total)
-    copied = refers[own] >= 0
-    source[copied] = start[refers[own[copied]]] + (source[copied] - start[own[copied]])
-    while True:
-        further = source[source]
-        if (further == source).all():
+    table = _LITERALS[:clear] + [b"", b""]
+    add, n, before = table.append, clear + 2, table[codes[0]]
+    parts = [before]
+    for code in codes[1 : 4096 - clear - 1]:
+        if code < n:
+            entry = table[code]
+            add(before + entry[:1])
+        elif code == n:
+            entry = before + before[:1]
+            add(entry)
+        else:
+            raise ValueError("a code refers to an entry that is not there yet")
+        parts.append(entry)
+        before = entry
+        n += 1
+    made = sum(map(len, parts))
+    for at in range(len(parts), len(codes), 4096):  # the table is full
+        if made >= most:
             break
-        source = further
-    values = np.zeros(total, np.uint8)
-    values[start[literal]] = codes[literal]
-    return values[source]
+        entries = [table[c] for c in codes[at : at + 4096]]
+        made += sum(map(len, entries))
+        parts += entries
+    return b"".join(parts)
 
 
 def lzw_decode(raw: bytes, bits: int, count: int) -> np.ndarray:
-    """`count` samples from a GIF code stream of minimum code size `bits`."""
+    """`count` samples from a GIF code stream of minimum code size `bits` (2 to 8)."""
+    if not 2 <= bits <= 8:
+        raise ValueError("the code size is not one of a GIF")
     clear, end = 1 << bits, (1 << bits) + 1
     data = np.frombuffer(raw + b"\0\0\0\0", np.uint8)
     stop_bit, bit, width = 8 * len(raw), 0, bits + 1
-    out: list[np.ndarray] = []
-    have, segment, width, more = 0, [], bits + 1, True
+    out: list[bytes] = []
+    have, segment, more = 0, [], True
     while more and have < count:
-        # Codes since the last clear: the table gains an entry with each but the first, and the width follows it.
-        since = sum(map(len, segment))
-        if width < 12:
-            room = (1 << width) - end - since
-        else:
-            room = 1 << 30
+        # The width follows the number of codes since the last clear, so codes of one width are read at once.
+        room = (1 << width) - end - len(segment) if width < 12 else 4096
         take = min(max(room, 1), (stop_bit - bit) // width)
-        if take <= 0:
-            more = False
-            codes = np.empty(0, np.int64)
-        else:
-            codes = _codes(data, bit, take, width)
+        codes = _codes(data, bit, take, width) if take > 0 else np.empty(0, np.int64)
         special = np.flatnonzero((codes == clear) | (codes == end))
         used = int(special[0]) if len(special) else len(codes)
-        segment.append(codes[:used])
+        segment += codes[:used].tolist()
         bit += used * width
-        if len(special) or not more:
-            if any(map(len, segment)):
-                made = _segment(np.concatenate(segment), clear)
-                out.append(made)
-                have += len(made)
+        if len(special) or take <= 0 or len(segment) >= count - have:
+            if segment:
+                out.append(_segment(segment, clear, count - have))
+                have += len(out[-1])
             segment = []
-            if len(special):
-                bit += width
-                more = codes[used] == clear
+            more = bool(len(special)) and codes[used] == clear
+            bit += width
             width = bits + 1
         elif width < 12:
             width += 1
-    if segment and any(map(len, segment)):
-        out.append(_segment(np.concatenate(segment), clear))
-    samples = np.concatenate(out) if out else np.empty(0, np.uint8)
-    if len(samples) < count:
+    if have < count:
         raise ValueError("the code stream ends early")
-    return samples[:count]
-
-
-def lzw_store(samples: np.ndarray) -> bytes:
-    """A code stream of 8-bit samples that clears the table before codes outgrow 9 bits: eight codes in nine bytes."""
-    n = len(samples)
-    rows = -(-n // 254)
-    codes = np.full((rows, 255), 257, np.uint64)
-    codes[:, 0] = 256
-    flat = np.full(rows * 254, 257, np.uint64)
-    flat[:n] = samples
-    codes[:, 1:] = flat.reshape(rows, 254)
-    used = n + rows + 1  # with the end code
-    stream = np.zeros(-(-used // 8) * 8, np.uint64)
-    stream[: used - 1] = codes.ravel()[: used - 1]
-    stream[used - 1] = 257
-    g = stream.reshape(-1, 8)
-    low = g[:, 0].copy()
-    for i in range(1, 8):
-        low |= g[:, i] << np.uint64(9 * i)  # the last code's upper bit falls off
-    packed = np.empty((len(g), 9), np.uint8)
-    packed[:, :8] = low.astype("<u8").view(np.uint8).reshape(-1, 8)
-    packed[:, 8] = g[:, 7] >> np.uint64(1)
-    return packed.tobytes()[: -(-used * 9 // 8)]
+    return np.frombuffer(b"".join(out), np.uint8, count)
+
+
+def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
+    """A code stream of samples below 2 ** bits. The table grows to 4096 entries, then a clear code begins a new one."""
+    clear = 1 << bits
+    codes, places, table = [clear << 8], [0], {}
+    # Numbers of entries are kept shifted by the bits of a sample, so that a key is one of them with a sample.
+    find, emit, free, full = table.get, codes.append, clear + 2 << 8, 4096 << 8
+    rest = iter(samples)
+    prefix = next(rest, -1) << 8
+    for sample in rest:
+        key = prefix | sample
+        if code := find(key):
+            prefix = code
+            continue
+        emit(prefix)
+        prefix = sample << 8
+        if free < full:
+            table[key] = free
+            free += 256
+        else:
+            places.append(len(codes))
+            emit(clear << 8)
+            table.clear()
+            free = clear + 2 << 8
+    if prefix >= 0:
+        emit(prefix)
+    emit(clear + 1 << 8)
+    # A code is as wide as the newest entry's number; entry clear + 2 + i comes with code i after a clear code.
+    all_ = np.array(codes, np.int64) >> 8
+    starts = np.array(places, np.int64)
+    since = np.arange(len(all_)) - np.repeat(starts, np.diff(np.append(starts, len(all_)))) - 1  # -1: a clear code
+    newest = np.minimum(clear + 1 + since, 4095)
+    widths = np.maximum(bits + 1, np.floor(np.log2(np.maximum(newest, 1))).astype(np.int64) + 1)
+    widths[starts[1:]] = 12  # written while the old table is full
+    widths[0] = bits + 1
+    at = np.cumsum(widths) - widths
+    value, byte = all_ << (at & 7), at >> 3
+    size = int(at[-1] + widths[-1] + 7) >> 3
+    # Codes share no bits, so sums of their bytes are exact.
+    packed = sum(np.bincount(byte + i, (value >> 8 * i & 255).astype(np.float64), size + 3) for i in range(3))
+    return packed[:size].astype(np.uint8).tobytes()
 
 
 def encode(payload: bytes, delay_ms: int = 100) -> bytes:
@@ -168,21 +176,28 @@ def encode(payload: bytes, delay_ms: int = 100) -> bytes:
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0), _GREY]
     for top in range(0, rows, height):
         part = samples[top * WIDTH : (top + height) * WIDTH]
-        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_ms // 10, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _split_blocks(lzw_store(part))]
+        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_ms // 10, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _split_blocks(lzw_encode(part.tobytes()))]
     return b"".join([*out, b"\x3b"])
 
 
-def decode(data: bytes, render: bool = True) -> list[Frame]:
+def decode(data: bytes, render: bool = True, most_pixels: int = MOST_PIXELS) -> list[Frame]:
     """Frames of a GIF. With render, disposal and transparency are applied to a canvas for each frame's pixels."""
+    return list(walk(data, render, most_pixels))
+
+
+def walk(data: bytes, render: bool = True, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """The frames of decode(), one after another. Canvases and frames beyond `most_pixels` are a ValueError."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > most_pixels:
+        raise ValueError("the canvas is too large")
     at, palette = 13, None
     if flags & 0x80:
         n = 3 << (flags & 7) + 1
         palette, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
     canvas = np.zeros((height, width, 4), np.uint8) if render else None
-    delay, disposal, transparent, frames = 0, 0, None, []
+    delay, disposal, transparent = 0, 0, None
     while data[at] != 0x3B:
         if data[at] == 0x21:
             label = data[at + 1]
@@ -199,6 +214,8 @@ def decode(data: bytes, render: bool = True) -> list[Frame]:
         if bits & 0x80:
             n = 3 << (bits & 7) + 1
             own, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
+        if own is None or w * h > most_pixels:
+            raise ValueError("a frame has no palette" if own is None else "a frame is too large")
         size = data[at]
         raw, at = _join_blocks(data, at + 1)
         indices = lzw_decode(raw, size, w * h).reshape(h, w)
@@ -220,9 +237,8 @@ def decode(data: bytes, render: bool = True) -> list[Frame]:
                 part[:] = 0
             elif disposal == 3:
                 canvas = before
-        frames.append(Frame(indices, shown, delay, left, top, disposal, transparent))
+        yield Frame(indices, shown, delay, left, top, disposal, transparent)
         delay, disposal, transparent = 0, 0, None
-    return frames
 
 
 def histogram(values: np.ndarray, bins: int = 16) -> list[int]:
@@ -230,9 +246,19 @@ def histogram(values: np.ndarray, bins: int = 16) -> list[int]:
     return np.bincount(values.ravel(), minlength=256).reshape(bins, -1).sum(1).tolist()
 
 
-def frames(media: DataFrame, key: str = "media_id", data: str = "gif", bins: int = 16) -> DataFrame:
+_MADE = ["frame", "start_ms", "delay_ms", "width", "height", "disposal", "rgba", "red", "green", "blue", "error"]
+
+
+def frames(media: DataFrame, key: str = "media_id", data: str = "gif", bins: int = 16, most_pixels: int = MOST_PIXELS) -> DataFrame:
     """Rows of timed frames of media(key, binary data): frame number, start and delay in ms, size, disposal, the
-    canvas as RGBA bytes and a histogram of each colour. A null or unreadable image gives one row with its error."""
+    canvas as RGBA bytes and a histogram of each colour.
+
+    A null or unreadable image, and one beyond `most_pixels`, gives one row with its error after the frames before
+    it. Repeated keys each give their own rows; further columns are dropped; an empty table gives no rows. A key
+    called like a column of the result is a ValueError.
+    """
+    if key in _MADE:
+        raise ValueError(f"the key must not be called {key}")
     kind = media.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, frame int, start_ms long, delay_ms long, width int, height int, disposal int, rgba binary, red array<long>, green array<long>, blue array<long>, error string"
 
@@ -242,16 +268,16 @@ def frames(media: DataFrame, key: str = "media_id", data: str = "gif", bins: int
                 rows, start = [], 0
                 raw = batch.column(1)[i].as_py()
                 try:
-                    for n, f in enumerate(decode(raw or b"")):
+                    for n, f in enumerate(walk(bytes(raw or b""), most_pixels=most_pixels)):
                         seen = f.pixels[f.pixels[..., 3] > 0]
                         rows.append((n, start, f.delay_ms, f.pixels.shape[1], f.pixels.shape[0], f.disposal, f.pixels.tobytes(), *(histogram(seen[:, c], bins) for c in range(3)), None))
                         start += f.delay_ms
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, TypeError, OverflowError, struct.error) as e:
                     rows.append((None,) * 10 + (str(e) or "truncated",))
                 columns = list(zip(*rows))
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.string()]
                 keys = pa.array([batch.column(0)[i].as_py()] * len(rows), batch.column(0).type)
-                yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(columns, types))], [key, "frame", "start_ms", "delay_ms", "width", "height", "disposal", "rgba", "red", "green", "blue", "error"])
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(columns, types))], [key, *_MADE])
 
     return map_batches(media.select(key, data), read, schema)
 
@@ -260,7 +286,7 @@ def read_back(data: bytes) -> tuple[bytes, int, int, list[int]]:
     """Samples of all frames, number of frames, duration in ms, and the histogram of grey values (the mean of the
     colours) where each frame lies on its canvas."""
     samples, n, ms, counts = [], 0, 0, np.zeros(16, np.int64)
-    for f in decode(data):
+    for f in walk(data):
         h, w = f.indices.shape
         seen = f.pixels[f.top : f.top + h, f.left : f.left + w]
         counts += histogram(seen[seen[..., 3] > 0][:, :3].sum(1, dtype=np.uint16) // 3)

@@ -24,10 +24,17 @@ from .sampling import by_hash
 
 ORDER = 3
 _PAD = b"\n" * ORDER
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
+#: Bytes that are scored at once; a longer text goes in pieces.
+PIECE = 1 << 19
 UNDETERMINED = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of the Unicode categories of letters (½, ² and ① are numbers)."""
+    return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and any(map(str.isalpha, text)))
+
+
 def count_grams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Runs of four bytes, the last one being what follows the context of the others, and their counts."""
     b = np.frombuffer(_PAD + raw, np.uint8).astype(np.uint32)
@@ -93,17 +100,34 @@ class Scorer:
         self.symbol, self.size, self.at, self.cost = model.tables()
 
     def code_lengths(self, raws: list[bytes]) -> np.ndarray:
-        """Bits of each text under each language."""
-        if not self.languages or not raws:
-            return np.zeros((len(raws), len(self.languages)))
-        s = self.symbol[np.frombuffer(b"".join(_PAD + r for r in raws) + _PAD, np.uint8)]
+        """Bits of each text under each language. Texts are read in pieces, each after the bytes that are the
+        context of its first ones, so that memory does not grow with a text."""
+        out = np.zeros((len(raws), len(self.languages)))
+        if not self.languages:
+            return out
+        rows, pieces, size = [], [], 0
+        for i, raw in enumerate(raws):
+            for at in range(0, len(raw), PIECE):
+                piece = raw[at : at + PIECE]
+                rows.append(i), pieces.append((_PAD + raw[max(0, at - ORDER) : at])[-ORDER:] + piece)
+                size += len(piece)
+                if size >= PIECE:
+                    np.add.at(out, rows, self._bits(pieces))
+                    rows, pieces, size = [], [], 0
+        if pieces:
+            np.add.at(out, rows, self._bits(pieces))
+        return out
+
+    def _bits(self, pieces: list[bytes]) -> np.ndarray:
+        """Bits of pieces, none of them empty, without the first bytes of each, which are context alone."""
+        s = self.symbol[np.frombuffer(b"".join(pieces), np.uint8)]
         context = (s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]
         bits = self.cost[self.at[context] * self.size + s[3:]]
-        ends = np.cumsum([len(r) + ORDER for r in raws])
-        borders = np.column_stack([ends - [len(r) + ORDER for r in raws], ends - ORDER]).ravel()  # of bytes whose context is the pad or text
-        sums = np.add.reduceat(bits, borders, axis=0, dtype=np.float64)[::2]
-        sums[[not r for r in raws]] = 0  # an empty stretch would give the next bit
-        return sums
+        ends = np.cumsum([len(p) for p in pieces])
+        begins = ends - [len(p) for p in pieces]
+        # The bits of a byte stand at its context's first byte; the last ones of a piece are of the next one's context.
+        borders = np.column_stack([begins, ends - ORDER]).ravel()[:-1]
+        return np.add.reduceat(bits, borders, axis=0, dtype=np.float64)[::2]
 
 
 def fit(train: DataFrame, most: int = 1500) -> Model:
@@ -152,7 +176,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             bits = scorer.code_lengths(raws)
             pred, share, per_byte = [], [], []
             for text, raw, b in zip(whole, raws, bits):
-                if not len(b) or not _LETTER.search(text):
+                if not len(b) or not has_letter(text):
                     pred.append(UNDETERMINED), share.append(0.0), per_byte.append(None)
                     continue
                 best = int(b.argmin())

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -29,7 +31,6 @@ CONTEXT = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-ke
 _CONTEXT = re.compile("|".join(CONTEXT), re.IGNORECASE | re.ASCII)
 _CONTEXT_BYTES = [w.encode() for w in CONTEXT]
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
-_IN_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")
 #: What code and configuration hold around secrets; the rest of the dictionary are its parts joined in usual ways.
 _PARTS = (
     "access account address api app application array auth authorization aws azure base64 bearer bool bucket build byte cache "
@@ -77,32 +78,41 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(out)]
 
 
-def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: Novelty, reach: int, least: float) -> list[tuple[int, str, int]]:
-    """Incompressible candidates within `reach` characters of a sensitive word, apart from the spans taken."""
+def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: Novelty, reach: int, least: float, around: int) -> list[tuple[int, str, int]]:
+    """Incompressible candidates within `reach` characters of a sensitive word, apart from the spans taken (by start).
+
+    One pass over the whole runs of the text: of the sensitive words that end late enough for a run the first one
+    begins earliest, so it alone decides whether one is near. Likewise one number, the furthest end of the spans
+    that begin before a run's end, tells whether one of them overlaps it.
+    """
     raw = text.encode().lower()
     if not any(w in raw for w in _CONTEXT_BYTES):
         return []
-    found: dict[int, tuple[int, str, int]] = {}
-    upto = 0
-    for m in _CONTEXT.finditer(text):
-        begin = max(upto, m.start() - reach)
-        # a candidate is a whole run, so the window grows to the start and the end of the runs at its borders
-        while begin > upto and text[begin - 1] in _IN_RUN:
-            begin -= 1
-        for c in _CANDIDATE.finditer(text, begin):
-            if c.start() > m.end() + reach:
-                break
-            upto = max(upto, c.end())
-            if any(a < c.end() and c.start() < b for a, _, b in taken):
-                continue
-            if novelty(text[max(0, c.start() - 256) : c.start()], c[0], text[c.end() : c.end() + 256]) >= least:
-                found[c.start()] = (c.start(), "novel", c.end())
-    return list(found.values())
-
-
-def scan(docs: DataFrame, dictionary: bytes | None = None, reach: int = 80, least: float = 0.75) -> DataFrame:
+    sensitive = [(m.start(), m.end()) for m in _CONTEXT.finditer(text)]
+    starts, furthest = [a for a, _, _ in taken], list(accumulate((b for _, _, b in taken), max))
+    found, word = [], 0
+    for c in _CANDIDATE.finditer(text):
+        begin, end = c.span()
+        while word < len(sensitive) and sensitive[word][1] + reach < begin:
+            word += 1
+        if word == len(sensitive):
+            break
+        if sensitive[word][0] - reach > end:
+            continue
+        before = bisect_left(starts, end)
+        if before and furthest[before - 1] > begin:
+            continue
+        if novelty(text[max(0, begin - around) : begin], c[0], text[end : end + around]) >= least:
+            found.append((begin, "novel", end))
+    return found
+
+
+def scan(docs: DataFrame, dictionary: bytes | None = None, reach: int = 80, least: float = 0.75, around: int = 256) -> DataFrame:
     """Secrets in all rows of docs(doc_id, text, ...).
 
+    Runs within `reach` characters of a sensitive word are measured against the dictionary and the `around`
+    characters on each side of them; those that add `least` bytes a character or more are reported.
+
     Returns all columns of docs and spans, an array of (kind, start, end, text) by start and then kind, in code
     points with the end exclusive. Null texts have no spans; repeated rows stay; an empty table gives no rows.
     A column of docs named spans is replaced.
@@ -117,7 +127,7 @@ def scan(docs: DataFrame, dictionary: bytes | None = None, reach: int = 80, leas
             spans = []
             for text in texts(batch):
                 base = base_spans(text)
-                every = sorted(base + novel_spans(text, base, novelty, reach, least), key=lambda s: (s[0], KINDS.index(s[1])))
+                every = sorted(base + novel_spans(text, base, novelty, reach, least, around), key=lambda s: (s[0], KINDS.index(s[1])))
                 spans.append([{"kind": k, "start": a, "end": b, "text": text[a:b]} for a, k, b in every])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, slices, texts
+from .common import checkpoint, map_batches, slices, texts, written
 from .sampling import by_hash
 
 #: Bytes of a lower-case text that are not in words.
@@ -26,10 +26,13 @@ _SPLIT = bytes(c if 97 <= c <= 122 or c >= 128 or c == 39 else 32 for c in range
 _TOKEN = re.compile(r"[^\x00-\x60\x7b-\x7f]+")
 _QUOTES = "\"“”„«»‘’"
 _REPORTING = frozenset("said says say wrote writes called calls quoted quote quoting dit disait écrit sagte sagt schrieb dijo dice escribió".split())
-#: Words around a match that form its window, and characters in which its quotation marks lie.
+#: The context window of a match: words around it whose matches add up, and characters on each side of it in which
+#: quotation marks on its line make it a quoted one.
 WINDOW, QUOTE_REACH = 10, 160
 LEVELS = 60
 STEM = 2
+#: More edits than any term allows.
+FAR = 9
 
 
 def words(text: str) -> list[bytes]:
@@ -44,7 +47,7 @@ def edits(term: str) -> int:
 class Automaton:
     """The trie of terms and stems times a Levenshtein automaton, determinised as words are read.
 
-    A state is a set of (node, edits so far); its answer is the best term that ends there: fewest edits, then most
+    A state is a set of nodes with the edits so far; its answer is the best term that ends there: fewest edits, then most
     weight. A stem is met once its node is reached without edits, whatever follows.
     """
 
@@ -67,6 +70,8 @@ class Automaton:
                     self.stem[node] = weight
                 else:
                     self.term[node] = (allowed, weight)
+        # (child, most edits below it) of each node, for steps that try them all
+        self.below = [tuple((x, self.most[x]) for x in c.values()) for c in self.children]
         self.most_states = most_states
         self.reset()
 
@@ -75,23 +80,24 @@ class Automaton:
         self.answers: list[tuple[int, float] | None] = []
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.start = self.state({(0, 0)})
+        self.start = self.state({0: 0})
 
-    def state(self, items: set[tuple[int, int]]) -> int:
-        """The state of these items, with all nodes that omitted letters reach. -1: nothing can match any more."""
+    def state(self, items: dict[int, int]) -> int:
+        """The state of these nodes, each with its fewest edits, and all that omitted letters reach. -1: nothing can
+        match any more."""
         todo = list(items)
         while todo:
-            node, used = todo.pop()
-            for child in self.children[node].values():
-                item = (child, used + 1)
-                if self.most[child] > used and item not in items:
-                    items.add(item)
-                    todo.append(item)
+            node = todo.pop()
+            used = items[node] + 1
+            for child, most in self.below[node]:
+                if most >= used and items.get(child, FAR) > used:
+                    items[child] = used
+                    todo.append(child)
         if not items:
             return -1
-        key = frozenset(items)
+        key = frozenset(items.items())
         if key not in self.ids:
-            ends = [(used, -self.term[n][1]) for n, used in items if self.term[n] and used <= self.term[n][0]]
+            ends = [(used, -self.term[n][1]) for n, used in items.items() if self.term[n] and used <= self.term[n][0]]
             best = min(ends, default=None)
             self.ids[key] = len(self.sets)
             self.answers.append(best and (best[0], -best[1]))
@@ -100,17 +106,19 @@ class Automaton:
         return self.ids[key]
 
     def step(self, state: int, c: str) -> int:
-        out = set()
+        out: dict[int, int] = {}
+        children, most = self.children, self.most
         for node, used in self.sets[state]:
-            most = self.most[node]
-            child = self.children[node].get(c)
-            if child is not None and self.most[child] >= used:
-                out.add((child, used))
-            if used < most:
-                out.add((node, used + 1))
-                out.update((x, used + 1) for x in self.children[node].values() if self.most[x] > used)
-        # an item is of no use beside the same node with fewer edits
-        out = {(n, u) for n, u in out if not any((n, v) in out for v in range(u))}
+            child = children[node].get(c)
+            if child is not None and most[child] >= used and out.get(child, FAR) > used:
+                out[child] = used
+            if used < most[node]:
+                used += 1
+                if out.get(node, FAR) > used:
+                    out[node] = used
+                for x, allowed in self.below[node]:
+                    if allowed >= used and out.get(x, FAR) > used:
+                        out[x] = used
         return self.state(out)
 
     def match(self, word: str) -> tuple[int, float] | None:
@@ -237,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_terms: int
     given = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = by_hash(given.withColumn("all", F.lit(1)), "doc_id", "all", most, "toxicity").select("doc_id", "toxic")
     # The sample's labels are at most about `most` rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)).cast("int"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = written(sample.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)).cast("int")))
     totals = {(r.part, r.toxic): r.n for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
     size = lambda toxic, *parts: sum(totals.get((p, toxic), 0) for p in parts)
     if not size(0, 0, 1) or not size(1, 0, 1):
@@ -249,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_terms: int
             for text, toxic, part in zip(texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 own = {w.decode("utf-8", "replace") for w in words(text)}
                 stems = {w[:n] for w in own for n in range(4, min(len(w), 9))}
-                for key in [(w, False) for w in own if 3 <= len(w) <= 40] + [(w, True) for w in stems]:
+                for key in [(w, False) for w in own] + [(w, True) for w in stems]:
                     counts.setdefault(key, [0, 0, 0, 0])[2 * part + toxic] += 1
             if len(counts) > 500_000:
                 yield emitted(counts)

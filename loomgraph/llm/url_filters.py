@@ -36,10 +36,12 @@ def _split(rule: str) -> tuple[str, str]:
 
 
 def decide(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """Adds rule and action (null where none fits) to df with columns host and path and a unique row_key."""
+    """Adds rule and action (null where none fits) to df with columns host and path and a unique row_key.
+
+    Of the rules that fit the longest wins; of equally long ones that with the longer host, then allow."""
     if len(rules) <= MOST_IN_EXPRESSION:
         rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for kind, text in sorted(rules, key=lambda r: len(r[1])):
+        for kind, text in sorted(rules, key=lambda r: (len(r[1]), len(_split(r[1])[0]), r[0] == "allow")):
             name, prefix = _split(text)
             fits = ((F.col("host") == name) | F.endswith("host", F.lit("." + name))) & F.startswith("path", F.lit(prefix))
             rule, action = F.when(fits, text).otherwise(rule), F.when(fits, kind).otherwise(action)
@@ -48,7 +50,8 @@ def decide(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fit = df.select("row_key", "path", F.explode(suffixes).alias("rule_host")).join(table, "rule_host").filter(F.startswith("path", F.col("rule_path")))
-    best = fit.groupBy("row_key").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best"))
+    order = F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("host"), (F.col("action") == "allow").alias("allows"), "rule", "action")
+    best = fit.groupBy("row_key").agg(F.max(order).alias("best"))
     return df.join(best, "row_key", "left").withColumns({"rule": F.col("best.rule"), "action": F.col("best.action")}).drop("best")
 
 
@@ -87,6 +90,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], redirects: D
     """Judge all rows of pages(page_id, url, html). rules: (allow or block, rule); redirects: (from_url, to_url).
 
     Returns page_id, url, host, path, rule (null if none fits), verdict and by_alias (blocked through an alias).
+    The longest rule that fits decides; of equally long ones that with the longer host, then allow.
     A url that is null or has no :// has an empty host and path, fits no rule, has no aliases and is allowed.
     Repeated rows stay, further columns are dropped, an empty table gives no rows.
     """
