@@ -63,4 +63,19 @@ OP7 = f"""WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(
   least_ AS (SELECT a AS c, min(b) AS component FROM reach GROUP BY a)
   SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN least_ USING (c)"""
 
-ORACLES = {"op1_url_filters": OP1, "op7_jaccard_join": OP7, "op10_benchmark_decontamination": OP10}
+#: Words by place within pieces; phrases are lists of words from each place on.
+OP11 = f"""WITH docs AS (SELECT row_number() OVER () AS k, coalesce(lang, 'und') AS lang, string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]') AS p FROM documents),
+  pieces AS (SELECT row_number() OVER () AS k, lang, list_filter(string_split_regex(p, '[ \\t]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(p) AS p FROM docs)),
+  total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY 1),
+  places AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM pieces WHERE len(w) > 0),
+  f AS (SELECT lang, d, array_to_string(w[i:i + d - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS d) WHERE i + d - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+  cand AS (SELECT lang, d, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE d > 1),
+  cuts AS (SELECT lang, d, phrase, a, w, unnest(generate_series(1, d - 1)) AS k FROM cand),
+  scored AS (SELECT c.lang, c.phrase, c.a, k, p.f AS l, q.f AS r, n, (1000 * c.a * n) // (p.f * q.f) AS score FROM cuts c JOIN total USING (lang)
+    JOIN f p ON p.lang = c.lang AND p.phrase = array_to_string(c.w[1:k], ' ') JOIN f q ON q.lang = c.lang AND q.phrase = array_to_string(c.w[k + 1:], ' ')),
+  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  inside AS (SELECT DISTINCT b.lang, b.phrase FROM cand b JOIN cand c ON c.lang = b.lang AND c.d > b.d AND c.a >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best ANTI JOIN inside USING (lang, phrase))
+  SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
+ORACLES = {"op1_url_filters": OP1, "op7_jaccard_join": OP7, "op10_benchmark_decontamination": OP10, "op11_collocations": OP11}

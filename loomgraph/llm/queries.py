@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif, jaccard_join, language_id, licenses, oracles, packing, prefix_counts, secret_scans, toxicity, url_filters
+from . import collocations, decontamination, gif, jaccard_join, language_id, licenses, oracles, packing, prefix_counts, secret_scans, sharding, toxicity, url_filters
 from .common import read
 
 #: Token budget that op3 reports on.
@@ -97,6 +97,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_token_counts, op4_media_columns, op5_language_id, op6_toxicity, op7_jaccard_join, op8_secret_scans, op9_license_scans, op10_benchmark_decontamination)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(read(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_token_counts, op4_media_columns, op5_language_id, op6_toxicity, op7_jaccard_join, op8_secret_scans, op9_license_scans, op10_benchmark_decontamination, op11_collocations, op12_sharding)}
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLES = oracles.ORACLES
