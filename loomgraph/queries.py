@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from . import ontology
 from .functions import properties, text
 from .operators import evidence, extraction, loading, resolution, retrieval, windows
+from .operators.iteration import shared_dir
 from .plans import agent, build
 from .plans.session import GraphSession
 from .sources import documents, filings, tables
@@ -602,8 +602,7 @@ def money_normalise(spark, sf_dir):
 def event_stream_counts(spark, sf_dir):
     schema = tables.read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-")
-    at = f"{folder}/streams/{spark.sparkContext.applicationId}-{id(stream)}"
+    at = f"{shared_dir(spark)}/streams/{spark.sparkContext.applicationId}-{id(stream)}"
     name = f"event_counts_{id(stream)}"
     run = incremental.event_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
     run.awaitTermination()
