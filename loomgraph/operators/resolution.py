@@ -2,18 +2,22 @@
 
 Records come in order. One that shares its id with an earlier leader, or its type and nearly its name, follows that
 leader; any other is a leader itself. A record is compared with leaders alone, so this is no connected component: it
-is the first maximal independent set in record order, found by rounds in which every record decides as soon as all
-its earlier neighbours have decided.
+is the first maximal independent set in record order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.properties import merged
-from ..functions.text import SAME_NAME, indel_score, may_be_similar, token_sort
-from .iteration import checkpoint
+from ..functions.similarity import Names, scored
+from ..functions.text import SAME_NAME, token_sort
+from .iteration import checkpoint, numbered
 
 #: Types whose records differ by numbers in their names; strict resolution compares these not by name.
 NUMBERED = ("MetricValue", "Period")
@@ -25,41 +29,100 @@ def with_names(entities: DataFrame) -> DataFrame:
     return entities.withColumn("name", F.coalesce(name, F.col("id")))
 
 
-def similar_names(names: DataFrame, least: int = SAME_NAME) -> DataFrame:
-    """(type, a, b, score), a < b, of pairs of names(type, name) of one type with at least that score; name is
-    token-sorted, lower-case and distinct.
+def name_index(names: DataFrame, least: int = SAME_NAME) -> DataFrame:
+    """(type, name, size, grams): names(type, name), token-sorted, lower-case and distinct, with what they can be found by.
 
-    Candidates share one of the first bigrams of their names in the order of bigrams: d insertions and deletions
-    touch at most 2 d bigrams, so 2 d + 1 of them are enough. Then come the bounds of lengths and edit distance,
-    and the exact score at last. Short names have few bigrams, and all of them count.
+    d insertions and deletions touch at most 2 d bigrams, so of two similar names the first 2 d + 1 bigrams in any one
+    order have one in common. The order is that of rarity over all names, so that parts that most names have come last.
+    A bigram is a number: its frequency, then a hash; two bigrams that agree in both only make more candidates.
     """
     partner = F.floor(F.length("name") * (200 - least) / least)  # the longest name that may be similar
     most = F.floor((100 - least) * (F.length("name") + partner) / 100)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(2)))
-    listed = names.select("type", "name", F.explode(F.slice(F.array_sort(grams), 1, (2 * most + 1).cast("int"))).alias("gram")).distinct()
-    other = listed.select("type", "gram", F.col("name").alias("b"))
-    pairs = listed.withColumnRenamed("name", "a").join(other, ["type", "gram"]).filter(F.col("a") < F.col("b"))
-    near = pairs.filter(may_be_similar(F.col("a"), F.col("b"), least)).select("type", "a", "b").distinct()
-    return near.withColumn("score", indel_score(F.col("a"), F.col("b"))).filter(F.col("score") >= least)
+    places = F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1)))
+    each = names.select("type", "name", (2 * most + 1).cast("int").alias("first"), F.explode(places).alias("i")).withColumn("gram", F.substring("name", F.col("i"), F.lit(2)))
+    often = each.groupBy("type", "gram").agg(F.count("*").alias("n"))
+    token = F.least(F.col("n"), F.lit((1 << 31) - 1)) * F.lit(1 << 31) + F.crc32(F.col("gram").cast("binary")) % F.lit(1 << 31)
+    ranked = each.join(often, ["type", "gram"]).groupBy("type", "name", "first").agg(F.array_sort(F.collect_list(token)).alias("grams"))
+    return ranked.select("type", "name", F.length("name").alias("size"), F.array_distinct(F.slice("grams", 1, F.col("first"))).alias("grams"))
 
 
-def leaders(records: DataFrame, least: int = SAME_NAME, strict: bool = False) -> DataFrame:
-    """(id, type, sorted_name, seq, is_leader) of the distinct keys of records(id, type, name, seq).
+def similar(left: DataFrame, right: DataFrame | None = None, least: int = SAME_NAME) -> DataFrame:
+    """(type, a, b, score) of names of one index with others of the same index, of one type and with at least that score;
+    without the others, of pairs a < b of the names themselves.
 
-    A record's decision depends on its id, type and name alone, and is that of the first record with the same ones.
-    strict: types of numbered names are compared by id only.
+    A pair is a candidate at the first bigram that both have, so it is compared once.
     """
-    keyed = records.withColumn("sorted_name", token_sort(F.col("name")))
-    keys = checkpoint(keyed.groupBy("id", "type", "sorted_name").agg(F.min("seq").alias("seq")))
-    by_name = keys.filter(~F.col("type").isin(*NUMBERED)) if strict else keys
-    alike = similar_names(by_name.select("type", F.col("sorted_name").alias("name")).distinct(), least).select("type", "a", "b")
-    own = by_name.select("type", F.col("sorted_name").alias("a"), F.col("sorted_name").alias("b")).distinct()
-    near = checkpoint(alike.unionByName(alike.select("type", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own))
+    of = lambda df, name: df.select("type", F.col("name").alias(name), F.col("size").alias(f"{name}_size"), F.col("grams").alias(f"{name}_grams"), F.explode("grams").alias("gram"))
+    met = of(left, "a").join(of(left if right is None else right, "b"), ["type", "gram"])
+    if right is None:
+        met = met.filter(F.col("a") < F.col("b"))
+    both = F.col("a_size") + F.col("b_size")
+    met = met.filter((200 * F.least("a_size", "b_size") >= least * both) & (F.array_min(F.array_intersect("a_grams", "b_grams")) == F.col("gram")))
+    return scored(met, least)
+
+
+def similar_names(names: DataFrame, least: int = SAME_NAME) -> DataFrame:
+    """(type, a, b, score), a < b, of all pairs of names(type, name) of one type with at least that score; name is
+    token-sorted, lower-case and distinct. Names that are nearly all alike have as many pairs as their square; leaders()
+    and assign() never ask for these."""
+    index = checkpoint(name_index(names, least))
+    return similar(index, least=least)
+
+
+def _both_ways(near: DataFrame) -> DataFrame:
+    return near.select("type", "a", "b").unionByName(near.select("type", F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def fold(keys: list[tuple[str, str, str]], least: int, by_id: tuple[str, ...]) -> list[bool]:
+    """Which of keys (id, type, sorted_name) lead, one after another in order; names of the types `by_id` do not count."""
+    ids: dict[str, list[int]] = {}
+    types: dict[str, list[int]] = {}
+    for i, (key, kind, _) in enumerate(keys):
+        ids.setdefault(key, []).append(i)
+        types.setdefault(kind, []).append(i)
+    names = Names([name for _, _, name in keys])
+    decided, leads = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    for i, (key, kind, name) in enumerate(keys):
+        if decided[i]:
+            continue
+        leads[i] = True
+        decided[ids[key]] = True
+        if kind not in by_id:
+            own = np.array(types[kind])
+            later = own[(own > i) & ~decided[own]]
+            decided[later[names.scores(name, later) >= least]] = True
+    return leads.tolist()
+
+
+def _folded(keys: DataFrame, least: int, strict: bool) -> DataFrame:
+    """Those of LOCAL keys at most that lead, in one task."""
+    by_id = NUMBERED if strict else ()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("seq")
+        yield rows[fold(list(zip(rows["id"], rows["type"], rows["sorted_name"])), least, by_id)]
+
+    return keys.select("id", "type", "sorted_name", "seq").coalesce(1).mapInPandas(run, keys.select("id", "type", "sorted_name", "seq").schema)
+
+
+def _first_set(keys: DataFrame, index: DataFrame, least: int, strict: bool, local: int) -> DataFrame:
+    """Those of keys(id, type, sorted_name, seq) that lead, if there are no others.
+
+    `local` keys are decided in one task. More of them decide in rounds, each as soon as all earlier ones with its id or
+    nearly its name have decided, until so few are left; these have no leader yet, so they decide among themselves.
+    """
+    count = keys.count()
+    if count <= local:
+        return _folded(keys, least, strict) if count else keys
+    own = index.join(keys.select("type", F.col("sorted_name").alias("name")).distinct(), ["type", "name"], "left_semi")
+    same = own.select("type", F.col("name").alias("a"), F.col("name").alias("b"))
+    near = checkpoint(_both_ways(similar(own, least=least)).unionByName(same))
     # The records of one name, or of one id, have one leader at most, as all later ones follow it. So what a record
     # must know of them is their leader and the first one that is not decided: two numbers, however many they are.
     first = lambda when, name: F.min(F.when(when, F.col("seq"))).alias(name)
     state = keys.withColumn("leads", F.lit(None).cast("boolean"))
-    while not state.filter("leads IS NULL").isEmpty():
+    open_ = count
+    while open_ > local:
         by_id = state.groupBy("id").agg(first(F.col("leads"), "id_lead"), first(F.col("leads").isNull(), "id_wait"))
         named = state.groupBy("type", F.col("sorted_name").alias("b")).agg(first(F.col("leads"), "lead"), first(F.col("leads").isNull(), "wait"))
         around = near.join(named, ["type", "b"]).groupBy("type", F.col("a").alias("sorted_name")).agg(F.min("lead").alias("lead"), F.min("wait").alias("wait"))
@@ -67,21 +130,75 @@ def leaders(records: DataFrame, least: int = SAME_NAME, strict: bool = False) ->
         follows, waits = earlier("id_lead") | earlier("lead"), earlier("id_wait") | earlier("wait")
         decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(follows, False).when(~waits, True)
         state = checkpoint(state.join(by_id, "id").join(around, ["type", "sorted_name"], "left").select(*keys.columns, decided.alias("leads")))
-    return state.withColumnRenamed("leads", "is_leader").select("id", "type", "sorted_name", "seq", "is_leader")
+        open_ = state.filter("leads IS NULL").count()
+    done = state.filter("leads").drop("leads")
+    if not open_:
+        return done
+    # Some that are open may follow a leader of the last round.
+    led = state.filter("leads")
+    ids = led.groupBy("id").agg(F.min("seq").alias("id_lead"))
+    around = near.join(led.groupBy("type", F.col("sorted_name").alias("b")).agg(F.min("seq").alias("lead")), ["type", "b"]).groupBy("type", F.col("a").alias("sorted_name")).agg(F.min("lead").alias("lead"))
+    rest = state.filter("leads IS NULL").join(ids, "id", "left").join(around, ["type", "sorted_name"], "left").filter("coalesce(id_lead > seq, true) AND coalesce(lead > seq, true)")
+    return done.unionByName(_folded(rest, least, strict))
+
+
+def _keys(records: DataFrame, least: int, strict: bool) -> tuple[DataFrame, DataFrame]:
+    """The distinct (id, type, sorted_name) of records, with the first seq of each, and the index of their names."""
+    keyed = records.withColumn("sorted_name", token_sort(F.col("name")))
+    keys = checkpoint(keyed.groupBy("id", "type", "sorted_name").agg(F.min("seq").alias("seq")))
+    by_name = keys.filter(~F.col("type").isin(*NUMBERED)) if strict else keys
+    return keys, checkpoint(name_index(by_name.select("type", F.col("sorted_name").alias("name")).distinct(), least))
+
+
+def _leading(keys: DataFrame, index: DataFrame, least: int, strict: bool, first: int, local: int) -> DataFrame:
+    """Those of keys that lead.
+
+    Keys are taken in order, in parts each three times as long as all before it. A part is compared with the leaders before it, and
+    what is left of it with itself. So names that are nearly all alike, which soon have all their leaders, never meet
+    each other, and there are about as many parts as the number of keys has decimal digits, or fewer than twice that.
+    """
+    placed = checkpoint(keys.join(numbered(keys, "seq", "place"), "seq"))
+    total, begin, end, found = placed.count(), 0, first, None
+    while begin < total:
+        part = placed.filter((F.col("place") >= begin) & (F.col("place") < end)).drop("place")
+        if found is not None:
+            part = part.join(found.select("id").distinct(), "id", "left_anti")
+            named = lambda df: df.select("type", F.col("sorted_name").alias("name")).distinct()
+            led = index.join(named(found), ["type", "name"], "left_semi")
+            part = checkpoint(part)
+            own = index.join(named(part), ["type", "name"], "left_semi")
+            near = similar(own, led, least).select("type", F.col("a").alias("sorted_name")).unionByName(led.select("type", F.col("name").alias("sorted_name"))).distinct()
+            part = part.join(near, ["type", "sorted_name"], "left_anti").select(*keys.columns)
+        new = _first_set(checkpoint(part), index, least, strict, local)
+        found = checkpoint(new if found is None else found.unionByName(new))
+        begin, end = end, 4 * end
+    return keys.limit(0) if found is None else found
+
+
+#: Keys of the first part, and the most that one task decides.
+FIRST, LOCAL = 1024, 2048
+
+
+def leaders(records: DataFrame, least: int = SAME_NAME, strict: bool = False, first: int = FIRST, local: int = LOCAL) -> DataFrame:
+    """(id, type, sorted_name, seq, is_leader) of the distinct keys of records(id, type, name, seq).
+
+    A record's decision depends on its id, type and name alone, and is that of the first record with the same ones.
+    strict: types of numbered names are compared by id only.
+    """
+    keys, index = _keys(records, least, strict)
+    lead = _leading(keys, index, least, strict, first, local).select("id", "type", "sorted_name", F.lit(True).alias("is_leader"))
+    return keys.join(lead, ["id", "type", "sorted_name"], "left").withColumn("is_leader", F.coalesce("is_leader", F.lit(False))).select("id", "type", "sorted_name", "seq", "is_leader")
 
 
-def assign(records: DataFrame, least: int = SAME_NAME, strict: bool = False) -> DataFrame:
+def assign(records: DataFrame, least: int = SAME_NAME, strict: bool = False, first: int = FIRST, local: int = LOCAL) -> DataFrame:
     """records with canonical_id: an earlier leader of the same id comes first, then the earliest leader of nearly
     the same name, else the record's own."""
-    lead = checkpoint(leaders(records, least, strict).filter("is_leader").select("id", "type", "sorted_name", "seq"))
+    keys, index = _keys(records, least, strict)
+    lead = checkpoint(_leading(keys, index, least, strict, first, local))
     keyed = records.withColumn("sorted_name", token_sort(F.col("name")))
     same = lead.groupBy("id").agg(F.min("seq").alias("own_since"))
-    keys = keyed.groupBy("type", "sorted_name").agg(F.max("seq").alias("last"))
-    names = keys.select("type", F.col("sorted_name").alias("name")).unionByName(lead.select("type", F.col("sorted_name").alias("name"))).distinct()
-    if strict:
-        names = names.filter(~F.col("type").isin(*NUMBERED))
-    alike = similar_names(names, least).select("type", "a", "b")
-    both = alike.unionByName(alike.select("type", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(names.select("type", F.col("name").alias("a"), F.col("name").alias("b")))
+    led = index.join(lead.select("type", F.col("sorted_name").alias("name")).distinct(), ["type", "name"], "left_semi")
+    both = similar(index, led, least).select("type", "a", "b")
     # The earliest similar leader of a name is that of all its records that come after it.
     near = both.join(lead.select("type", F.col("sorted_name").alias("b"), F.col("id").alias("leader"), F.col("seq").alias("since")), ["type", "b"])
     best = near.groupBy("type", F.col("a").alias("sorted_name")).agg(F.min("since").alias("since"), F.min_by("leader", "since").alias("leader"))

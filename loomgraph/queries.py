@@ -257,6 +257,40 @@ def remapped_count(spark, sf_dir):
     return resolution.remapped_count(resolution.alias(resolution.assign(tables.name_records(spark, sf_dir, "nation"))))
 
 
+def _alias_sql(table: str, key: str, name: str, prefix: str) -> str:
+    """The fold over a whole table: each name, in the order of its first record, is compared with the leaders before it."""
+    return f"""WITH RECURSIVE rows AS (SELECT {key} AS seq, '{prefix}' || {key} AS id, {_SORTED.format(name)} AS name FROM {table}),
+  names AS (SELECT row_number() OVER (ORDER BY min(seq)) - 1 AS k, arg_min(id, seq) AS id, name FROM rows GROUP BY name),
+  fold AS (SELECT CAST(-1 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS lead, CAST([] AS STRUCT(id VARCHAR, name VARCHAR)[]) AS leads UNION ALL
+    SELECT k + 1, name, coalesce(hit, id), CASE WHEN hit IS NULL THEN list_append(leads, {{'id': id, 'name': name}}) ELSE leads END
+    FROM (SELECT fold.k, n.id, n.name, leads, list_filter(leads, lambda l: {_score_sql("l.name", "n.name")} >= 88)[1].id AS hit FROM fold JOIN names n ON n.k = fold.k + 1))
+  SELECT rows.id AS raw_id, lead AS canonical_id FROM rows JOIN fold USING (name)"""
+
+
+def _names(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return resolution.assign(tables.name_records(spark, sf_dir, table))
+
+
+@query(_alias_sql("customer", "c_custkey", "c_name", "company_"))
+def company_alias_map(spark, sf_dir):
+    return resolution.alias(_names(spark, sf_dir, "customer")).select("raw_id", "canonical_id")
+
+
+@query(_alias_sql("supplier", "s_suppkey", "s_name", "legal_"))
+def legal_alias_map(spark, sf_dir):
+    return resolution.alias(_names(spark, sf_dir, "supplier")).select("raw_id", "canonical_id")
+
+
+@query(_alias_sql("part", "p_partkey", "p_name", "product_"))
+def product_alias_map(spark, sf_dir):
+    return resolution.alias(_names(spark, sf_dir, "part")).select("raw_id", "canonical_id")
+
+
+@query(f"SELECT 'tables' AS document_id, count(*) FILTER (WHERE raw_id <> canonical_id) AS remapped FROM ({_alias_sql('part', 'p_partkey', 'p_name', 'product_')})")
+def product_remapped_count(spark, sf_dir):
+    return resolution.remapped_count(resolution.alias(_names(spark, sf_dir, "part")))
+
+
 # S3, S4, PR1, PR11, W1, J10, A15, FL7, F4, F10, A14: documents, blocks and windows
 _BLOCKS = """blocks AS (SELECT 'document_' || doc_id AS document_id, (i - 1) // 3 AS page_idx, (i - 1) % 3 AS block_pos, lines[i] AS content
     FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(generate_series(1, len(lines))) AS i))"""

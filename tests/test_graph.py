@@ -3,11 +3,12 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph import schemas
-from loomgraph.functions import properties, text
+from loomgraph.functions import properties, similarity, text
 from loomgraph.operators import extraction, loading, resolution, retrieval, windows
 from loomgraph.operators.evidence import NOTHING, Evidence
 from loomgraph.operators.iteration import numbered, running_sum
@@ -99,6 +100,45 @@ def test_resolution_equals_a_fold(spark):
         assert got == fold(records)
 
 
+@pytest.mark.parametrize("first,local", [(2, 0), (5, 3), (7, 1000), (1000, 4)])
+def test_resolution_in_parts_and_rounds_equals_a_fold(spark, first, local):
+    """Parts, rounds of all keys and the rest in one task make the same decisions as one record after another."""
+    rng = random.Random(first + local)
+    names = [f"Customer#{rng.randrange(400):06d}" for _ in range(25)] + ["", "é" * 70, "é" * 69 + "x", "a b", "B A", "world wide steel", "wide world steels"]
+    records = [(f"id{rng.randrange(30)}", rng.choice(["A", "B"]), rng.choice(names)) for _ in range(90)]
+    df = spark.createDataFrame([("d", 0, 10 * i, k, t, n) for i, (k, t, n) in enumerate(records)], "document_id string, doc_ord long, seq long, id string, type string, name string")
+    got = [r.canonical_id for r in resolution.assign(df, first=first, local=local).orderBy("seq").collect()]
+    assert got == fold(records)
+
+
+def test_numbered_types_are_compared_by_id_in_strict_mode(spark):
+    rows = [("d", 0, i, f"m{i}", kind, f"fiscal year {2000 + i}") for i, kind in enumerate(["Period"] * 3 + ["Metric"] * 3)]
+    df = spark.createDataFrame(rows, "document_id string, doc_ord long, seq long, id string, type string, name string")
+    for local in (0, 100):
+        got = [r.canonical_id for r in resolution.assign(df, strict=True, local=local).orderBy("seq").collect()]
+        assert got == ["m0", "m1", "m2", "m3", "m3", "m3"]
+
+
+def test_common_subsequences_of_any_length():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcé世\0😀") for _ in range(rng.choice([0, 1, 5, 30, 63, 64, 65, 200])))
+    a, b = [word() for _ in range(150)], [word() for _ in range(150)]
+
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            before, row = row, [0]
+            for j, d in enumerate(y):
+                row.append(before[j] + 1 if c == d else max(before[j + 1], row[j]))
+        return row[-1]
+
+    assert similarity.common_subsequences(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)]
+    many = similarity.Names(b)
+    for x in a[:40]:
+        assert many.scores(x, np.arange(150)).tolist() == pytest.approx(similarity.scores([x] * 150, b).tolist())
+    assert similarity.common_subsequences([], []).tolist() == []
+
+
 RESPONSES = [
     (0, '{"entities":[{"id":"company_a","type":"Company","properties":{"name":"A","x":1},"source":{"page_num":1,"section":"s"}},{"id":"odd","type":"Alien","properties":{}},{"type":"Company","properties":{}}],"relationships":[{"source_id":"company_a","target_id":"geography_i","type":"OPERATES_IN","properties":{"filing_year":2024}}]}'),
     (1, "not json"),
