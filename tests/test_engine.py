@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import evidence, resolution, retrieval
 from loomgraph.plans import agent
-from loomgraph.plans.guard import NotReadOnly
+from loomgraph.plans.guard import NotReadOnly, check_analysed
 from loomgraph.plans.session import GraphSession
 from loomgraph.streaming import incremental
 
@@ -82,6 +82,54 @@ def test_guard_knows_tables_and_functions(spark):
             g.sql(bad)
 
 
+def test_guard_looks_at_what_names_stand_for(spark):
+    nodes = spark.createDataFrame([("a", "T", "A")], "entity_id string, entity_type string, name string")
+    noted = F.udf(lambda x: x)
+    g = GraphSession(spark, nodes.withColumn("name", noted("name")), spark.createDataFrame([("a", "R", "a")], "src string, type string, tgt string"), prefix="h_")
+    spark.udf.register("own_function", lambda x: x)
+    nodes.createOrReplaceTempView("hidden")
+    for good in (
+        "SELECT upper(name) AS n, nvl(name, 'x'), lpad(name, 3, 'z'), date_trunc('year', current_timestamp()), try_to_number('1', '9'), regexp_count(name, 'A') FROM h_nodes",
+        "SELECT transform(array(1, 2), x -> x + 1) AS t, named_struct('a', 1).a, CASE WHEN name LIKE 'A%' THEN 1 ELSE 2 END FROM h_nodes",
+        "SELECT n.name, e.k FROM h_nodes n LATERAL VIEW explode(array(1, 2)) e AS k", "SELECT * FROM h_nodes n, LATERAL (SELECT count(*) AS c FROM h_edges e WHERE e.src = n.entity_id)",
+        "SELECT entity_type, percentile_approx(length(name), 0.5), collect_list(name), count_if(name = 'A') FROM h_nodes GROUP BY ROLLUP (entity_type)",
+        "SELECT * FROM h_nodes PIVOT (count(*) FOR entity_type IN ('T', 'U'))", "SELECT rank() OVER (PARTITION BY type ORDER BY src) FROM h_edges", "VALUES (1), (2)",
+        "WITH RECURSIVE r(id, n) AS (SELECT 'a', 0 UNION ALL SELECT e.tgt, n + 1 FROM r JOIN h_edges e ON e.src = r.id WHERE n < 3) SELECT * FROM r",
+        "SELECT name FROM h_nodes WHERE entity_id IN (SELECT src FROM h_edges) UNION SELECT 'b' ORDER BY name LIMIT 5 OFFSET 0", "SELECT x.id FROM range(3) AS x", "SELECT name FROM h_nodes TABLESAMPLE (100 PERCENT)",
+    ):
+        assert g.sql(good).collect(), good
+    assert g.sql("SELECT name FROM h_nodes WHERE name = :n", {"n": "A"}).count() == 1
+    for bad in (
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.dir')", "SELECT IDENTIFIER('own_function')(name) FROM h_nodes", "SELECT * FROM IDENTIFIER('hidden')", "SELECT IDENTIFIER('name') FROM h_nodes",
+        "SELECT IDENTIFIER('re' || 'flect')('java.lang.System', 'getProperty', 'user.dir')", "SELECT * FROM python_worker_logs()", "SELECT input_file_name() FROM h_nodes", "SELECT input_file_block_start() FROM h_nodes",
+        "SELECT raise_error('x')", "SELECT assert_true(false)", "SELECT try_reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT * FROM h_nodes LATERAL VIEW own_function(name) x",
+        "SELECT system.builtin.reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT `reflect`('java.lang.System', 'getProperty', 'user.dir')", "SELECT (SELECT own_function(max(name)) FROM h_nodes)",
+        "SELECT * FROM h_nodes ORDER BY own_function(name)", "SELECT filter(array(name), x -> own_function(x) = 'A') FROM h_nodes", "SELECT count(*) FILTER (WHERE own_function(name) = 'A') FROM h_nodes",
+        "SET spark.sql.ansi.enabled = false", "CREATE TEMP VIEW v AS SELECT 1", "INSERT INTO h_nodes SELECT * FROM h_nodes", "CACHE TABLE h_nodes", "DESCRIBE h_nodes", "EXPLAIN SELECT 1", "DROP VIEW h_nodes", "SHOW TABLES",
+        "BEGIN SELECT 1; END", "EXECUTE IMMEDIATE 'SELECT 1'", "DECLARE VARIABLE v INT", "SELECT TRANSFORM(name) USING 'cat' FROM h_nodes", "ADD JAR '/tmp/x.jar'", "SELECT * FROM json.`/tmp`", "TABLE hidden", "FROM hidden |> SELECT name",
+        "FROM h_nodes |> EXTEND own_function(name) AS x", "SELECT * FROM csv.`/etc/passwd` AS h_nodes",
+    ):
+        with pytest.raises(NotReadOnly):
+            g.sql(bad)
+            pytest.fail(bad)
+
+
+def test_guard_of_the_analysed_plan_alone(spark):
+    """What the parsed text might let pass is found again by what it was resolved to."""
+    nodes = spark.createDataFrame([("a", "T", "A")], "entity_id string, entity_type string, name string")
+    nodes.createOrReplaceTempView("an_nodes")
+    nodes.createOrReplaceTempView("an_other")
+    spark.udf.register("own_function", lambda x: x)
+    check_analysed(spark, spark.sql("SELECT upper(name) FROM an_nodes WHERE entity_id IN (SELECT entity_id FROM an_nodes)"), ["an_nodes"])
+    for bad in (
+        "SELECT own_function(name) FROM an_nodes", "SELECT IDENTIFIER('own_function')(name) FROM an_nodes", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT try_reflect('java.lang.System', 'getProperty', 'user.dir')",
+        "SELECT * FROM an_other", "SELECT * FROM an_nodes WHERE name IN (SELECT value FROM text.`/etc/hostname`)", "SELECT input_file_name() FROM an_nodes", "SELECT * FROM text.`/etc/hostname`", "SELECT raise_error('x')",
+    ):
+        with pytest.raises(NotReadOnly):
+            check_analysed(spark, spark.sql(bad), ["an_nodes"])
+            pytest.fail(bad)
+
+
 def test_edges_and_evidence_keep_properties_and_sources(spark):
     nodes = spark.createDataFrame([(k, "T", k.upper(), [f"doc_{k}"], 3) for k in "abc"], "entity_id string, entity_type string, name string, sources array<string>, first_doc_ord int")
     rows = [("a", "R", "b", '{"filing_year": 2024}', ["d1"]), ("b", "S", "c", '{"amount": 5}', ["d2"]), ("a", "R", "a", "{}", ["d3"])]
