@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -100,14 +101,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 
 def aside(docs: DataFrame) -> DataFrame:
-    """text, and all other columns in one named row: what an operator adds cannot clash with them."""
-    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    """text, and all other columns in one row under names of their own: what an operator adds cannot clash with them, and
+    no name (with dots, blanks, quotes, or twins in another case) is ever read."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    others = [f"c{i}" for i, c in enumerate(names) if c != "text"]
+    return plain.select(F.struct(*others, F.lit(None).cast("boolean").alias("none")).alias("row"), F.col(f"c{names.index('text')}").alias("text"))
 
 
-def restored(df: DataFrame, columns: list[str], text: Column | str = "text") -> DataFrame:
-    """The columns that aside() put away, with a text."""
+def restored(df: DataFrame, columns: list[str], text: Column | str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """The columns that aside() put away, with a text, and `more` columns of df."""
     text = F.col(text) if isinstance(text, str) else text
-    return df.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns])
+    return df.select(*[text.alias(c) if c == "text" else F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)], *more)
 
 
 _trim = None
@@ -118,11 +123,12 @@ BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def map_batches(df: DataFrame, find: Callable, schema: str, *caches: dict) -> DataFrame:
+def map_batches(df: DataFrame, find: Callable, schema: str | StructType, *caches: dict) -> DataFrame:
     """mapInArrow with batches bounded by bytes, not by rows alone, and workers that give their memory back.
 
     Workers are kept from stage to stage; what one operator has cached is of no use to the next one, so the caches
-    are cleared when a task ends. A session with a smaller bound keeps it.
+    are cleared when a task ends. A session with a smaller bound keeps it; otherwise the bound is set for the session and
+    stays, as plans read it when they run.
     """
     conf = df.sparkSession.conf
     found = conf.get(_BATCH).rstrip("b")

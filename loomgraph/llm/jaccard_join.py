@@ -575,8 +575,9 @@ def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     gone = found.filter("doc_id <> component_id").select("doc_id")
     several = found.filter("doc_id = component_id AND rows > 1").select("doc_id")
     n_gone, n_several = gone.count(), several.count()
-    kept = docs.join(few(gone, n_gone), "doc_id", "left_anti")
+    plain = docs.toDF(*[c if c == "doc_id" else f"c{i}" for i, c in enumerate(docs.columns)])  # names of any kind
+    kept = plain.join(few(gone, n_gone), "doc_id", "left_anti")
     if n_several:
         single = kept.join(few(several, n_several), "doc_id", "left_anti")
         kept = single.unionByName(kept.join(few(several, n_several), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    return kept.select(*plain.columns).toDF(*docs.columns)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .common import aside, map_batches, restored, slices, texts
 from .sampling import by_hash
@@ -157,12 +158,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs(text, ...), with lang_pred, score (the share of the best language if all were equally
     likely before) and bits_per_byte (its code length).
 
-    A text that is null or has no letter, or a model without languages, gives `und` with score 0. Columns of docs
+    Of languages with equal code lengths the first by name is taken. A text that is null or has no letter, or a model
+    without languages, gives `und` with score 0. Columns of docs
     with these names are replaced; repeated rows stay; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # counts of a bounded sample
     names = ("lang_pred", "score", "bits_per_byte")
     kept = docs.drop(*names)
+    inner = aside(kept)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -184,8 +187,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 share.append(1 / sum(2.0 ** max(-1000.0, b[best] - x) for x in b))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(per_byte, pa.float64())], [*batch.schema.names, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return map_batches(kept, score, f"{fields}, lang_pred string, score double, bits_per_byte double", _made)
+    added = _parse_datatype_string("lang_pred string, score double, bits_per_byte double")
+    return restored(map_batches(inner, score, StructType([*inner.schema.fields, *added.fields]), _made), kept.columns, more=names)
 
 
 def accepted(docs: DataFrame, model: Model, most_bits: float = 12.0) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .common import aside, map_batches, restored, slices, texts
 
@@ -115,10 +116,11 @@ def scan(docs: DataFrame, dictionary: bytes | None = None, reach: int = 80, leas
 
     Returns all columns of docs and spans, an array of (kind, start, end, text) by start and then kind, in code
     points with the end exclusive. Null texts have no spans; repeated rows stay; an empty table gives no rows.
-    A column of docs named spans is replaced.
+    A column of docs named spans is replaced. Runs of fewer than 20 characters are not measured.
     """
     primed = identifiers() if dictionary is None else dictionary
     kept = docs.drop("spans")
+    inner = aside(kept)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(primed)
@@ -131,8 +133,8 @@ def scan(docs: DataFrame, dictionary: bytes | None = None, reach: int = 80, leas
                 spans.append([{"kind": k, "start": a, "end": b, "text": text[a:b]} for a, k, b in every])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return map_batches(kept, find, f"{fields}, spans array<struct<kind:string,start:bigint,end:bigint,text:string>>")
+    added = _parse_datatype_string("spans array<struct<kind:string,start:bigint,end:bigint,text:string>>")
+    return restored(map_batches(inner, find, StructType([*inner.schema.fields, *added.fields])), kept.columns, more=("spans",))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, decontamination, gif, jaccard_join, language_id, licenses, secret_scans, toxicity, url_filters
+from loomgraph.llm import collocations, common, decontamination, gif, jaccard_join, language_id, licenses, packing, prefix_counts, secret_scans, sharding, toxicity, url_filters
 from loomgraph.llm.tokens import vocabulary
 
 from .test_operators import SF, contaminated, docs, encode, lzw_encode, near_copies, plain_spans, words
@@ -348,7 +348,43 @@ def test_pipeline_by_its_contract(spark):
         return out + text[upto:]
 
     want = {d: len(encode(library, redacted(t))) + 1 for d, t, *_ in rows}
-    got = {}
+    got, places = {}, {}
     for r in corpus_pipeline.run(spark, SF).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert got == want and gone and dirty
+    for found in places.values():
+        found.sort()
+        assert [o for o, _ in found] == [sum(n for _, n in found[:i]) for i in range(len(found))] and sum(n for _, n in found) <= 2048
+    assert len(places) <= sum(want.values()) / 2048 * 1.02 + 1
+
+
+NAMES = ["my col", "a-b", "a.b", "a`b", "Extra", "extra", "row", "spans", "c0", "none", "é", "lang_pred"]
+
+
+def test_columns_of_any_name(spark):
+    """Operators and stages ignore further columns, or keep them as they are, whatever their names and types."""
+    import corpus_pipeline
+
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    base = docs(spark)
+    nested = F.struct(F.lit(1).alias("x y"), F.lit("z").alias("p.q"))
+    wild = base.select("*", *[(nested if i % 3 == 0 else F.lit(i)).alias(n) for i, n in enumerate(NAMES)])
+    model = language_id.fit(base)
+    labels = spark.createDataFrame([(1, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int").withColumn("a.b", F.lit(1))
+    count = base.count()
+    for keeps in (
+        secret_scans.scan(wild), language_id.identify(wild, model), secret_scans.redact(wild), corpus_pipeline.redact_secrets(spark, wild, SF)
+    ):
+        rows = keeps.collect()
+        assert len(rows) == count and keeps.columns.count("a.b") == 1 and "my col" in keeps.columns and rows[0]["my col"]["x y"] == 1
+    for drops in (
+        language_id.accepted(wild, model), decontamination.remove_documents(wild, items), decontamination.remove_spans(wild, items), jaccard_join.one_of_each(wild),
+    ):
+        assert drops.columns == wild.columns
+        drops.collect()
+    packed = packing.pack(wild), prefix_counts.prefix_counts(wild), gif.text_media(wild), licenses.scan(wild), decontamination.contamination(wild, items), jaccard_join.jaccard_components(wild)
+    for found in (*packed, toxicity.score(wild, toxicity.fit(wild, labels)), collocations.mine(wild, 2), sharding.shard(wild)):
+        found.collect()
+    pages = spark.createDataFrame([(1, "http://a.com/x", "<p>")], "page_id long, url string, html string").select("*", *[F.lit(i).alias(n) for i, n in enumerate(NAMES)])
+    assert url_filters.filter_urls(pages, [("block", "com/")]).collect()[0].verdict == "block"

@@ -650,33 +650,3 @@ def test_held_out_quality(spark):
 
     found = op5_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_pipeline_equals_plain_python(spark, library):
-    import corpus_pipeline
-
-    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
-    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    rows = [r for r in rows if re.search(r"[^\W\d_]", r[1])]  # no text there is beyond the language models
-    least = brute_components(rows)
-    rows = [r for r in rows if least[r[0]] == r[0]]
-    dirty = {d for d, _, n, _ in contaminated(rows, items) if n}
-    rows = [r for r in rows if str(r[0]) not in dirty]
-
-    def redacted(text):
-        out, upto = "", 0
-        for a, _, b in plain_spans(text):
-            if a >= upto:
-                out += text[upto:a] + "[SECRET]"
-            upto = max(upto, b)
-        return out + text[upto:]
-
-    want = {d: len(encode(library, redacted(t))) + 1 for d, t, *_ in rows}
-    got, places = {}, {}
-    for r in corpus_pipeline.run(spark, SF).collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
-        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    assert got == want
-    assert all(sum(n for _, n in p) <= 2048 for p in places.values()) and len(places) <= sum(want.values()) / 2048 * 1.02 + 1
-    assert json.dumps(sorted(want)) and dirty
