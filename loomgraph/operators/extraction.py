@@ -119,9 +119,11 @@ def parsed(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def merge_entities(entities: DataFrame) -> DataFrame:
-    """One row for each id of a document: the first type and source, properties last-wins, at its first place."""
-    first = entities.groupBy("document_id", "id").agg(F.min("doc_ord").alias("doc_ord"), F.min("seq").alias("seq"), F.min_by("type", "seq").alias("type"), F.min_by("source", "seq").alias("source"))
-    return first.join(merged(entities, ["document_id", "id"]), ["document_id", "id"], "left")
+    """One row for each id of a document: the first type and source, properties last-wins, at its first place. Files that
+    share a document_id, or have none, are documents of their own by doc_ord."""
+    own = ["document_id", "doc_ord", "id"]
+    first = entities.groupBy(*own).agg(F.min("seq").alias("seq"), F.min_by("type", "seq").alias("type"), F.min_by("source", "seq").alias("source"))
+    return first.join(merged(entities, own), own, "left").select("document_id", "id", "doc_ord", "seq", "type", "source", "properties")
 
 
 def year_key(properties: str = "properties"):
@@ -130,7 +132,8 @@ def year_key(properties: str = "properties"):
 
 
 def dedup_relationships(relationships: DataFrame) -> DataFrame:
-    """The first of a document's relationships with the same ends, type and filing year."""
-    same = Window.partitionBy("document_id", "source_id", "type", "target_id", "year_key").orderBy("seq")
+    """The first of a document's relationships with the same ends, type and filing year; documents as in merge_entities()."""
+    own = ["document_id", *(c for c in ("doc_ord",) if c in relationships.columns)]
+    same = Window.partitionBy(*own, "source_id", "type", "target_id", "year_key").orderBy("seq")
     keyed = relationships.withColumn("year_key", year_key()).withColumn("nth", F.row_number().over(same))
     return keyed.filter("nth = 1").drop("nth", "year_key")

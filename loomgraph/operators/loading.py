@@ -13,9 +13,11 @@ LOOKUPS = {"Company": "name", "Metric": "name", "Person": "name", "Segment": "na
 
 
 def remap(relationships: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Both ends through the aliases of the same document; an end without one stays as it is."""
-    of = lambda c: aliases.select("document_id", F.col("raw_id").alias(c), F.col("canonical_id").alias(f"new_{c}"))
-    joined = relationships.join(of("source_id"), ["document_id", "source_id"], "left").join(of("target_id"), ["document_id", "target_id"], "left")
+    """Both ends through the aliases of the same document (by doc_ord, too, if aliases have it); an end without one stays
+    as it is."""
+    own = ["document_id", *(c for c in ("doc_ord",) if c in aliases.columns)]
+    of = lambda c: aliases.select(*own, F.col("raw_id").alias(c), F.col("canonical_id").alias(f"new_{c}"))
+    joined = relationships.join(of("source_id"), [*own, "source_id"], "left").join(of("target_id"), [*own, "target_id"], "left")
     ends = {c: F.coalesce(f"new_{c}", c) for c in ("source_id", "target_id")}
     return joined.withColumns(ends).select(relationships.columns)
 

@@ -142,23 +142,25 @@ def _first_set(keys: DataFrame, index: DataFrame, least: int, strict: bool, loca
     return done.unionByName(_folded(rest, least, strict))
 
 
-def _keys(records: DataFrame, least: int, strict: bool) -> tuple[DataFrame, DataFrame]:
-    """The distinct (id, type, sorted_name) of records, with the first seq of each, and the index of their names."""
+def _keys(records: DataFrame, least: int, strict: bool, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The distinct (id, type, sorted_name) of records, with the first seq of each, and the index of their names and of
+    those of known leaders."""
     keyed = records.withColumn("sorted_name", token_sort(F.col("name")))
     keys = checkpoint(keyed.groupBy("id", "type", "sorted_name").agg(F.min("seq").alias("seq")))
-    by_name = keys.filter(~F.col("type").isin(*NUMBERED)) if strict else keys
+    every = keys if known is None else keys.select("type", "sorted_name").unionByName(known.select("type", "sorted_name"))
+    by_name = every.filter(~F.col("type").isin(*NUMBERED)) if strict else every
     return keys, checkpoint(name_index(by_name.select("type", F.col("sorted_name").alias("name")).distinct(), least))
 
 
-def _leading(keys: DataFrame, index: DataFrame, least: int, strict: bool, first: int, local: int) -> DataFrame:
-    """Those of keys that lead.
+def _leading(keys: DataFrame, index: DataFrame, least: int, strict: bool, first: int, local: int, known: DataFrame | None = None) -> DataFrame:
+    """Those of keys that lead, after the known leaders.
 
     Keys are taken in order, in parts each three times as long as all before it. A part is compared with the leaders before it, and
     what is left of it with itself. So names that are nearly all alike, which soon have all their leaders, never meet
     each other, and there are about as many parts as the number of keys has decimal digits, or fewer than twice that.
     """
     placed = checkpoint(keys.join(numbered(keys, "seq", "place"), "seq"))
-    total, begin, end, found = placed.count(), 0, first, None
+    total, begin, end, found = placed.count(), 0, first, known
     while begin < total:
         part = placed.filter((F.col("place") >= begin) & (F.col("place") < end)).drop("place")
         if found is not None:
@@ -190,15 +192,18 @@ def leaders(records: DataFrame, least: int = SAME_NAME, strict: bool = False, fi
     return keys.join(lead, ["id", "type", "sorted_name"], "left").withColumn("is_leader", F.coalesce("is_leader", F.lit(False))).select("id", "type", "sorted_name", "seq", "is_leader")
 
 
-def assign(records: DataFrame, least: int = SAME_NAME, strict: bool = False, first: int = FIRST, local: int = LOCAL) -> DataFrame:
+def assign(records: DataFrame, least: int = SAME_NAME, strict: bool = False, first: int = FIRST, local: int = LOCAL, known: DataFrame | None = None) -> DataFrame:
     """records with canonical_id: an earlier leader of the same id comes first, then the earliest leader of nearly
-    the same name, else the record's own."""
-    keys, index = _keys(records, least, strict)
-    lead = checkpoint(_leading(keys, index, least, strict, first, local))
+    the same name, else the record's own. known: leaders(id, type, name, seq) of records that come before all these."""
+    if known is not None:
+        known = checkpoint(known.select("id", "type", token_sort(F.col("name")).alias("sorted_name"), "seq"))
+    keys, index = _keys(records, least, strict, known)
+    lead = checkpoint(_leading(keys, index, least, strict, first, local, known))
     keyed = records.withColumn("sorted_name", token_sort(F.col("name")))
     same = lead.groupBy("id").agg(F.min("seq").alias("own_since"))
     led = index.join(lead.select("type", F.col("sorted_name").alias("name")).distinct(), ["type", "name"], "left_semi")
-    both = similar(index, led, least).select("type", "a", "b")
+    own = index.join(keys.select("type", F.col("sorted_name").alias("name")).distinct(), ["type", "name"], "left_semi")
+    both = similar(own, led, least).select("type", "a", "b")
     # The earliest similar leader of a name is that of all its records that come after it.
     near = both.join(lead.select("type", F.col("sorted_name").alias("b"), F.col("id").alias("leader"), F.col("seq").alias("since")), ["type", "b"])
     best = near.groupBy("type", F.col("a").alias("sorted_name")).agg(F.min("since").alias("since"), F.min_by("leader", "since").alias("leader"))

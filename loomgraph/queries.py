@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from . import ontology
 from .functions import properties, text
 from .operators import evidence, extraction, loading, resolution, retrieval, windows
-from .operators.iteration import shared_dir
+from .operators.iteration import checkpoint, shared_dir
 from .plans import agent, build
 from .plans.session import GraphSession
 from .sources import documents, filings, tables
@@ -476,9 +477,9 @@ _ORDERS = "SELECT 'filing_' || year(o_orderdate) AS document_id, year(o_orderdat
 @query(f"SELECT document_id, seq, CASE WHEN doc_ord % 2 = 0 AND o_custkey % 10 = 3 THEN 'company_' || (o_custkey - 3) ELSE source_id END AS source_id, target_id FROM ({_ORDERS})")
 def remap_relationships(spark, sf_dir):
     rels = _orders(spark, sf_dir)
-    custs = tables.read(spark, sf_dir, "customer").filter("c_custkey % 10 = 3")
-    docs = rels.filter("doc_ord % 2 = 0").select("document_id").distinct()
-    aliases = docs.join(custs.select(tables.key("customer", "c_custkey").alias("raw_id"), F.concat(F.lit("company_"), F.col("c_custkey") - 3).alias("canonical_id")))
+    # The ids that a document names, of customers that stand for others in even years.
+    named = rels.filter("doc_ord % 2 = 0").select("document_id", F.substring_index("source_id", "_", -1).cast("long").alias("k")).distinct().filter("k % 10 = 3")
+    aliases = named.select("document_id", F.concat(F.lit("company_"), "k").alias("raw_id"), F.concat(F.lit("company_"), F.col("k") - 3).alias("canonical_id"))
     return loading.remap(rels, aliases).select("document_id", "seq", "source_id", "target_id")
 
 
@@ -643,6 +644,32 @@ def event_stream_counts(spark, sf_dir):
     return spark.table(name)
 
 
+_EVENT_FILES = """e AS (SELECT *, 'events_' || strftime(ts, '%Y%m%d%H') AS file FROM events), places AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS ord FROM (SELECT DISTINCT file FROM e)),
+  said AS (SELECT 'person_' || user_id AS entity_id, 'Person' AS entity_type, md5(CAST(user_id AS VARCHAR)) AS name, event_type, value, event_id, file FROM e
+    UNION ALL SELECT 'event_' || event_type, 'Event', event_type, NULL, NULL, event_id, file FROM e)"""
+
+
+@query(f"""WITH {_EVENT_FILES}, nodes AS (SELECT entity_id, entity_type, name, arg_max(event_type, (file, event_id)) AS event_type, round(arg_max(value, (file, event_id)), 6) AS value, count(DISTINCT file) AS sources, min(ord) AS first_doc_ord
+    FROM said JOIN places USING (file) GROUP BY 1, 2, 3),
+  first AS (SELECT 'person_' || user_id AS src, 'event_' || event_type AS tgt, file, min(event_id) AS event_id FROM e GROUP BY 1, 2, 3)
+  SELECT 'node' AS kind, entity_id AS id, NULL AS target, name, event_type, value, CAST(NULL AS BIGINT) AS event_id, sources, first_doc_ord FROM nodes
+  UNION ALL SELECT 'edge', src, tgt, NULL, NULL, NULL, arg_max(event_id, file), 1, NULL FROM first GROUP BY src, tgt""")
+def incremental_events(spark, sf_dir):
+    """Files of events in three batches, with the newest file last; as if all had come at once."""
+    results = checkpoint(tables.event_files(spark, sf_dir))
+    days = results.select(F.substring("file_path", 8, 8).alias("day")).distinct().agg(F.sort_array(F.collect_set("day")).alias("d")).first().d  # one row for each day
+    cuts = ["", *[days[len(days) * k // 3] for k in (1, 2)], "9"] if days else []
+    kept = incremental.Graph(f"{shared_dir(spark)}/graphs/{uuid.uuid4().hex}")
+    for version, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        kept.write(version, incremental.changes(kept.read(spark, version), results.filter((F.substring("file_path", 8, 8) >= a) & (F.substring("file_path", 8, 8) < b))))
+    last = kept.read(spark)
+    get = lambda k, t: F.expr(f"try_variant_get(try_element_at(properties, '{k}'), '$', '{t}')")
+    none = F.lit(None).cast("string")
+    nodes = last["nodes"].select(F.lit("node").alias("kind"), F.col("entity_id").alias("id"), none.alias("target"), "name", get("event_type", "string").alias("event_type"), F.round(get("value", "double"), 6).alias("value"), F.lit(None).cast("long").alias("event_id"), F.size("sources").cast("long").alias("sources"), "first_doc_ord")
+    edges = last["edges"].select(F.lit("edge").alias("kind"), F.col("src").alias("id"), F.col("tgt").alias("target"), none.alias("name"), none.alias("event_type"), F.lit(None).cast("double").alias("value"), get("event_id", "bigint").alias("event_id"), F.size("sources").cast("long").alias("sources"), F.lit(None).cast("long").alias("first_doc_ord"))
+    return nodes.unionByName(edges)
+
+
 # C1-C9, UD3, UD4: the question loop, with prepared turns
 @query(f"{PATHS_SQL} SELECT 'nation_3 has ' || (SELECT count(*) FROM paths WHERE depth = 1 AND end_id LIKE 'region_%') || ' region' AS answer, 'HIGH' AS confidence, 4 AS calls")
 def agent_question(spark, sf_dir):

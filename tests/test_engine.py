@@ -31,22 +31,69 @@ def plain(tables):
     return sorted((r.entity_id, r.entity_type, r.name, sorted(json.loads(r.p or "{}").items(), key=repr), r.sources, r.first_doc_ord) for r in nodes), sorted((r.src, r.type, r.tgt, sorted(json.loads(r.p or "{}").items()), r.sources) for r in edges)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+def loaded(spark, at, found, cuts):
+    """The graph of files that come in some batches."""
+    folder = at / "in"
+    folder.mkdir(parents=True)
+    graph, begin = incremental.Graph(str(at / "graph")), 0
+    for end in cuts:
+        for i in range(begin, end):
+            (folder / f"{i:03d}.json").write_text(json.dumps(found[i]))
+        incremental.load(incremental.read_stream(spark, str(folder)), graph, str(at / "cp")).start().awaitTermination()
+        begin = end
+    return graph
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_batches_equal_one_batch(spark, tmp_path, seed):
-    found = files(random.Random(seed), 6)
-    graphs = []
-    for cuts in ([6], [1, 4, 6]):
-        folder = tmp_path / f"in{len(cuts)}"
-        folder.mkdir()
-        snapshots = incremental.Snapshots(str(tmp_path / f"graph{len(cuts)}"))
-        begin = 0
-        for end in cuts:
-            for i in range(begin, end):
-                (folder / f"{i:03d}.json").write_text(json.dumps(found[i]))
-            incremental.load(incremental.read_stream(spark, str(folder)), snapshots, str(tmp_path / f"cp{len(cuts)}")).start().awaitTermination()
-            begin = end
-        graphs.append(plain(snapshots.read(spark, 99)))
-    assert graphs[0] == graphs[1] and len(graphs[0][0]) > 2 and len(graphs[0][1]) > 2
+    """Also where files share a document_id or have none."""
+    rng = random.Random(seed)
+    found = files(rng, 6)
+    if seed > 1:
+        for f in found:
+            f["document_id"] = rng.choice(["same", "other", None])
+    one, three = loaded(spark, tmp_path / "one", found, [6]), loaded(spark, tmp_path / "three", found, [2, 3, 6])
+    a, b = plain(one.read(spark)), plain(three.read(spark))
+    assert a == b and len(a[0]) > 2 and len(a[1]) > 2
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    entity = lambda i, **p: {"id": f"c{i}", "type": "Company", "properties": {"name": chr(97 + i) * 9, **p}}
+    link = lambda a, b: {"source_id": f"c{a}", "target_id": f"c{b}", "type": "R", "properties": {}}
+    found = [
+        {"document_id": "d0", "entities": [entity(i) for i in range(20)], "relationships": [link(i, i + 1) for i in range(19)]},
+        {"document_id": "d1", "entities": [entity(3, k=1), entity(21)], "relationships": [link(3, 4), link(21, 5)]},
+        {"document_id": "d2", "entities": [], "relationships": [link(0, 99), link(1, 2)]},
+    ]
+    graph = loaded(spark, tmp_path, found, [1, 2, 3])
+    counts = lambda t: {r.version: r["count"] for r in spark.read.parquet(f"{graph.path}/{t}").groupBy("version").count().collect()}
+    assert counts("nodes") == counts("state") == {0: 20, 1: 2} and counts("edges") == {0: 19, 1: 2, 2: 1}
+    last = graph.read(spark)
+    assert last["nodes"].count() == 21 and last["files"].count() == 3
+    (row,) = last["nodes"].filter("entity_id = 'c3'").collect()
+    assert row.sources == ["d0", "d1"] and row.first_doc_ord == 0
+
+
+def test_an_unfinished_batch_is_not_seen_and_written_again(spark, tmp_path, monkeypatch):
+    found = files(random.Random(5), 4)
+    whole = plain(loaded(spark, tmp_path / "whole", found, [4]).read(spark))
+    graph = loaded(spark, tmp_path / "half", found, [2])
+    before = plain(graph.read(spark))
+    for i in (2, 3):
+        (tmp_path / "half" / "in" / f"{i:03d}.json").write_text(json.dumps(found[i]))
+    write = incremental.Graph.write
+
+    def lost(self, version, changed):
+        write(self, version, {**changed, "files": changed["files"].limit(0)})
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(incremental.Graph, "write", lost)
+    with pytest.raises(Exception, match="lost"):
+        incremental.load(incremental.read_stream(spark, str(tmp_path / "half" / "in")), graph, str(tmp_path / "half" / "cp")).start().awaitTermination()
+    monkeypatch.undo()
+    assert plain(graph.read(spark)) == before
+    incremental.load(incremental.read_stream(spark, str(tmp_path / "half" / "in")), graph, str(tmp_path / "half" / "cp")).start().awaitTermination()
+    assert plain(graph.read(spark)) == whole
 
 
 def test_later_files_of_a_batch_win(spark, tmp_path):
@@ -55,9 +102,9 @@ def test_later_files_of_a_batch_win(spark, tmp_path):
     filler = [{"id": f"x{i}", "type": "Company", "properties": {"name": f"other thing {i} {'abc'[i]}"}} for i in range(3)]
     (tmp_path / "in" / "1.json").write_text(json.dumps({"document_id": "one", "entities": filler + entity(name="Alpha", k="Old", only="first")}))
     (tmp_path / "in" / "2.json").write_text(json.dumps({"document_id": "two", "entities": entity(name="Alpha", k="New")}))
-    snapshots = incremental.Snapshots(str(tmp_path / "graph"))
-    incremental.load(incremental.read_stream(spark, str(tmp_path / "in")), snapshots, str(tmp_path / "cp")).start().awaitTermination()
-    row = snapshots.latest(spark, 9)[0].filter("entity_id = 'company_a'").select(F.to_json("properties").alias("p"), "sources").first()
+    graph = incremental.Graph(str(tmp_path / "graph"))
+    incremental.load(incremental.read_stream(spark, str(tmp_path / "in")), graph, str(tmp_path / "cp")).start().awaitTermination()
+    row = graph.read(spark)["nodes"].filter("entity_id = 'company_a'").select(F.to_json("properties").alias("p"), "sources").first()
     assert json.loads(row.p) == {"name": "Alpha", "k": "New", "only": "first"} and row.sources == ["one", "two"]
 
 

@@ -307,11 +307,11 @@ def test_json_round_trip_and_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     result = lambda name, key: (folder / name).write_text(json.dumps({"document_id": name, "entities": [{"id": key, "type": "Company", "properties": {"name": key}}], "relationships": [{"source_id": key, "target_id": "a", "type": "RELATED_TO", "properties": {}}], "errors": []}))
-    snapshots = incremental.Snapshots(str(tmp_path / "graph"))
+    graph = incremental.Graph(str(tmp_path / "graph"))
     for name, key in (("1.json", "a"), ("2.json", "b")):
         result(name, key)
-        incremental.load(incremental.read_stream(spark, str(folder)), snapshots, str(tmp_path / "cp")).start().awaitTermination()
-    nodes, edges = snapshots.latest(spark, 99)
+        incremental.load(incremental.read_stream(spark, str(folder)), graph, str(tmp_path / "cp")).start().awaitTermination()
+    nodes, edges = (graph.read(spark)[t] for t in ("nodes", "edges"))
     assert sorted(r.entity_id for r in nodes.collect()) == ["a", "b"]
     assert sorted((r.src, r.tgt) for r in edges.collect()) == [("a", "a"), ("b", "a")]
     assert documents.read_extractions(spark, str(folder)).count() == 2
