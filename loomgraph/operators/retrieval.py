@@ -55,8 +55,12 @@ def paths(edges: DataFrame, start: DataFrame, depth: int = 1, rel_type: str | No
 
 
 def neighbors(edges: DataFrame, entity_id: str, depth: int = 1, rel_type: str | None = None, limit: int | None = PATH_LIMIT) -> DataFrame:
-    """Paths from one node, in a fixed order; the limit counts paths."""
-    found = paths(edges, edges.sparkSession.range(1).select(F.lit(entity_id).alias("entity_id")), depth, rel_type)
+    """Paths from one node, in a fixed order; the limit counts paths. Shorter paths come first, so the second hop is not
+    looked at where the first one fills the limit."""
+    start = edges.sparkSession.range(1).select(F.lit(entity_id).alias("entity_id"))
+    if limit is not None and depth > 1 and paths(edges, start, 1, rel_type).limit(limit).count() == limit:
+        depth = 1
+    found = paths(edges, start, depth, rel_type)
     return found if limit is None else found.orderBy("depth", "end_id", F.col("mid_id").asc_nulls_first(), F.to_json(F.transform("hops", lambda h: F.struct(*[h[c].alias(c) for c in EDGE])))).limit(limit)
 
 

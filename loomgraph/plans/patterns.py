@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.iteration import checkpoint
 from ..operators.retrieval import incident
 
 
@@ -85,20 +86,49 @@ class Match:
         return self.frame.select(*columns, *[c.alias(n) for n, c in named.items()])
 
 
+def _grown(front: DataFrame, seen: DataFrame, each: DataFrame) -> DataFrame:
+    """The next frontier(root, id, path): nodes not seen from a root before, each by the smallest of the paths to it."""
+    met = front.join(each, F.col("id") == F.col("here")).select("root", F.col("there").alias("id"), F.concat("path", F.array("there")).alias("path"))
+    return met.groupBy("root", "id").agg(F.min("path").alias("path")).join(seen.select("root", "id"), ["root", "id"], "left_anti")
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
+    """(start_id, end_id, length, path) for those of pairs(start_id, end_id) that an undirected path of up to `most` edges
+    joins: the number of edges of a shortest one, and the ids of its nodes.
+
+    A search grows from all starts and one from all ends, in turns, each node once for each root; a pair is done where
+    its two searches meet, and roots without open pairs stop. So no search goes further than half of its longest path.
+    Both sides of a round are joined by keys; nothing but the number of open pairs reaches the driver. Pairs with a null
+    have no path; a node is joined with itself by a path of no edges, also if no edge has it.
+    """
+    each = checkpoint(incident(edges).select("here", "there").distinct())
+    open_ = checkpoint(pairs.select("start_id", "end_id").dropna().distinct())
+    root = lambda c: open_.select(F.col(c).alias("root")).distinct().select("root", F.col("root").alias("id"), F.array("root").alias("path"))
+    seen = {c: root(c) for c in ("start_id", "end_id")}
+    front, done = dict(seen), []
+    for length in range(most + 1):
+        if length:
+            side = "start_id" if length % 2 else "end_id"
+            wanted = open_.select(F.col(side).alias("root")).distinct()
+            front[side] = checkpoint(_grown(front[side].join(wanted, "root", "left_semi"), seen[side], each))
+            seen[side] = checkpoint(seen[side].unionByName(front[side]))
+            # A path of this length has its middle in both frontiers.
+            a, b = front["start_id"], front["end_id"]
+        else:
+            a, b = seen["start_id"], seen["end_id"]
+        a = a.select(F.col("root").alias("start_id"), "id", F.col("path").alias("head"))
+        b = b.select(F.col("root").alias("end_id"), "id", F.reverse("path").alias("tail"))
+        whole = F.concat("head", F.slice("tail", F.lit(2), F.size("tail")))
+        met = checkpoint(open_.join(a, "start_id").join(b, ["end_id", "id"]).groupBy("start_id", "end_id").agg(F.min(whole).alias("path")))
+        done.append(met.select("start_id", "end_id", F.lit(length).alias("length"), "path"))
+        open_ = checkpoint(open_.join(met, ["start_id", "end_id"], "left_anti"))
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 10) -> int | None:
-    """Edges on a shortest undirected path, by breadth-first rounds; None if there is none of up to `most`."""
-    from ..operators.iteration import checkpoint
-
-    spark = edges.sparkSession
-    if start == end:
-        return 0
-    each = incident(edges).select("here", "there").distinct()
-    seen = front = spark.createDataFrame([(start,)], "id string")
-    for depth in range(1, most + 1):
-        front = checkpoint(each.join(front, F.col("here") == F.col("id")).select(F.col("there").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if front.isEmpty():
-            return None
-        if not front.filter(F.col("id") == end).isEmpty():
-            return depth
-        seen = checkpoint(seen.unionByName(front))
-    return None
+    """Edges on a shortest undirected path; None if there is none of up to `most`."""
+    pair = edges.sparkSession.createDataFrame([(start, end)], "start_id string, end_id string")
+    found = shortest_paths(edges, pair, most).first()
+    return found.length if found else None

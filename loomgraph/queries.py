@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ontology
@@ -616,6 +616,42 @@ def pattern_varlen(spark, sf_dir):
     return found.returns(company=F.col("c.entity_id"), place=F.col("g.entity_id"), hops=F.size("e"))
 
 
+_STEPS = """steps AS (SELECT DISTINCT event_type AS src, 'NEXT' AS type, next_type AS tgt FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS next_type FROM events) WHERE next_type IS NOT NULL)"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which type of event comes after which for some user: a graph with loops, cycles and long chains."""
+    follows = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return tables.read(spark, sf_dir, "events").select(F.col("event_type").alias("src"), F.lit("NEXT").alias("type"), follows.alias("tgt")).filter("tgt IS NOT NULL").distinct()
+
+
+@query(f"""WITH RECURSIVE {_STEPS}, chain AS (SELECT src AS start, tgt AS last, [src || '>' || tgt] AS used FROM steps
+    UNION ALL SELECT start, tgt, list_append(used, src || '>' || tgt) FROM chain JOIN steps ON src = last AND NOT list_contains(used, src || '>' || tgt) WHERE len(used) < 4)
+  SELECT start, last, len(used) AS hops, count(*) AS chains FROM chain WHERE len(used) >= 2 GROUP BY ALL""")
+def pattern_varlen_cycles(spark, sf_dir):
+    from .plans.patterns import Match
+
+    steps = _steps(spark, sf_dir)
+    types = steps.select(F.col("src").alias("entity_id")).union(steps.select("tgt")).distinct().withColumn("entity_type", F.lit("Event"))
+    found = Match(types, steps).node("a").edge("e", "NEXT", hops=(2, 4)).node("b").returns(start=F.col("a.entity_id"), last=F.col("b.entity_id"), hops=F.size("e").cast("long"))
+    return found.groupBy("start", "last", "hops").agg(F.count("*").alias("chains"))
+
+
+@query(f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, near AS (SELECT src AS a, tgt AS b FROM edges UNION SELECT tgt, src FROM edges),
+  pairs AS (SELECT entity_id AS start_id, 'region_' || (CAST(string_split(entity_id, '_')[2] AS BIGINT) % 5) AS end_id FROM nodes WHERE entity_type <> 'Product'),
+  walk AS (SELECT DISTINCT end_id AS root, end_id AS id, 0 AS d FROM pairs UNION SELECT root, b, d + 1 FROM walk JOIN near ON a = id WHERE d < 6),
+  best AS (SELECT root, id, min(d) AS d FROM walk GROUP BY ALL)
+  SELECT start_id, end_id, d AS length, d + 1 AS nodes FROM pairs JOIN best ON root = end_id AND id = start_id""")
+def shortest_paths(spark, sf_dir):
+    from .plans.patterns import shortest_paths as search
+
+    nodes, edges = graph(spark, sf_dir)
+    region = F.concat(F.lit("region_"), F.substring_index("entity_id", "_", -1).cast("long") % 5)
+    pairs = nodes.filter("entity_type <> 'Product'").select(F.col("entity_id").alias("start_id"), region.alias("end_id"))
+    found = search(edges, pairs, 6)
+    return found.select("start_id", "end_id", F.col("length").cast("long").alias("length"), F.size("path").cast("long").alias("nodes"))
+
+
 @query(f"{BOTH_SQL} SELECT n.name AS place, count(*) AS n FROM edges e JOIN nodes n ON n.entity_id = e.tgt WHERE e.type = 'OPERATES_IN' GROUP BY 1 ORDER BY n DESC, place LIMIT 50")
 def guarded_sql(spark, sf_dir):
     g = GraphSession(spark, *graph(spark, sf_dir), prefix="kg_")

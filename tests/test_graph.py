@@ -14,7 +14,7 @@ from loomgraph.operators.evidence import NOTHING, Evidence
 from loomgraph.operators.iteration import numbered, running_sum
 from loomgraph.plans import agent, build, chat
 from loomgraph.plans.guard import NotReadOnly, check
-from loomgraph.plans.patterns import Match, shortest_path
+from loomgraph.plans.patterns import Match, shortest_path, shortest_paths
 from loomgraph.plans.session import GraphSession
 from loomgraph.sources import documents, filings
 from loomgraph.streaming import incremental
@@ -226,6 +226,40 @@ def test_search_and_expand(graph):
     assert shortest_path(graph.edges, "a", "c") == 2 and shortest_path(graph.edges, "a", "zz") is None
 
 
+def test_shortest_paths_equal_a_search(spark):
+    rng = random.Random(4)
+    rows = list({(f"n{rng.randrange(30)}", rng.choice("RS"), f"n{rng.randrange(30)}") for _ in range(33)})
+    near = {}
+    for a, _, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def plain(a, most):
+        found, front = {a: 0}, [a]
+        for d in range(1, most + 1):
+            front = [y for x in front for y in near.get(x, ()) if y not in found and not found.update({y: d})]
+        return found
+
+    pairs = [(f"n{i}", f"n{j}") for i in range(31) for j in range(0, 31, 3)] + [("n1", None), ("n1", "n3"), ("zz", "zz"), ("zz", "n1")]
+    edges = spark.createDataFrame(rows, "src string, type string, tgt string")
+    for most in (0, 3, 10):
+        found = shortest_paths(edges, spark.createDataFrame(pairs, "start_id string, end_id string"), most).collect()
+        want = {(a, b): plain(a, most)[b] for a, b in pairs if b is not None and b in plain(a, most)}
+        assert {(r.start_id, r.end_id): r.length for r in found} == want and len(found) == len(want)
+        for r in found:
+            assert len(r.path) == r.length + 1 and (r.path[0], r.path[-1]) == (r.start_id, r.end_id) and all(y in near[x] for x, y in zip(r.path, r.path[1:]))
+
+
+def test_limit_that_the_first_hop_fills(spark):
+    """At a hub the second hop is not planned; the rows are those of the whole order."""
+    rows = [("hub", "R", f"a{i:03d}") for i in range(60)] + [(f"a{i:03d}", "S", f"b{i % 7}") for i in range(60)]
+    edges = spark.createDataFrame(rows, "src string, type string, tgt string")
+    few, all_ = retrieval.neighbors(edges, "hub", 2, limit=50), retrieval.neighbors(edges, "hub", 2, limit=None)
+    order = lambda df: sorted((r.depth, r.end_id, r.mid_id or "") for r in df.collect())
+    assert order(few) == order(all_)[:50] and few._jdf.queryExecution().optimizedPlan().toString().count("Join") < all_._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert order(retrieval.neighbors(edges, "hub", 2, limit=70)) == order(all_)[:70]
+
+
 def test_patterns(graph):
     m = Match(graph.nodes, graph.edges)
     assert m.node("x", "Company").edge("r", "R", direction="both").node("y", "Geography").frame.count() == 3
