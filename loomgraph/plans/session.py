@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from typing import Any
 
@@ -21,6 +22,12 @@ class Settings:
     extracted: str = "data/extracted"
     graph: str = "data/graph"
 
+    @classmethod
+    def read(cls, path: str) -> Settings:
+        """Settings from a JSON file; what it does not name keeps its default, and an unknown name is an error."""
+        with open(path) as f:
+            return cls(**json.load(f))
+
 
 class GraphSession:
     """Lazy frames over nodes and edges; the caller owns the SparkSession."""

@@ -6,10 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import evidence, resolution, retrieval
-from loomgraph.plans import agent
+from loomgraph.operators import evidence, extraction, resolution, retrieval
+from loomgraph.plans import agent, pipeline
 from loomgraph.plans.guard import NotReadOnly, check_analysed
-from loomgraph.plans.session import GraphSession
+from loomgraph.plans.session import GraphSession, Settings
 from loomgraph.streaming import incremental
 
 
@@ -198,3 +198,58 @@ def test_many_records_of_one_name(spark):
     assert sorted((r.id, r.seq) for r in lead) == [("id1", 1), ("same", 0)]
     done = resolution.assign(records).groupBy("canonical_id").count().collect()
     assert {r.canonical_id: r["count"] for r in done} == {"id1": 2000, "same": 2000}
+
+
+def page_parser(path, content):
+    """Pages are parted by form feeds, blocks by line feeds."""
+    text = content.decode()
+    if text.startswith("broken"):
+        raise ValueError(path)
+    return [(i, i + 1, j, "text", j, line) for i, page in enumerate(text.split("\f")) for j, line in enumerate(page.split("\n"))]
+
+
+class Counting:
+    """The offline extractor; each call leaves a file."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, document_id, page_range, content, known_ids):
+        import uuid
+
+        with open(f"{self.folder}/{document_id}-{page_range}-{uuid.uuid4().hex}", "w"):
+            pass
+        return extraction.NameExtractor()(document_id, page_range, content, known_ids)
+
+
+def test_pipeline_takes_what_is_new(spark, tmp_path):
+    raw, calls = tmp_path / "raw", tmp_path / "calls"
+    calls.mkdir()
+    settings = tmp_path / "settings.json"
+    settings.write_text(json.dumps({k: str(tmp_path / k) for k in ("raw", "parsed", "extracted", "graph")}))
+    settings = Settings.read(str(settings))
+
+    def filing(place, text):
+        (raw / place).parent.mkdir(parents=True, exist_ok=True)
+        (raw / place).write_text(text)
+
+    def run(**options):
+        states = {(r.document_id, r.stage): r.status for r in pipeline.run(spark, settings, page_parser, Counting(str(calls)), **options).collect()}
+        last = incremental.Graph(settings.graph).read(spark)
+        made = sorted(p.name.split("-")[0] for p in calls.iterdir())
+        for p in calls.iterdir():
+            p.unlink()
+        return states, sorted(r.entity_id for r in last["nodes"].collect()), sorted((r.src, r.tgt, tuple(r.sources)) for r in last["edges"].collect()), made
+
+    filing("Acme/2023/Form A.pdf", "Acme operates in India\fnothing here\f\fAcme operates in Peru")
+    filing("Acme/2024/Bad.pdf", "broken")
+    states, nodes, edges, made = run()
+    assert states == {("acme_form_a", s): "ok" for s in ("parse", "extract", "load")} | {("acme_bad", s): "missing" for s in ("parse", "extract", "load")}
+    assert nodes == ["company_acme", "geography_india", "geography_peru"] and made == ["acme_form_a"] * 2
+    assert edges == [("company_acme", "geography_india", ("acme_form_a",)), ("company_acme", "geography_peru", ("acme_form_a",))]
+    assert run()[1:] == (nodes, edges, [])
+    filing("Zed/2024/b.PDF", "Zed Works operates in India")
+    states, nodes, edges, made = run()
+    assert made == ["zed_b"] and "company_zed_works" in nodes and ("company_zed_works", "geography_india", ("zed_b",)) in edges and len(edges) == 3
+    again = run(force=True, company="zed")
+    assert again[3] == ["zed_b"] and again[1:3] == (nodes, edges) and set(again[0]) == {("zed_b", s) for s in ("parse", "extract", "load")}
