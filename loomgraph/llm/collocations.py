@@ -6,16 +6,16 @@ Neighbours in this order share a number of leading words, their LCP; a run of ne
 LCP interval, and its length is the count of a phrase of d words in the shard. Counts of all shards are merged by
 (lang, phrase).
 
-Most phrases are rare, and a phrase is no more frequent than its parts. So words are counted first, then phrases of two
-words that are both frequent, then longer phrases all of whose pairs are frequent. What is frequent travels to the
-shards as a bitmap of a fixed size: a rare phrase that shares its bit with a frequent one is counted in vain, and no
-frequent one is lost. So counts are exact at any size of the bitmap.
+Most phrases are rare, and a phrase is no more frequent than its parts. So words are counted first, then, by hash alone,
+pairs of frequent words, then all phrases whose pairs are frequent. What is frequent travels to the shards as a bitmap
+of a fixed size: a rare part that shares its bit or hash with a frequent one is counted in vain, and no frequent one is
+lost. So counts are exact at any size of the bitmap.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +49,10 @@ def phrase_hash(lang: Column, phrase: Column) -> Column:
     return F.aggregate(F.split(phrase, " "), F.crc32(lang) % RANGE, _hash)
 
 
-def bitmap(phrases: DataFrame, bits: int) -> bytes:
-    """A map of `bits` bits in which those of phrases(lang, phrase) are set. What reaches the driver is bits / 64 numbers
-    at most."""
-    at = phrases.select((phrase_hash(F.col("lang"), F.col("phrase")) % bits).alias("at"))
+def bitmap(hashes: DataFrame, bits: int) -> bytes:
+    """A map of `bits` bits in which those of the numbers hashes(hash) are set. What reaches the driver is bits / 64
+    numbers at most."""
+    at = hashes.select((F.col("hash") % bits).alias("at"))
     rows = at.groupBy((F.col("at") / 64).cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("v"))
     found = rows.toArrow()
     out = np.zeros(bits // 64, "<u8")
@@ -120,16 +120,14 @@ class Part:
             h = (h * FACTOR + each[j : j + len(h)]) % RANGE
         return h
 
-    def counts(self, least: int, most: int, frequent: np.ndarray | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """Phrases of `least` to `most` words and their counts: words alone, or by the bitmap `frequent` of the frequent
-        phrases of least - 1 words (one or two) phrases all of whose parts of that length are in it."""
-        if not len(self.ids):
-            return
-        if most == 1:
-            n = np.bincount(self.ids[self.own] - 1, minlength=len(self.words))
-            yield self.words.filter(pa.array(n > 0)), n[n > 0]
-            return
-        part = least - 1
+    def words_alone(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words and their counts."""
+        n = np.bincount(self.ids[self.own] - 1, minlength=len(self.words))
+        return self.words.filter(pa.array(n > 0)), n[n > 0]
+
+    def intervals(self, least: int, most: int, part: int, frequent: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(d, a place of each, count of each) of the phrases of d = `least` to `most` words all of whose parts of `part`
+        words (one or two) have their bits in `frequent`."""
         known = np.zeros(len(self.ids), bool)
         h = self.hashes(part) % (len(frequent) * 8)
         known[: len(h)] = frequent[h >> 3] >> (h & 7).astype(np.uint8) & 1
@@ -142,15 +140,15 @@ class Part:
         keep = begins.copy()
         for j in range(1, least):
             keep[j:] |= begins[:-j]
-        bridge &= keep & _next(keep)
+        bridge = bridge & keep & _next(keep)
         at = np.flatnonzero(keep)
         if not len(at):
             return
         # The array of suffixes: kept words, with a 0 where a run ends.
         goes_on = bridge[at]
         place = np.arange(len(at)) + np.concatenate([[0], np.cumsum(~goes_on)[:-1]])
-        symbols = np.zeros(int(place[-1]) + 2, np.int64)
-        symbols[place] = self.ids[at]
+        symbols, origin = np.zeros((2, int(place[-1]) + 2), np.int64)
+        symbols[place], origin[place] = self.ids[at], at
         starts = np.zeros(len(symbols), bool)
         starts[place] = self.own[at]
         order = suffix_array(symbols, most)
@@ -158,13 +156,16 @@ class Part:
         lcp, length = neighbours(symbols, order, most)
         for d in range(least, most + 1):
             first = np.flatnonzero((lcp < d) & (length >= d))
-            if not len(first):
-                continue
-            # An interval ends where the next one, or a shorter suffix, begins.
-            bounds = np.flatnonzero(lcp < d)
-            ends = np.append(bounds[1:], len(order))[np.searchsorted(bounds, first)]
-            words = [self.words.take(pa.array(symbols[order[first] + j] - 1)) for j in range(d)]
-            yield pc.binary_join_element_wise(*words, b" "), ends - first
+            if len(first):
+                # An interval ends where the next one, or a shorter suffix, begins.
+                bounds = np.flatnonzero(lcp < d)
+                ends = np.append(bounds[1:], len(order))[np.searchsorted(bounds, first)]
+                yield d, origin[order[first]], ends - first
+
+    def phrases(self, at: np.ndarray, d: int) -> pa.Array:
+        """The d words from each of some places on, joined by blanks."""
+        words = [self.words.take(pa.array(self.ids[at + j] - 1)) for j in range(d)]
+        return pc.binary_join_element_wise(*words, b" ")
 
 
 def _next(flags: np.ndarray) -> np.ndarray:
@@ -222,27 +223,38 @@ def _shards(batch: pa.RecordBatch, shard: int) -> Iterator[list[Part]]:
         yield [Part(k, v) for k, v in held.items()]
 
 
-def _count(docs: DataFrame, least: int, most: int, frequent: Broadcast | None, shard: int) -> DataFrame:
-    """(lang, phrase, f) over all rows. With least = most = 1 there is one more row for each language, with an empty
-    phrase: the words of the language."""
-
+def _over_shards(docs: DataFrame, found: Callable[[Part, np.ndarray | None], Iterator[pa.RecordBatch]], schema: str, shard: int, frequent: Broadcast | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if frequent is None else np.frombuffer(frequent.value, np.uint8)
         for batch in slices(batches, most=shard):
             for held in _shards(batch, shard):
                 for part in held:
-                    if most == 1:
-                        yield _rows(part.lang, pa.array([b""]), np.array([part.own.sum()]))
-                    for phrases, n in part.counts(least, most, bits):
-                        for at in range(0, len(phrases), 1 << 18):
-                            yield _rows(part.lang, phrases.slice(at, 1 << 18), n[at : at + (1 << 18)])
+                    if len(part.ids):
+                        yield from found(part, bits)
+
+    return map_batches(docs.select("lang", "text"), run, schema)
+
+
+def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(phrases), 1 << 18):
+        some = phrases.slice(at, 1 << 18)
+        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(some), np.int32))), some.cast(pa.string()), pa.array(n[at : at + (1 << 18)].astype(np.int64))], ["lang", "phrase", "f"])
+
+
+def _words(part: Part, _: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    yield from _rows(part.lang, pa.array([b""]), np.array([part.own.sum()]))
+    yield from _rows(part.lang, *part.words_alone())
+
 
-    found = map_batches(docs.select("lang", "text"), run, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+def _pairs(part: Part, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    hashes = part.hashes(2)
+    for _, at, n in part.intervals(2, 2, 1, bits):
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), pa.array(n.astype(np.int64))], ["hash", "f"])
 
 
-def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(phrases), np.int32))), phrases.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "f"])
+def _phrases(part: Part, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for d, at, n in part.intervals(2, LONGEST, 2, bits):
+        yield from _rows(part.lang, part.phrases(at, d), n)
 
 
 def frequent_phrases(docs: DataFrame, least_count: int = 100, bits: int = BITS, shard: int = SHARD) -> DataFrame:
@@ -250,12 +262,15 @@ def frequent_phrases(docs: DataFrame, least_count: int = 100, bits: int = BITS,
     language's number of words as the count of the empty phrase."""
     sc = docs.sparkSession.sparkContext
     kept = F.col("f") >= least_count
-    words = written(_count(docs, 1, 1, None, shard).filter(kept | (F.col("phrase") == "")))
-    known = sc.broadcast(bitmap(words.filter("phrase <> ''").filter(kept), bits))
-    pairs = written(_count(docs, 2, 2, known, shard).filter(kept))
-    known = sc.broadcast(bitmap(pairs, bits))
-    longer = written(_count(docs, 3, LONGEST, known, shard).filter(kept))
-    return words.unionByName(pairs).unionByName(longer)
+    named = "lang string, phrase string, f long"
+    words = _over_shards(docs, _words, named, shard).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    words = written(words.filter(kept | (F.col("phrase") == "")))
+    known = sc.broadcast(bitmap(words.filter("phrase <> ''").filter(kept).select(phrase_hash(F.col("lang"), F.col("phrase")).alias("hash")), bits))
+    # Pairs of frequent words are many, and most are rare: they are counted by hash, so that their words stay where they are.
+    pairs = _over_shards(docs, _pairs, "hash long, f long", shard, known).groupBy("hash").agg(F.sum("f").alias("f"))
+    known = sc.broadcast(bitmap(pairs.filter(kept).select("hash"), bits))
+    longer = _over_shards(docs, _phrases, named, shard, known).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return words.unionByName(written(longer.filter(kept)))
 
 
 def mine(docs: DataFrame, least_count: int = 100, most_rows: int = 2000, bits: int = BITS, shard: int = SHARD) -> DataFrame:

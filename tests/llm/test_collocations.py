@@ -49,7 +49,7 @@ def some_texts(seed, n=60):
     return [(i, "".join(rng.choice(words[: rng.randint(1, 9)]) + rng.choice(ends[: rng.choice([1, 2, 8])]) for _ in range(rng.randint(0, 40))), rng.choice(["en", "de", None, "und", ""]), "s", 1) for i in range(n)]
 
 
-@pytest.mark.parametrize("bits,shard,least,most", [(1 << 20, 1 << 20, 3, 2000), (64, 100, 3, 5), (1 << 20, 7, 1, 2000), (1 << 10, 40, 2, 3)])
+@pytest.mark.parametrize("bits,shard,least,most", [(1 << 20, 1 << 20, 3, 2000), (64, 100, 3, 5), (1 << 20, 60, 1, 2000), (1 << 10, 40, 2, 3)])
 def test_collocations(spark, bits, shard, least, most):
     rows = some_texts(bits + shard) + AWKWARD + AWKWARD[4:6]
     found = collocations.mine(docs(spark, rows, f=1, phrase="x", a=2, w=3), least, most, bits, shard).collect()
