@@ -123,6 +123,13 @@ BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound the bytes of the session's Arrow batches, unless a smaller bound is set."""
+    found = spark.conf.get(_BATCH).rstrip("b")
+    if found.isdigit() and int(found) > most:
+        spark.conf.set(_BATCH, str(most))
+
+
 def map_batches(df: DataFrame, find: Callable, schema: str | StructType, *caches: dict) -> DataFrame:
     """mapInArrow with batches bounded by bytes, not by rows alone, and workers that give their memory back.
 
@@ -130,10 +137,7 @@ def map_batches(df: DataFrame, find: Callable, schema: str | StructType, *caches
     are cleared when a task ends. A session with a smaller bound keeps it; otherwise the bound is set for the session and
     stays, as plans read it when they run.
     """
-    conf = df.sparkSession.conf
-    found = conf.get(_BATCH).rstrip("b")
-    if found.isdigit() and int(found) > BATCH_BYTES:
-        conf.set(_BATCH, str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
