@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, free
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     The edges are rewritten until they are stars, in a number of rounds that grows with the logarithm of the
     longest chain. A hub's smallest neighbour comes from a partial aggregate, and the join that carries it back
     can be split by the adaptive planner, so no task gets a whole component. Each round is cut off in the shared
-    folder. Nulls and loops are no edges; repeated edges count once; no edges give no rows.
+    folder, and its shuffle files go before the next one. Nulls and loops are no edges; repeated edges count once; no edges give no rows.
     """
     a, b = F.greatest(src, dst), F.least(src, dst)
     now = checkpoint(edges.filter(F.col(src) != F.col(dst)).select(a.alias("a"), b.alias("b")).distinct())
@@ -39,4 +39,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if (found := mark(now)) == last:
             break
         last = found
+        free(edges.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def with_links(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components found(node, component) when links(src, dst) are added. Only components that links touch are
+    joined, as a graph of their labels, so the work follows the links and not what is in the components already."""
+    a = found.select(F.col("node").alias("src"), F.col("component").alias("a"))
+    b = found.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    between = links.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
+    over = connected_components(between)
+    moved = found.join(over.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+    alone = over.join(found.select("node"), "node", "left_anti")
+    return checkpoint(moved.select("node", F.coalesce("least", "component").alias("component")).unionByName(alone))

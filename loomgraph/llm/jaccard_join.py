@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, few, free, map_batches, slices, texts, written
-from .components import connected_components
+from .components import connected_components, with_links
 
 #: Members of a list that one task compares with one another.
 BLOCK = 256
@@ -532,8 +532,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     own = lists.groupBy("f1").agg(F.max_by("sig", F.struct("members", "sig")).alias("sig"), F.max("members").alias("members"))
     first = marked.join(own, "f1").withColumn("block", _dealt(_blocks("members")))
     tested = _verified(_by_block(first, percent).distinct(), docs, reps, n, percent)
-    links = checkpoint(tested.filter("linked").select("src", "dst").unionByName(_same_id(some, reps)))
-    found = connected_components(links)
+    found = connected_components(checkpoint(tested.filter("linked").select("src", "dst").unionByName(_same_id(some, reps))))
     free(spark)
 
     def tests(edges: DataFrame) -> DataFrame:
@@ -554,16 +553,18 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         new = more.filter("linked").select("src", "dst")
         if new.isEmpty():
             break
-        links = checkpoint(links.unionByName(new))
-        found = connected_components(links)
+        found = with_links(found, new)
+        free(spark)
     left = _left(lists, checkpoint(label()), marked)
+    free(spark)
     if left is not None:
         near = written(_by_sketches(left, percent))
+        free(spark)
         if not near.isEmpty():
             whole = _sets(near.select("f1", "f2").distinct(), docs, reps, n)
             more = checkpoint(_by_sets(near.join(whole, ["f1", "f2"]), percent).distinct())
             if not more.isEmpty():
-                found = connected_components(links.unionByName(more))
+                found = with_links(found, more)
     of_class = reps.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("f1", "f2", F.coalesce("component", "doc_id").alias("component"))
     return table.join(of_class, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, gif, jaccard_join, language_id, licenses, packing, prefix_counts, secret_scans, toxicity, url_filters
 from loomgraph.llm.common import TO_LOWER
-from loomgraph.llm.components import connected_components
+from loomgraph.llm.components import connected_components, with_links
 from loomgraph.llm.tokens import SPECIAL, Ids, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -650,3 +650,21 @@ def test_held_out_quality(spark):
 
     found = op5_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_added_to_components_equal_those_of_all_links(spark, seed):
+    rnd = random.Random(seed)
+    links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)]
+    old, new = links[:20], [*links[20:], (1000, 1001), (7, 7)]
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    both = {(r.node, r.component) for r in connected_components(frame(old + new)).collect()}
+    got = [(r.node, r.component) for r in with_links(connected_components(frame(old)), frame(new)).collect()]
+    assert len(got) == len(set(got)) and set(got) == both
+
+
+def test_links_added_to_no_components_and_no_links(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    some = spark.createDataFrame([(1, 2), (None, 3)], "src long, dst long")
+    assert {(r.node, r.component) for r in with_links(connected_components(none), some).collect()} == {(1, 1), (2, 1)}
+    assert {(r.node, r.component) for r in with_links(connected_components(some), none).collect()} == {(1, 1), (2, 1)}
