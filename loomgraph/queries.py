@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import ontology
 from .functions import properties, text
-from .operators import evidence, extraction, loading, resolution, retrieval, windows
+from .operators import admission, evidence, extraction, loading, resolution, retrieval, windows
 from .operators.iteration import checkpoint, shared_dir
 from .plans import agent, build
 from .plans.session import GraphSession
@@ -551,6 +551,40 @@ def ingest_summary(spark, sf_dir):
     return done.select("document_id", "entities_resolved", "ids_remapped", "attempted")
 
 
+_CUSTOMER_ALIASES = _alias_sql("customer", "c_custkey", "c_name", "company_")
+_NO_CUSTOMER = 10  # every tenth order points at a company that no document has
+
+
+@query(f"""WITH aliases AS (SELECT 'filing_' || d AS document_id, d, raw_id, canonical_id FROM (SELECT *, CAST(string_split(raw_id, '_')[2] AS BIGINT) // 100 AS d FROM ({_CUSTOMER_ALIASES}))),
+  first AS (SELECT canonical_id AS id, min(d) AS d FROM aliases GROUP BY 1), docs AS (SELECT document_id, d, count(*) FILTER (WHERE raw_id <> canonical_id) AS ids_remapped FROM aliases GROUP BY ALL),
+  rels AS (SELECT o_custkey // 100 AS d, 'company_' || o_custkey AS a, CASE WHEN o_orderkey % {_NO_CUSTOMER} = 7 THEN 'company_none' ELSE 'company_' || (o_custkey // 100 * 100 + o_orderkey % 100) END AS b FROM orders),
+  ends AS (SELECT rels.d, coalesce(x.canonical_id, a) AS a, coalesce(y.canonical_id, b) AS b FROM rels LEFT JOIN aliases x ON x.d = rels.d AND x.raw_id = a LEFT JOIN aliases y ON y.d = rels.d AND y.raw_id = b),
+  made AS (SELECT ends.d, count(*) AS attempted, count(*) FILTER (WHERE f.d <= ends.d AND g.d <= ends.d) AS written FROM ends LEFT JOIN first f ON f.id = a LEFT JOIN first g ON g.id = b GROUP BY 1)
+  SELECT 'filing_' || f AS document_id, docs.document_id IS NOT NULL AS ingested, CASE WHEN docs.d IS NOT NULL THEN (SELECT count(*) FROM first WHERE first.d <= docs.d) END AS entities_resolved, ids_remapped,
+    CASE WHEN docs.d IS NOT NULL THEN coalesce(attempted, 0) END AS attempted, CASE WHEN docs.d IS NOT NULL THEN coalesce(written, 0) END AS written
+  FROM (SELECT DISTINCT o_custkey // 100 AS f FROM orders UNION SELECT DISTINCT c_custkey // 100 FROM customer UNION SELECT -1 - n_nationkey FROM nation) LEFT JOIN docs ON docs.d = f LEFT JOIN made ON made.d = f""")
+def ingest_results(spark, sf_dir):
+    """Filings of a hundred customers each, with customers that stand for others and orders that lack an end; a filing
+    that was never ingested keeps its row."""
+    filing = lambda n: F.concat(F.lit("filing_"), n.cast("string"))
+    hundred = lambda c: F.floor(F.col(c) / 100).cast("long")
+    records = tables.name_records(spark, sf_dir, "customer").withColumn("doc_ord", hundred("seq")).withColumn("document_id", filing(F.col("doc_ord")))
+    assigned = checkpoint(resolution.assign(records))
+    orders = tables.read(spark, sf_dir, "orders").withColumn("doc_ord", hundred("o_custkey"))
+    other = F.concat(F.lit("company_"), F.col("doc_ord") * 100 + F.col("o_orderkey") % 100)
+    rels = orders.select(
+        filing(F.col("doc_ord")).alias("document_id"), "doc_ord", F.concat(F.lit("company_"), "o_custkey").alias("source_id"),
+        F.when(F.col("o_orderkey") % _NO_CUSTOMER == 7, "company_none").otherwise(other).alias("target_id"),
+    )
+    aliases = resolution.alias(assigned)
+    mapped = loading.remap(rels, aliases)
+    nodes = assigned.groupBy(F.col("canonical_id").alias("entity_id")).agg(F.min("doc_ord").alias("first_doc_ord"))
+    ingested = loading.summary(assigned, aliases, mapped, loading.with_endpoints(mapped, nodes)).withColumn("ingested", F.lit(True))
+    never = tables.read(spark, sf_dir, "nation").select(filing(-1 - F.col("n_nationkey")).alias("document_id"))
+    filings_ = rels.select("document_id").union(records.select("document_id")).union(never).distinct()
+    return build.with_ingest(filings_, ingested).select("document_id", F.coalesce("ingested", F.lit(False)).alias("ingested"), "entities_resolved", "ids_remapped", "attempted", "written")
+
+
 @query("""WITH o AS (SELECT 'order_' || o_orderkey AS id, o_orderstatus AS s, o_orderkey % 4 AS m FROM orders)
   SELECT count(*) AS filings, count(*) FILTER (WHERE s <> 'F' AND m <> 0) AS processed FROM o""")
 def pipeline_status(spark, sf_dir):
@@ -680,6 +714,46 @@ def event_stream_counts(spark, sf_dir):
     return spark.table(name)
 
 
+_ARRIVALS = """given AS (SELECT event_id, ts, event_type, (epoch_us(ts) // 86400000000) // 10 AS period FROM events),
+  sent AS (SELECT *, period + CASE event_id % 7 WHEN 3 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS batch FROM given UNION ALL SELECT *, period + 1 FROM given WHERE event_id % 11 = 0),
+  marks AS (SELECT batch, max(max(epoch_ms(ts))) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 2 * 86400000 AS mark FROM sent GROUP BY batch)"""
+
+
+@query(f"""WITH {_ARRIVALS}, kept AS (SELECT DISTINCT event_id, ts, event_type FROM sent JOIN marks USING (batch) WHERE mark IS NULL OR epoch_us(ts) > mark * 1000)
+  SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM kept
+  WHERE epoch_ms(date_trunc('day', ts)) + 86400000 <= (SELECT max(epoch_ms(ts)) - 2 * 86400000 FROM sent) GROUP BY ALL""")
+def event_stream_closed(spark, sf_dir):
+    """Events in batches of ten days; some come one or two batches late, and some twice."""
+    given = tables.read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    given = given.withColumn("period", F.floor(F.floor(F.unix_micros("ts") / 86_400_000_000) / 10))
+    k = F.col("event_id") % 7
+    sent = given.withColumn("batch", F.col("period") + F.when(k == 3, 2).when(k == 5, 1).otherwise(0)).unionByName(given.filter("event_id % 11 = 0").withColumn("batch", F.col("period") + 1))
+    at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    checkpoint(sent).write.partitionBy("batch").parquet(f"{at}/sent")
+    sent = spark.read.parquet(f"{at}/sent")
+    batches = sorted(r.batch for r in sent.select("batch").distinct().collect())  # one row for each ten days
+    schema = "event_id long, ts timestamp, event_type string"
+    out = "start timestamp, event_type string, n long"
+    if not batches:
+        return spark.createDataFrame([], out)
+    for b in batches:
+        sent.filter(F.col("batch") == b).select("event_id", "ts", "event_type").write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{at}/in")
+        incremental.append(incremental.closed_counts(stream), f"{at}/out", f"{at}/mark").start().awaitTermination()
+    return spark.read.schema(out).parquet(f"{at}/out")
+
+
+# Calls under a rolling limit
+@query("""WITH RECURSIVE asked AS (SELECT event_id, event_type, epoch_us(ts) AS asked_us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events),
+  turns AS (SELECT event_id, event_type, k, asked_us, asked_us AS begins FROM asked WHERE k < 3
+    UNION ALL SELECT a.event_id, a.event_type, a.k, a.asked_us, greatest(a.asked_us, t.begins + 3600000000) FROM turns t JOIN asked a ON a.event_type = t.event_type AND a.k = t.k + 3)
+  SELECT event_id, event_type, begins - asked_us AS waited FROM turns""")
+def rolling_admission(spark, sf_dir):
+    """Events as calls: at most three of a type in an hour."""
+    asked = tables.read(spark, sf_dir, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return admission.admitted(asked, "event_type", "at", "event_id", calls=3, seconds=3600).select("event_id", "event_type", (F.col("begins") - F.col("at")).alias("waited"))
+
+
 _EVENT_FILES = """e AS (SELECT *, 'events_' || strftime(ts, '%Y%m%d%H') AS file FROM events), places AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS ord FROM (SELECT DISTINCT file FROM e)),
   said AS (SELECT 'person_' || user_id AS entity_id, 'Person' AS entity_type, md5(CAST(user_id AS VARCHAR)) AS name, event_type, value, event_id, file FROM e
     UNION ALL SELECT 'event_' || event_type, 'Event', event_type, NULL, NULL, event_id, file FROM e)"""

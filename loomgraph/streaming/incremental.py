@@ -38,6 +38,24 @@ def event_counts(events: DataFrame, window: str = "1 day", late: str = "1 day")
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+def closed_counts(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Events(event_id, ts, event_type) by window and type, each event once, for append mode: a window's row comes once,
+    when no event that counts can fall into it any more.
+
+    An event that is `late` or more behind the newest one of all earlier batches is left out, and a repeat of an event
+    that counts is, too. State holds the ids of the last `late` and the open windows, whatever the length of the stream.
+    Events without a time count nowhere.
+    """
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    counted = once.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def append(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Add the closed rows of a stream to a Parquet table: each row once, also after a failure."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 class Graph:
     """Tables in a folder, as versions of their rows (a partition each).
 
