@@ -95,11 +95,30 @@ def violations(table: DataFrame, *key: str) -> DataFrame:
     return table.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
+def lookup_key(nodes: DataFrame) -> Column:
+    """What a node is looked up by, in lower case: the property that LOOKUPS names for its type (text or number), else
+    its name. A node without it is never found by it."""
+    key = F.lower("name")
+    for kind, prop in LOOKUPS.items() if "properties" in nodes.columns else ():
+        if prop != "name":
+            value = F.try_variant_get(F.try_element_at("properties", F.lit(prop)), "$", "string")
+            key = F.when(F.col("entity_type") == kind, F.lower(value)).otherwise(key)
+    return key
+
+
+def lookup(nodes: DataFrame, entity_type: str, value: str) -> DataFrame:
+    """Nodes of a type whose looked-up property is the value, whatever the case: a number as it is written. On a snapshot
+    read back this opens the type's folder alone, and of its files the row groups whose range holds the value."""
+    key = F.col("lookup") if "lookup" in nodes.columns else lookup_key(nodes)
+    return nodes.filter((F.col("entity_type") == entity_type) & (key == value.lower()))
+
+
 def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes by type and sorted by lower-case name, so that lookups prune folders and row groups; edges sorted by end.
-    The path must be a new one."""
-    laid = nodes.withColumn("name_lc", F.lower("name"))
-    laid.repartitionByRange("entity_type", "name_lc").sortWithinPartitions("entity_type", "name_lc").write.partitionBy("entity_type").parquet(f"{path}/nodes")
+    """Nodes by type and sorted by what they are looked up by, which becomes a column of its own, so that lookups prune
+    folders and row groups; edges sorted by end. The path must be a new one."""
+    laid = nodes.withColumns({"name_lc": F.lower("name"), "lookup": lookup_key(nodes)})
+    order = ("entity_type", "lookup", "name_lc")
+    laid.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("entity_type").parquet(f"{path}/nodes")
     edges.repartitionByRange("src", "tgt").sortWithinPartitions("src", "type").write.parquet(f"{path}/edges")
 
 

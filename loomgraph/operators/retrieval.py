@@ -96,7 +96,7 @@ def schema_summary(nodes: DataFrame, edges: DataFrame) -> str:
 
 
 #: Columns that are of use to the engine alone, and those that a compact node leaves out besides.
-BOOKKEEPING, LONG = ("first_doc_ord", "name_lc", "depth"), ("sources", "labels")
+BOOKKEEPING, LONG = ("first_doc_ord", "name_lc", "lookup", "depth"), ("sources", "labels")
 
 
 def full(nodes: DataFrame) -> DataFrame:

@@ -537,6 +537,29 @@ def unique_violations(spark, sf_dir):
     return loading.violations(tables.read(spark, sf_dir, "part").select(F.col("p_name").alias("name")), "name")
 
 
+# K6: lookups on a snapshot
+@query("""SELECT DISTINCT 'period_' || strftime(o_orderdate, '%Y_%m_%d') AS entity_id, strftime(o_orderdate, '%Y-%m-%d') AS name, year(o_orderdate) AS fiscal_year FROM orders WHERE year(o_orderdate) = 1996
+  UNION ALL SELECT 'company_' || c_custkey, c_name, NULL FROM customer WHERE lower(c_name) = 'customer#000000012'""")
+def lookup_nodes(spark, sf_dir):
+    """The days of a fiscal year and a company by its name, from a snapshot of all days of orders and all companies."""
+    own = ("entity_id", "entity_type", "name", "properties")
+    day = tables.read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    periods = day.select(
+        F.concat(F.lit("period_"), F.date_format("d", "yyyy_MM_dd")).alias("entity_id"), F.lit("Period").alias("entity_type"), F.date_format("d", "yyyy-MM-dd").alias("name"),
+        F.expr("from_json(to_json(named_struct('fiscal_year', year(d))), 'map<string,variant>')").alias("properties"),
+    )
+    companies = tables.read(spark, sf_dir, "customer").select(
+        tables.key("customer", "c_custkey").alias("entity_id"), F.lit("Company").alias("entity_type"), F.col("c_name").alias("name"),
+        F.expr("from_json(to_json(named_struct('segment', c_mktsegment)), 'map<string,variant>')").alias("properties"),
+    )
+    at = f"{shared_dir(spark)}/snapshots/{uuid.uuid4().hex}"
+    loading.write_snapshot(periods.unionByName(companies), tables.edges(spark, sf_dir), at)
+    nodes, _ = loading.read_snapshot(spark, at)
+    found = loading.lookup(nodes, "Period", "1996").select(*own).unionByName(loading.lookup(nodes, "Company", "CUSTOMER#000000012").select(*own))
+    year = F.expr("variant_get(try_element_at(properties, 'fiscal_year'), '$', 'bigint')")
+    return found.select("entity_id", "name", year.alias("fiscal_year"))
+
+
 # summaries
 @query("""WITH e AS (SELECT doc_id % 10 AS d, doc_id % 40 AS c FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0),
   first AS (SELECT c, min(d) AS d FROM e GROUP BY 1), docs AS (SELECT DISTINCT d FROM e),

@@ -186,6 +186,37 @@ def test_snapshot_layout(spark, tmp_path):
     assert "StringContains(name_lc,be)" in retrieval.search(again, "BE", limit=None)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lookups_read_the_row_groups_of_their_value(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = spark.range(4000).selectExpr(
+        "concat('n', id) AS entity_id", "if(id % 2 = 0, 'Period', 'Company') AS entity_type", "array('x') AS labels", "if(id = 7, NULL, concat('Name ', id)) AS name",
+        "from_json(CASE id % 5 WHEN 0 THEN '{}' WHEN 1 THEN NULL ELSE to_json(named_struct('fiscal_year', if(id % 3 = 0, concat('FY', 1900 + id % 100), string(1900 + id % 100)))) END, 'map<string,variant>') AS properties",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files, as a large graph has
+    try:
+        loading.write_snapshot(rows, spark.createDataFrame([("a", "R", "b")], "src string, type string, tgt string"), str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    nodes, _ = loading.read_snapshot(spark, str(tmp_path / "s"))
+    for kind, value in (("Period", "1942"), ("Period", "fy1942"), ("Company", "NAME 42"), ("Company", "name 43"), ("Period", "name 42"), ("Period", "absent")):
+        here = sorted(r.entity_id for r in loading.lookup(nodes, kind, value).collect())
+        assert here == sorted(r.entity_id for r in loading.lookup(rows, kind, value).collect())
+        assert bool(here) == ((kind, value) not in (("Period", "name 42"), ("Period", "absent"), ("Company", "NAME 42")))
+    plan = loading.lookup(nodes, "Period", "1942")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lookup,1942)" in plan and "(entity_type#" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    files = glob.glob(str(tmp_path / "s/nodes/*/*.parquet"))
+    held = []
+    for f in files:
+        m = pq.read_metadata(f)
+        i = m.schema.names.index("lookup")
+        held += [f for g in range(m.num_row_groups) if (t := m.row_group(g).column(i).statistics) and t.has_min_max and t.min <= "1942" <= t.max and "=Period" in f]
+    periods = [f for f in files if "=Period" in f]
+    assert len(periods) > len(set(held)) >= 1
+
+
 def test_throttle():
     now, slept = [0.0], []
     t = extraction.Throttle(2, 60, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
