@@ -104,7 +104,7 @@ def parsed(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     good = F.try_parse_json("response").isNotNull()
     read = found.withColumn("r", F.from_json(F.when(good, F.col("response")), RESPONSE))
     key = ["document_id", "doc_ord", "window_idx"]
-    seq = (F.col("doc_ord") * (1 << 40) + F.col("window_idx") * (1 << 20) + F.col("pos")).cast("long").alias("seq")
+    seq = (F.col("doc_ord").cast("long") * (1 << 40) + F.col("window_idx").cast("long") * (1 << 20) + F.col("pos")).cast("long").alias("seq")
     source = lambda c: F.struct(F.col("document_id"), F.col(f"{c}.source.page_num").alias("page_num"), F.col(f"{c}.source.section").alias("section"))
     e = read.select(*key, F.posexplode("r.entities").alias("pos", "e"))
     entities = e.select(*key, "pos", seq, "e.id", F.coalesce("e.type", F.lit("")).alias("type"), "e.properties", source("e").alias("source"))

@@ -161,6 +161,15 @@ def test_build_from_responses(spark):
     assert (done.entities_resolved, done.attempted, done.written) == (2, 3, 2)
 
 
+def test_late_windows_keep_their_order(spark):
+    bag = '{"entities":[{"id":"a","type":"Company","properties":{"rank":%d}}],"relationships":[{"source_id":"a","target_id":"a","type":"REPORTS","properties":{}}]}'
+    rows = [("d", 3, w, "1-3", bag % w) for w in (2047, 2048, 5000, 900_000)]
+    entities, relationships, _ = extraction.parsed(spark.createDataFrame(rows, "document_id string, doc_ord int, window_idx int, page_range string, response string"))
+    merged = extraction.merge_entities(entities).select("seq", F.expr("variant_get(properties['rank'], '$', 'bigint')").alias("rank")).collect()
+    assert [tuple(r) for r in merged] == [(3 * 2**40 + 2047 * 2**20, 900_000)]
+    assert [r.seq for r in extraction.dedup_relationships(relationships).collect()] == [3 * 2**40 + 2047 * 2**20]
+
+
 def test_extractor_sees_known_ids_in_order(spark):
     rows = [("d", 0, 1, 0, "text", 0, "Acme operates in India"), ("d", 1, 2, 0, "text", 0, "x"), ("d", 2, 3, 0, "text", 0, "y"), ("d", 3, 4, 0, "text", 0, "Acme operates in India")]
     answers = extraction.responses(windows.texts(spark.createDataFrame(rows, documents.BLOCKS)), extraction.NameExtractor()).orderBy("window_idx").collect()
