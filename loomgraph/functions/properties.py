@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from ..schemas import PROPERTIES
 
 
+def is_object(json: Column) -> Column:
+    """Whether the whole text is one JSON object; false for null.
+
+    The parser stops at the end of the first value, so "4 words" would pass for a number. Inside of an array and of an
+    object, what follows the value must go on with the one or the other, so nothing but blanks passes for both.
+    """
+    inside = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), json, F.lit("}"))).isNotNull()
+    # the whole is read only of texts that begin as an object does
+    return F.coalesce(F.when(json.rlike(r"\A[ \t\r\n]*\{"), F.try_parse_json(json).isNotNull() & inside), F.lit(False))
+
+
 def parse(json: Column) -> Column:
     """A JSON object as a property map; null for what is not an object."""
-    return F.from_json(F.when(F.try_parse_json(json).isNotNull(), json), PROPERTIES)
+    return F.from_json(F.when(is_object(json), json), PROPERTIES)
 
 
 def clean(properties: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ontology
-from ..functions.properties import merged
+from ..functions.properties import is_object, merged
 from ..schemas import RESPONSE
 
 #: Characters of a response that an error record keeps.
@@ -96,12 +96,12 @@ def responses(windows: DataFrame, extractor: Extractor, throttle: tuple[int, flo
 def parsed(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities, relationships and errors of responses (adds doc_ord if it is there; else 0).
 
-    JSON that cannot be read, and a null response, are an error of the window alone; so is a record without an id.
+    A response that is not one JSON object, and a null one, are an error of the window alone; so is a record without an id.
     The document's own id is stamped on each source. seq orders all records: by document, window and place.
     """
     if "doc_ord" not in found.columns:
         found = found.withColumn("doc_ord", F.lit(0).cast("long"))
-    good = F.try_parse_json("response").isNotNull()
+    good = is_object(F.col("response"))
     read = found.withColumn("r", F.from_json(F.when(good, F.col("response")), RESPONSE))
     key = ["document_id", "doc_ord", "window_idx"]
     seq = (F.col("doc_ord").cast("long") * (1 << 40) + F.col("window_idx").cast("long") * (1 << 20) + F.col("pos")).cast("long").alias("seq")

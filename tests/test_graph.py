@@ -170,6 +170,16 @@ def test_late_windows_keep_their_order(spark):
     assert [r.seq for r in extraction.dedup_relationships(relationships).collect()] == [3 * 2**40 + 2047 * 2**20]
 
 
+def test_responses_are_whole_objects(spark):
+    good = ['{}', ' {"entities":[]}\n', '{"a":[1,{"b":"}"}],"b":"] {"}']
+    bad = ["4537 words", "4537", "[{}]", '"x"', "", " ", "{} words", "{}]", "{}}", "{},{}", '{},"a":{}', "{}],[{}", '{"a":1} {"a":2}', "{}],\"x\":[{}", "{", "null", None]
+    assert [one(spark, properties.is_object(F.col("a")), x) for x in good] == [True] * len(good)
+    assert [one(spark, properties.is_object(F.col("a")), x) for x in bad] == [False] * len(bad)
+    found = spark.createDataFrame([("d", 0, "1-3", "4537 words"), ("d", 1, "3-5", "{} words")], "document_id string, window_idx int, page_range string, response string")
+    errors = extraction.parsed(found)[2].select("pages", "message").collect()
+    assert sorted(map(tuple, errors)) == [("1-3", "unreadable JSON: 4537 words"), ("3-5", "unreadable JSON: {} words")]
+
+
 def test_extractor_sees_known_ids_in_order(spark):
     rows = [("d", 0, 1, 0, "text", 0, "Acme operates in India"), ("d", 1, 2, 0, "text", 0, "x"), ("d", 2, 3, 0, "text", 0, "y"), ("d", 3, 4, 0, "text", 0, "Acme operates in India")]
     answers = extraction.responses(windows.texts(spark.createDataFrame(rows, documents.BLOCKS)), extraction.NameExtractor()).orderBy("window_idx").collect()
