@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.properties import merged
-from ..functions.similarity import Names, scored
+from ..functions.similarity import Names, keyed, scored
 from ..functions.text import SAME_NAME, token_sort
 from .iteration import checkpoint, numbered
 
@@ -30,35 +30,35 @@ def with_names(entities: DataFrame) -> DataFrame:
 
 
 def name_index(names: DataFrame, least: int = SAME_NAME) -> DataFrame:
-    """(type, name, size, grams): names(type, name), token-sorted, lower-case and distinct, with what they can be found by.
+    """(type, name, size, prefix): names(type, name), token-sorted, lower-case and distinct, with their length and that of
+    what all names of their type begin with, which adds to any common subsequence."""
+    ends = names.groupBy("type").agg(F.min("name").alias("low"), F.max("name").alias("high"))
+    some = F.least(F.length("low"), F.length("high"))
+    same = F.filter(F.sequence(F.lit(1), F.greatest(some, F.lit(1))), lambda i: (i <= some) & (F.substring("low", F.lit(1), i) == F.substring("high", F.lit(1), i)))
+    return names.join(F.broadcast(ends.select("type", F.size(same).alias("prefix"))), "type").select("type", "name", F.length("name").alias("size"), "prefix")
 
-    d insertions and deletions touch at most 2 d bigrams, so of two similar names the first 2 d + 1 bigrams in any one
-    order have one in common. The order is that of rarity over all names, so that parts that most names have come last.
-    A bigram is a number: its frequency, then a hash; two bigrams that agree in both only make more candidates.
-    """
-    partner = F.floor(F.length("name") * (200 - least) / least)  # the longest name that may be similar
-    most = F.floor((100 - least) * (F.length("name") + partner) / 100)
-    places = F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1)))
-    each = names.select("type", "name", (2 * most + 1).cast("int").alias("first"), F.explode(places).alias("i")).withColumn("gram", F.substring("name", F.col("i"), F.lit(2)))
-    often = each.groupBy("type", "gram").agg(F.count("*").alias("n"))
-    token = F.least(F.col("n"), F.lit((1 << 31) - 1)) * F.lit(1 << 31) + F.crc32(F.col("gram").cast("binary")) % F.lit(1 << 31)
-    ranked = each.join(often, ["type", "gram"]).groupBy("type", "name", "first").agg(F.array_sort(F.collect_list(token)).alias("grams"))
-    return ranked.select("type", "name", F.length("name").alias("size"), F.array_distinct(F.slice("grams", 1, F.col("first"))).alias("grams"))
+
+#: Keys of names that are sent to all tasks; more of them are joined by a shuffle.
+SENT = 1 << 19
 
 
 def similar(left: DataFrame, right: DataFrame | None = None, least: int = SAME_NAME) -> DataFrame:
     """(type, a, b, score) of names of one index with others of the same index, of one type and with at least that score;
-    without the others, of pairs a < b of the names themselves.
+    without the others, of pairs a < b of the names themselves. A pair may come more than once.
 
-    A pair is a candidate at the first bigram that both have, so it is compared once.
+    Candidates have a key in common (functions.similarity.keys), so that of many names that are nearly all alike only
+    those meet that are similar. The names on the right have more keys; let them be the few.
     """
-    of = lambda df, name: df.select("type", F.col("name").alias(name), F.col("size").alias(f"{name}_size"), F.col("grams").alias(f"{name}_grams"), F.explode("grams").alias("gram"))
-    met = of(left, "a").join(of(left if right is None else right, "b"), ["type", "gram"])
+    sizes = lambda df: df.groupBy("type").agg(F.sort_array(F.collect_set("size")).alias("sizes"))
+    others = left if right is None else right
+    a = keyed(left.join(F.broadcast(sizes(others)), "type"), least, True, right is None).withColumnRenamed("name", "a")
+    b = checkpoint(keyed(others.join(F.broadcast(sizes(left)), "type"), least, False, right is None).withColumnRenamed("name", "b"))
+    few = b.limit(SENT + 1).count() <= SENT
+    met = a.join(F.broadcast(b) if few else b, ["type", "key"])
     if right is None:
-        met = met.filter(F.col("a") < F.col("b"))
-    both = F.col("a_size") + F.col("b_size")
-    met = met.filter((200 * F.least("a_size", "b_size") >= least * both) & (F.array_min(F.array_intersect("a_grams", "b_grams")) == F.col("gram")))
-    return scored(met, least)
+        ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        met = met.filter(F.col("a") != F.col("b")).select("type", *ends)
+    return scored(met if few else met.select("type", "a", "b").distinct(), least)
 
 
 def similar_names(names: DataFrame, least: int = SAME_NAME) -> DataFrame:
@@ -66,7 +66,14 @@ def similar_names(names: DataFrame, least: int = SAME_NAME) -> DataFrame:
     token-sorted, lower-case and distinct. Names that are nearly all alike have as many pairs as their square; leaders()
     and assign() never ask for these."""
     index = checkpoint(name_index(names, least))
-    return similar(index, least=least)
+    return similar(index, least=least).distinct()
+
+
+def _dense(names: DataFrame, least: int, most: int) -> bool:
+    """Whether names of an index have more than `most` candidates each."""
+    own = keyed(names.join(F.broadcast(names.groupBy("type").agg(F.sort_array(F.collect_set("size")).alias("sizes"))), "type"), least, True, True)
+    met = own.groupBy("type", "key").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs")).first().pairs
+    return (met or 0) > most * names.count()
 
 
 def _both_ways(near: DataFrame) -> DataFrame:
@@ -99,7 +106,10 @@ def _folded(keys: DataFrame, least: int, strict: bool) -> DataFrame:
     by_id = NUMBERED if strict else ()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
+        every = list(batches)
+        if not every:
+            return
+        rows = pd.concat(every).sort_values("seq")
         yield rows[fold(list(zip(rows["id"], rows["type"], rows["sorted_name"])), least, by_id)]
 
     return keys.select("id", "type", "sorted_name", "seq").coalesce(1).mapInPandas(run, keys.select("id", "type", "sorted_name", "seq").schema)
@@ -110,11 +120,14 @@ def _first_set(keys: DataFrame, index: DataFrame, least: int, strict: bool, loca
 
     `local` keys are decided in one task. More of them decide in rounds, each as soon as all earlier ones with its id or
     nearly its name have decided, until so few are left; these have no leader yet, so they decide among themselves.
+    Names with many similar ones are taken in parts again instead, as a few leaders decide most of them.
     """
     count = keys.count()
     if count <= local:
         return _folded(keys, least, strict) if count else keys
-    own = index.join(keys.select("type", F.col("sorted_name").alias("name")).distinct(), ["type", "name"], "left_semi")
+    own = checkpoint(index.join(keys.select("type", F.col("sorted_name").alias("name")).distinct(), ["type", "name"], "left_semi"))
+    if _dense(own, least, DENSE):
+        return _leading(keys, index, least, strict, local, local)
     same = own.select("type", F.col("name").alias("a"), F.col("name").alias("b"))
     near = checkpoint(_both_ways(similar(own, least=least)).unionByName(same))
     # The records of one name, or of one id, have one leader at most, as all later ones follow it. So what a record
@@ -177,8 +190,8 @@ def _leading(keys: DataFrame, index: DataFrame, least: int, strict: bool, first:
     return keys.limit(0) if found is None else found
 
 
-#: Keys of the first part, and the most that one task decides.
-FIRST, LOCAL = 1024, 2048
+#: Keys of the first part, the most that one task decides, and candidates of a name from which parts are taken anew.
+FIRST, LOCAL, DENSE = 1024, 2048, 64
 
 
 def leaders(records: DataFrame, least: int = SAME_NAME, strict: bool = False, first: int = FIRST, local: int = LOCAL) -> DataFrame:

@@ -111,6 +111,22 @@ def test_resolution_in_parts_and_rounds_equals_a_fold(spark, first, local):
     assert got == fold(records)
 
 
+def test_only_similar_names_are_candidates(spark, monkeypatch):
+    rng = random.Random(5)
+    hexes = [f"{rng.getrandbits(128):032x}" for _ in range(300)]
+    made = {"numbered": [f"customer#{i:09d}" for i in range(0, 3000, 7)], "hex": hexes + [h[:9] + h[11:] + "xx" for h in hexes[:40]]}
+    words = ["acme", "acmes", "steel", "steal", "limited", "limitd", "of", "a", "north", "nörth", "group"]
+    made["mixed"] = sorted({" ".join(rng.choices(words, k=rng.randint(0, 5))) for _ in range(250)} | {"", "x", "xy"})
+    names = spark.createDataFrame([(t, n) for t, ns in made.items() for n in ns], "type string, name string")
+    true = {(t, *sorted((x, y))) for t, ns in made.items() for i, x in enumerate(ns) for y, score in zip(ns[:i], similarity.scores([x] * i, ns[:i])) if score >= 88}
+    found = resolution.similar_names(names).collect()
+    assert len(found) == len(true) and {(r.type, r.a, r.b) for r in found} == true
+    monkeypatch.setattr(resolution, "scored", lambda pairs, least: pairs)  # what would be compared
+    asked = resolution.similar_names(names).collect()
+    near = lambda rows, t: sum(r.type == t for r in rows)
+    assert near(asked, "numbered") == near(found, "numbered") and near(asked, "hex") < 100
+
+
 def test_numbered_types_are_compared_by_id_in_strict_mode(spark):
     rows = [("d", 0, i, f"m{i}", kind, f"fiscal year {2000 + i}") for i, kind in enumerate(["Period"] * 3 + ["Metric"] * 3)]
     df = spark.createDataFrame(rows, "document_id string, doc_ord long, seq long, id string, type string, name string")
