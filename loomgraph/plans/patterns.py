@@ -86,40 +86,52 @@ class Match:
         return self.frame.select(*columns, *[c.alias(n) for n, c in named.items()])
 
 
-def _grown(front: DataFrame, seen: DataFrame, each: DataFrame) -> DataFrame:
-    """The next frontier(root, id, path): nodes not seen from a root before, each by the smallest of the paths to it."""
-    met = front.join(each, F.col("id") == F.col("here")).select("root", F.col("there").alias("id"), F.concat("path", F.array("there")).alias("path"))
-    return met.groupBy("root", "id").agg(F.min("path").alias("path")).join(seen.select("root", "id"), ["root", "id"], "left_anti")
+def _numbered(front: DataFrame) -> DataFrame:
+    """A frontier(root, id, path) with a number for each row, which stays as it is."""
+    return checkpoint(front.withColumn("n", F.monotonically_increasing_id()))
+
+
+def _grown(front: DataFrame, before: DataFrame, each: DataFrame) -> DataFrame:
+    """The next frontier(root, id, path): the neighbours of a frontier, each by one of the paths to it. Those seen earlier
+    from a root are in this frontier or the one before it, as edges go both ways. Of the many ways to a hub a number
+    decides, which tasks add up before the shuffle; paths are not moved for it."""
+    met = front.select("root", "id", "n").join(each, F.col("id") == F.col("here")).groupBy("root", F.col("there").alias("id")).agg(F.min("n").alias("n"))
+    seen = front.select("root", "id").unionByName(before.select("root", "id"))
+    return met.join(seen, ["root", "id"], "left_anti").join(front.select("n", "path"), "n").select("root", "id", F.concat("path", F.array("id")).alias("path"))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
     """(start_id, end_id, length, path) for those of pairs(start_id, end_id) that an undirected path of up to `most` edges
     joins: the number of edges of a shortest one, and the ids of its nodes.
 
-    A search grows from all starts and one from all ends, in turns, each node once for each root; a pair is done where
-    its two searches meet, and roots without open pairs stop. So no search goes further than half of its longest path.
-    Both sides of a round are joined by keys; nothing but the number of open pairs reaches the driver. Pairs with a null
-    have no path; a node is joined with itself by a path of no edges, also if no edge has it.
+    A search grows from all starts and one from all ends, each node once for each root; in each round the one grows that
+    has fewer edges before it. A pair is done where its two searches meet, and roots without open pairs stop. So many
+    starts with few ends are found from the ends, and hubs are not opened from each of many roots. Both sides of a round
+    are joined by keys; nothing but numbers of edges and of open pairs reaches the driver. Pairs with a null have no
+    path; a node is joined with itself by a path of no edges, also if no edge has it.
     """
-    each = checkpoint(incident(edges).select("here", "there").distinct())
+    each = incident(checkpoint(edges.select("src", "tgt"))).select("here", "there")
+    degree = checkpoint(each.groupBy("here").agg(F.count("*").alias("edges")))
     open_ = checkpoint(pairs.select("start_id", "end_id").dropna().distinct())
-    root = lambda c: open_.select(F.col(c).alias("root")).distinct().select("root", F.col("root").alias("id"), F.array("root").alias("path"))
-    seen = {c: root(c) for c in ("start_id", "end_id")}
-    front, done = dict(seen), []
+    sides = ("start_id", "end_id")
+    wanted = lambda c: open_.select(F.col(c).alias("root")).distinct()
+    front = {c: _numbered(wanted(c).select("root", F.col("root").alias("id"), F.array("root").alias("path"))) for c in sides}
+    before, ahead, done = {c: front[c].limit(0) for c in sides}, {}, []
     for length in range(most + 1):
         if length:
-            side = "start_id" if length % 2 else "end_id"
-            wanted = open_.select(F.col(side).alias("root")).distinct()
-            front[side] = checkpoint(_grown(front[side].join(wanted, "root", "left_semi"), seen[side], each))
-            seen[side] = checkpoint(seen[side].unionByName(front[side]))
-            # A path of this length has its middle in both frontiers.
-            a, b = front["start_id"], front["end_id"]
-        else:
-            a, b = seen["start_id"], seen["end_id"]
-        a = a.select(F.col("root").alias("start_id"), "id", F.col("path").alias("head"))
-        b = b.select(F.col("root").alias("end_id"), "id", F.reverse("path").alias("tail"))
+            for c in sides:
+                if c not in ahead:
+                    ahead[c] = front[c].join(degree, F.col("id") == F.col("here")).agg(F.sum("edges")).first()[0] or 0
+            side = min(sides, key=ahead.get)
+            grown = _numbered(_grown(front[side].join(wanted(side), "root", "left_semi"), before[side], each))
+            before[side], front[side] = front[side], grown
+            del ahead[side]
+        # A path of this length has a node in both frontiers.
+        a = front["start_id"].select(F.col("root").alias("start_id"), "id", "n", F.col("path").alias("head"))
+        b = front["end_id"].select(F.col("root").alias("end_id"), "id", F.reverse("path").alias("tail"))
+        hit = open_.join(a.select("start_id", "id", "n"), "start_id").join(b.select("end_id", "id"), ["end_id", "id"]).groupBy("start_id", "end_id").agg(F.min("n").alias("n"))
         whole = F.concat("head", F.slice("tail", F.lit(2), F.size("tail")))
-        met = checkpoint(open_.join(a, "start_id").join(b, ["end_id", "id"]).groupBy("start_id", "end_id").agg(F.min(whole).alias("path")))
+        met = checkpoint(hit.join(a.drop("start_id"), "n").join(b, ["end_id", "id"]).select("start_id", "end_id", whole.alias("path")))
         done.append(met.select("start_id", "end_id", F.lit(length).alias("length"), "path"))
         open_ = checkpoint(open_.join(met, ["start_id", "end_id"], "left_anti"))
         if open_.isEmpty():

@@ -316,6 +316,21 @@ def test_shortest_paths_equal_a_search(spark):
             assert len(r.path) == r.length + 1 and (r.path[0], r.path[-1]) == (r.start_id, r.end_id) and all(y in near[x] for x, y in zip(r.path, r.path[1:]))
 
 
+def test_hubs_are_not_opened_from_many_starts(spark, monkeypatch):
+    """300 leaves of three hubs, each asked for its way to another hub's end: the searches go from the ends."""
+    from loomgraph.plans import patterns
+
+    leaves, n = [(f"leaf{i}", "T", f"hub{i % 3}") for i in range(300)], []
+    ends = [(f"hub{h}", "T", f"end{h}") for h in range(3)] + [("leaf0", "T", "mid"), ("leaf1", "T", "mid"), ("leaf2", "T", "mid")]
+    edges = spark.createDataFrame(leaves + ends, "src string, type string, tgt string")
+    pairs = spark.createDataFrame([(f"leaf{i}", f"end{(i + 1) % 3}") for i in range(300)], "start_id string, end_id string")
+    grown = patterns._grown
+    monkeypatch.setattr(patterns, "_grown", lambda *a: n.append((made := grown(*a)).count()) or made)
+    found = shortest_paths(edges, pairs, 6).collect()
+    assert len(found) == 300 and all(len(r.path) == r.length + 1 and r.path[0] == r.start_id and r.path[-1] == r.end_id for r in found)
+    assert max(n) <= 3 * 310  # all nodes from each end; from each start it were 100 leaves of its hub
+
+
 def test_limit_that_the_first_hop_fills(spark):
     """At a hub the second hop is not planned; the rows are those of the whole order."""
     rows = [("hub", "R", f"a{i:03d}") for i in range(60)] + [(f"a{i:03d}", "S", f"b{i % 7}") for i in range(60)]
