@@ -36,11 +36,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, type, tgt), each once."""
     of = lambda table, src, kind, tgt: read(spark, sf_dir, table).select(src.alias("src"), F.lit(kind).alias("type"), tgt.alias("tgt"))
+    supplied = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()  # numbers are a fraction of their ids
     parts = [
         of("nation", key("nation", "n_nationkey"), "RELATED_TO", key("region", "n_regionkey")),
         of("customer", key("customer", "c_custkey"), "OPERATES_IN", key("nation", "c_nationkey")),
         of("supplier", key("supplier", "s_suppkey"), "OPERATES_IN", key("nation", "s_nationkey")),
-        of("lineitem", key("supplier", "l_suppkey"), "HAS_SEGMENT", key("part", "l_partkey")).distinct(),
+        supplied.select(key("supplier", "l_suppkey").alias("src"), F.lit("HAS_SEGMENT").alias("type"), key("part", "l_partkey").alias("tgt")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

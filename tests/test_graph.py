@@ -331,6 +331,14 @@ def test_hubs_are_not_opened_from_many_starts(spark, monkeypatch):
     assert max(n) <= 3 * 310  # all nodes from each end; from each start it were 100 leaves of its hub
 
 
+def test_edges_of_line_items_are_told_apart_by_numbers(spark):
+    from loomgraph.sources import tables
+
+    plan = tables.edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    told = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert "Aggregate [l_suppkey" in told and "src" not in told
+
+
 def test_limit_that_the_first_hop_fills(spark):
     """At a hub the second hop is not planned; the rows are those of the whole order."""
     rows = [("hub", "R", f"a{i:03d}") for i in range(60)] + [(f"a{i:03d}", "S", f"b{i % 7}") for i in range(60)]
