@@ -44,7 +44,9 @@ def clean(properties: str) -> Column:
     # Entries and keys are bound by a lambda each, so that they are made once whatever follows.
     kept = "map_from_entries(filter(e, (x, i) -> NOT array_contains(slice(k, i + 2, size(k)), x.key)))"
     keyed = f"transform(array(transform(e, x -> x.key)), k -> {kept})[0]"
-    return F.when(F.col(properties).isNotNull(), F.expr(f"transform(array({every}), e -> {keyed})[0]"))
+    plain = f"forall(map_values({properties}), v -> v IS NOT NULL AND NOT is_variant_null(v) AND NOT startswith({kind('v')}, 'OBJECT') AND NOT startswith({kind('v')}, 'ARRAY'))"
+    # Scalars alone stay as they are, which is cheaper to see than to make anew.
+    return F.when(F.col(properties).isNotNull(), F.when(F.expr(plain), F.col(properties)).otherwise(F.expr(f"transform(array({every}), e -> {keyed})[0]")))
 
 
 def merged(rows: DataFrame, keys: list[str], properties: str = "properties", seq: str = "seq", last: tuple[str, ...] = ()) -> DataFrame:
