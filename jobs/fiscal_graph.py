@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from loomgraph import ontology
 from loomgraph.functions.text import entity_slug
-from loomgraph.operators import loading
 from loomgraph.operators.iteration import checkpoint
 from loomgraph.sources import tables
 
@@ -99,10 +98,11 @@ def graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def check(nodes: DataFrame, edges: DataFrame) -> None:
     """Raise ValueError unless ids are unique in a year and all edges end at nodes of theirs."""
-    of_year = lambda c: F.concat_ws("|", "fiscal_year", c)
-    twice = loading.violations(nodes, "fiscal_year", "entity_id").limit(3).collect()
-    ends = edges.select(of_year("src").alias("source_id"), of_year("tgt").alias("target_id"))
-    loose = loading.dangling(ends, nodes.select(of_year("entity_id").alias("entity_id"))).limit(3).collect()
+    ends = edges.select("fiscal_year", F.explode(F.array("src", "tgt")).alias("id"), F.lit(0).alias("n"))
+    # One pass over all ids instead of a join for each end.
+    each = nodes.select("fiscal_year", F.col("entity_id").alias("id"), F.lit(1).alias("n")).unionByName(ends).groupBy("fiscal_year", "id").agg(F.sum("n").alias("nodes"))
+    bad = each.filter("nodes <> 1").limit(6).collect()
+    twice, loose = [r for r in bad if r.nodes], [r for r in bad if not r.nodes]
     if twice or loose:
         raise ValueError(f"the graph is not written: repeated ids {twice}, edges without ends {loose}")
 

@@ -153,3 +153,16 @@ def test_command_line(tmp_path):
         done = subprocess.run([sys.executable, "-m", "jobs.window_feed", f"{SF}/documents.parquet", str(tmp_path / "out"), str(tmp_path / "cp"), "--config", str(config)], cwd=root, capture_output=True, text=True, timeout=300)
         assert done.returncode == 0, done.stderr
     assert "'batches': 0" in done.stderr and (tmp_path / "out" / "ledger").exists()
+
+
+def test_check_counts_ids_in_one_pass(spark, monkeypatch):
+    def joined(*_, **__):
+        raise AssertionError("an end is joined")
+
+    monkeypatch.setattr(type(spark.range(1)), "join", joined)
+    nodes = spark.createDataFrame([(2020, "a"), (2020, "b"), (2021, "a")], "fiscal_year int, entity_id string")
+    edges = lambda *rows: spark.createDataFrame(rows, "fiscal_year int, src string, tgt string")
+    fiscal_graph.check(nodes, edges((2020, "a", "b"), (2021, "a", "a")))
+    for n, e in ((nodes, edges((2021, "a", "b"))), (nodes, edges((2020, "a", None))), (nodes.union(nodes.limit(1)), edges((2020, "a", "b")))):
+        with pytest.raises(ValueError, match="not written"):
+            fiscal_graph.check(n, e)
