@@ -33,6 +33,8 @@ class Match:
         for key, value in properties.items():
             kept = kept.filter(F.col(key) == value)
         own = kept.select(F.struct("*").alias(name))
+        if label is None and not properties:
+            own = own.hint("merge")  # a whole table in memory is many times its files, by whose size Spark sends it to all tasks
         if self.frame is None:
             return self._with(frame=own, last=name)
         hops, edge, optional_edge = self._pending
