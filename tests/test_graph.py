@@ -365,6 +365,13 @@ def test_whole_tables_of_nodes_are_not_sent_to_all_tasks(spark):
     assert plan.count("SortMergeJoin") and "BroadcastHashJoin" not in plan
 
 
+def test_optional_ends_are_not_sent_to_all_tasks(spark):
+    from loomgraph.queries import QUERIES
+
+    plan = QUERIES["pattern_optional"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_there" in plan
+
+
 def test_guard(spark, graph):
     assert graph.sql("WITH x AS (SELECT src FROM t_edges WHERE type = :t) SELECT count(*) AS n FROM x", {"t": "R"}).first().n == 4
     assert graph.sql("SELECT 'insert set create' AS x").count() == 1
