@@ -26,33 +26,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import windows
-from loomgraph.sources import documents, filings
+from loomgraph.operators.iteration import checkpoint
+from loomgraph.sources import filings
 
 from .common import command, overwrite, settings, table
 
 log = logging.getLogger(__name__)
 DEFAULTS = {"lines_per_page": 3, "window_pages": 3, "window_step": 2, "max_files": 1000}
 WINDOWS = "document_id string, window_idx int, page_range string, page_content string, chars int, batch long, lang string"
+#: So many ids that were taken earlier or repeat are sent to all tasks at most.
+FEW = 10_000
 LEDGER = "document_id string, lang string, source string, windows long, status string, batch long"
 
 
-def incoming(docs: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New documents, one for each id: (document_id, lang, source), which moves no text, and (doc_id, document_id, text)."""
-    named = docs.filter("doc_id IS NOT NULL").select("doc_id", F.concat(F.lit("document_"), "doc_id").alias("document_id"), "text", F.coalesce("lang", F.lit("und")).alias("lang"), "source")
-    new = filings.pending(named, done)
+def incoming(docs: DataFrame, done: DataFrame) -> DataFrame:
+    """New documents, one for each id: (document_id, lang, source, text). Ids alone tell which rows were taken earlier and
+    which repeat; where these are few, the others' texts are not moved."""
+    named = docs.filter("doc_id IS NOT NULL").select(F.concat(F.lit("document_"), "doc_id").alias("document_id"), "text", F.coalesce("lang", F.lit("und")).alias("lang"), "source")
+    seen = done.select("document_id", F.lit(True).alias("seen")).distinct()
+    each = named.groupBy("document_id").agg(F.count("*").alias("n")).join(seen, "document_id", "left")
+    odd = checkpoint(each.select("document_id", F.coalesce("seen", F.lit(False)).alias("seen"), "n").filter("seen OR n > 1"))
+    known = odd.agg(F.count("*").alias("all"), F.count_if(~F.col("seen")).alias("repeated")).first()
+    if known["all"] > FEW:
+        return one_of_each(filings.pending(named, done))
+    if not known["all"]:
+        return named
+    single = filings.pending(named, F.broadcast(odd))
+    return single.unionByName(one_of_each(named.join(F.broadcast(odd.filter("NOT seen").select("document_id")), "document_id", "left_semi"))) if known["repeated"] else single
+
+
+def one_of_each(new: DataFrame) -> DataFrame:
+    """Of rows with equal ids the one with the smallest hash of its text."""
     mark = F.struct(F.xxhash64("text").alias("hash"), "lang", "source")
-    thin = new.groupBy("document_id").agg(F.min(mark).alias("m")).select("document_id", "m.lang", "m.source")
-    return thin, new.groupBy("document_id", "doc_id").agg(F.min_by("text", mark).alias("text"))
+    return new.groupBy("document_id").agg(F.min(mark).alias("m"), F.min_by("text", mark).alias("text")).select("document_id", "m.lang", "m.source", "text")
 
 
 def feed(docs: DataFrame, batch: int, out: str, config: dict[str, Any]) -> dict[str, int]:
     """Write one batch of documents and return what was read and written."""
     spark = docs.sparkSession
     earlier = table(spark, f"{out}/ledger", LEDGER).filter(F.col("batch") < batch)
-    new, texts = incoming(docs, earlier)
-    blocks = documents.blocks_of_lines(texts, config["lines_per_page"])
-    cut = windows.texts(blocks, config["window_pages"], config["window_step"])
-    made = cut.join(new.select("document_id", "lang"), "document_id").withColumns({"chars": F.length("page_content"), "batch": F.lit(batch).cast("long")})
+    texts = incoming(docs, earlier)
+    cut = texts.select("document_id", "lang", F.inline(windows.of_lines(F.col("text"), config["lines_per_page"], config["window_pages"], config["window_step"])))
+    made = cut.withColumns({"chars": F.length("page_content"), "batch": F.lit(batch).cast("long")})
+    new = texts.select("document_id", "lang", "source")
     overwrite(made, f"{out}/windows", "batch", "lang")
     written = table(spark, f"{out}/windows", WINDOWS).filter(F.col("batch") == batch).groupBy("document_id").agg(F.count("*").alias("windows"))
     entry = new.join(written, "document_id", "left").withColumn("windows", F.coalesce("windows", F.lit(0)).cast("long"))

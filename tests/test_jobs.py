@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from jobs import common, fiscal_graph, window_feed
 from jobs.queries import ORACLES, QUERIES
+from loomgraph.operators import windows
+from loomgraph.sources import documents
 
 from .test_catalogue import SF, db, rows  # noqa: F401
 
@@ -100,6 +102,34 @@ def test_feed_after_a_failure(spark, tmp_path, monkeypatch):
     assert len(feed.windows()) == len(set(feed.windows())) == 4 and [w[5] for w in feed.windows()] == [0, 0, 0, 1]
 
 
+def test_feed_moves_no_texts_where_no_id_repeats(spark, tmp_path, monkeypatch):
+    def moved(*_):
+        raise AssertionError("texts are grouped")
+
+    feed, words = Feed(spark, tmp_path), [*"ab", "", " ", "\t", "\u00a0 x "]
+    texts = [None, "", "\n", *("\n".join(words[(i * j) % 6] for j in range(i)) for i in range(1, 25))]
+    feed.add(*((i, t, "en", "s", 1) for i, t in enumerate(texts)))
+    monkeypatch.setattr(window_feed, "one_of_each", moved)
+    feed.run(lines_per_page=2, window_pages=4, window_step=3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_blocks = windows.texts(documents.blocks_of_lines(docs, 2), 4, 3).collect()
+    assert [w[:4] for w in feed.windows()] == sorted((r.document_id, r.window_idx, r.page_range, r.page_content) for r in by_blocks)
+    assert [e[3] for e in feed.ledger() if e[0] == "document_0"] == [0]
+
+
+def test_feed_takes_repeated_ids_the_same_way_whatever_their_number(spark, tmp_path, monkeypatch):
+    found = []
+    for few in (10_000, 0):
+        monkeypatch.setattr(window_feed, "FEW", few)
+        feed = Feed(spark, tmp_path / str(few))
+        feed.add(*((i % 7, f"text {i}\n" * (i % 5), ["en", None][i % 2], "s", 1) for i in range(10)))
+        feed.run()
+        feed.add(*((i % 9, f"later {i}", "de", "t", 1) for i in range(20)), (20, None, "en", "s", 1))
+        feed.run()
+        found.append((feed.windows(), feed.ledger()))
+    assert found[0] == found[1] and [e[0] for e in found[0][1] if e[5] == 1] == ["document_20", "document_7", "document_8"]
+
+
 def orders(spark, at, found):
     spark.createDataFrame(found, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string").withColumn("o_orderdate", F.to_timestamp("o_orderdate")).write.mode("append").parquet(str(at))
 
