@@ -59,9 +59,11 @@ def status(filings: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:
 def fully_processed(states: DataFrame, strict: bool = False) -> DataFrame:
     """(filings, processed): filings all of whose recorded stages are ok. A stage that never ran counts only in
     strict mode."""
-    seen = states if strict else states.filter("status <> 'missing'")
-    each = states.select("document_id").distinct().join(seen.groupBy("document_id").agg(F.bool_and(F.col("status") == "ok").alias("ok")), "document_id", "left")
-    return each.agg(F.count("*").alias("filings"), F.count_if(F.coalesce("ok", F.lit(False))).alias("processed"))
+    fine = F.col("status") == "ok"
+    if not strict:
+        fine = F.when(F.col("status") != "missing", fine)  # nulls do not count
+    each = states.groupBy("document_id").agg(F.bool_and(fine).alias("ok"))
+    return each.agg(F.count("*").alias("filings"), F.count_if(F.coalesce("ok", F.lit(False)) & F.col("document_id").isNotNull()).alias("processed"))
 
 
 def with_ingest(summaries: DataFrame, ingested: DataFrame) -> DataFrame:

@@ -372,6 +372,18 @@ def test_optional_ends_are_not_sent_to_all_tasks(spark):
     assert "SortMergeJoin [_there" in plan
 
 
+def test_processed_filings_are_counted_in_one_pass(spark, monkeypatch):
+    rows = [("a", "parse", "ok"), ("a", "extract", "ok"), ("b", "parse", "ok"), ("b", "extract", "missing"), ("c", "parse", "failed"), ("c", "extract", "ok"), ("d", "parse", "missing"), (None, "parse", "ok"), ("a", "parse", "ok")]
+    states = spark.createDataFrame(rows, "document_id string, stage string, status string")
+
+    def joined(*_, **__):
+        raise AssertionError("filings are joined with their states")
+
+    monkeypatch.setattr(type(states), "join", joined)
+    assert [tuple(build.fully_processed(states, strict).first()) for strict in (True, False)] == [(5, 1), (5, 2)]
+    assert tuple(build.fully_processed(states.limit(0)).first()) == (0, 0)
+
+
 def test_guard(spark, graph):
     assert graph.sql("WITH x AS (SELECT src FROM t_edges WHERE type = :t) SELECT count(*) AS n FROM x", {"t": "R"}).first().n == 4
     assert graph.sql("SELECT 'insert set create' AS x").count() == 1
