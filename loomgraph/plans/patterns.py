@@ -18,12 +18,18 @@ from ..operators.retrieval import incident
 
 
 class Match:
-    def __init__(self, nodes: DataFrame, edges: DataFrame, frame: DataFrame | None = None, last: str | None = None, taken: tuple[str, ...] = (), pending: tuple | None = None):
-        self.nodes, self.edges, self.frame, self._last, self._taken, self._pending = nodes, edges, frame, last, taken, pending
+    """partitions: into how many edges are dealt by each of their ends, where many meet but no end has very many of them
+    (None: as Spark does by itself, which splits such ends)."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, frame: DataFrame | None = None, last: str | None = None, taken: tuple[str, ...] = (), pending: tuple | None = None, partitions: int | None = None):
+        self.nodes, self.edges, self.frame, self._last, self._taken, self._pending, self._partitions = nodes, edges, frame, last, taken, pending, partitions
 
     def _with(self, **changes) -> Match:
         state = {"frame": self.frame, "last": self._last, "taken": self._taken, "pending": self._pending} | changes
-        return Match(self.nodes, self.edges, **state)
+        return Match(self.nodes, self.edges, **state, partitions=self._partitions)
+
+    def _dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        return rows.repartition(self._partitions, key) if self._partitions else rows
 
     def node(self, name: str, label: str | None = None, optional: bool = False, **properties) -> Match:
         """A node, joined through the edge before it. Properties are equal to values. optional: a left join."""
@@ -38,7 +44,7 @@ class Match:
         if self.frame is None:
             return self._with(frame=own, last=name)
         hops, edge, optional_edge = self._pending
-        near = hops.join(own, F.col("_there") == F.col(f"{name}.entity_id"))
+        near = self._dealt(self._dealt(hops, "_there").join(own, F.col("_there") == F.col(f"{name}.entity_id")), "_here")
         how = "left" if optional or optional_edge else "inner"
         on = F.col(f"{self._last}.entity_id") == F.col("_here")
         for used in self._taken:  # no edge twice

@@ -636,7 +636,8 @@ def pattern_optional(spark, sf_dir):
     from .plans.patterns import Match
 
     nodes, edges = graph(spark, sf_dir)
-    return Match(nodes, edges).node("p", "Product").edge("e", "HAS_SEGMENT", direction="in", optional=True).node("s").returns(product=F.col("p.entity_id"), supplier=F.col("s.entity_id"))
+    m = Match(nodes, edges, partitions=tables.edge_partitions(spark, sf_dir))
+    return m.node("p", "Product").edge("e", "HAS_SEGMENT", direction="in", optional=True).node("s").returns(product=F.col("p.entity_id"), supplier=F.col("s.entity_id"))
 
 
 @query(f"{BOTH_SQL} SELECT entity_id FROM nodes WHERE entity_type = 'Geography' AND entity_id NOT IN (SELECT tgt FROM edges WHERE type = 'OPERATES_IN')")

@@ -17,6 +17,7 @@ _NODES = (
     ("supplier", "s_suppkey", "s_name", "LegalEntity"),
     ("part", "p_partkey", "p_name", "Product"),
 )
+PARTITION_ROWS = 1_250_000  # line items in a partition: about 250 MB where they are made distinct
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,10 +34,20 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def edge_partitions(spark: SparkSession, sf_dir: str) -> int | None:
+    """Into how many partitions edges are dealt, so that a task has no more of them where the tables grow: the session's
+    number at least; None where one partition could hold them all, which Spark deals by itself. Only Parquet's footers are read."""
+    n = -(-read(spark, sf_dir, "lineitem").count() // PARTITION_ROWS)
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))) if n > 1 else None
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, type, tgt), each once."""
     of = lambda table, src, kind, tgt: read(spark, sf_dir, table).select(src.alias("src"), F.lit(kind).alias("type"), tgt.alias("tgt"))
-    supplied = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()  # numbers are a fraction of their ids
+    supplied = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")  # numbers are a fraction of their ids
+    if n := edge_partitions(spark, sf_dir):
+        supplied = supplied.repartition(n, "l_suppkey", "l_partkey")  # dealt first: the table of a whole split does not fit so well
+    supplied = supplied.distinct()
     parts = [
         of("nation", key("nation", "n_nationkey"), "RELATED_TO", key("region", "n_regionkey")),
         of("customer", key("customer", "c_custkey"), "OPERATES_IN", key("nation", "c_nationkey")),

@@ -372,6 +372,27 @@ def test_optional_ends_are_not_sent_to_all_tasks(spark):
     assert "SortMergeJoin [_there" in plan
 
 
+def test_edges_of_larger_tables_are_dealt_into_more_partitions(spark, monkeypatch):
+    """A partition's rows, and with them a task's memory, stay as they are where the line items grow; so do the results."""
+    from loomgraph.queries import QUERIES
+    from loomgraph.sources import tables
+
+    sf_dir = "/root/testdata/sf0.001"
+    made = lambda: (tables.edges(spark, sf_dir).filter("type = 'HAS_SEGMENT'"), QUERIES["pattern_optional"](spark, sf_dir))
+    whole = [sorted(map(tuple, df.collect())) for df in made()]
+    monkeypatch.setattr(tables, "PARTITION_ROWS", 500, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # these tables are small enough to be sent to all tasks
+    try:
+        for df, rows in zip(made(), whole):
+            sizes = [r["count"] for r in df.withColumn("at", F.spark_partition_id()).groupBy("at").count().collect()]
+            assert len(sizes) >= 10 and max(sizes) <= 500 and sum(sizes) == len(rows) > 1000
+            assert sorted(map(tuple, df.collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(tables, "PARTITION_ROWS", 6000, raising=False)
+    assert tables.edge_partitions(spark, sf_dir) is None  # small tables are left to Spark
+
+
 def test_processed_filings_are_counted_in_one_pass(spark, monkeypatch):
     rows = [("a", "parse", "ok"), ("a", "extract", "ok"), ("b", "parse", "ok"), ("b", "extract", "missing"), ("c", "parse", "failed"), ("c", "extract", "ok"), ("d", "parse", "missing"), (None, "parse", "ok"), ("a", "parse", "ok")]
     states = spark.createDataFrame(rows, "document_id string, stage string, status string")
