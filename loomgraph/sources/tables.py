@@ -46,7 +46,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda table, src, kind, tgt: read(spark, sf_dir, table).select(src.alias("src"), F.lit(kind).alias("type"), tgt.alias("tgt"))
     supplied = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")  # numbers are a fraction of their ids
     if n := edge_partitions(spark, sf_dir):
-        supplied = supplied.repartition(n, "l_suppkey", "l_partkey")  # dealt first: the table of a whole split does not fit so well
+        supplied = supplied.repartition(n, "l_suppkey", "l_partkey")  # dealt first, so that no task has a hash table of a whole split
     supplied = supplied.distinct()
     parts = [
         of("nation", key("nation", "n_nationkey"), "RELATED_TO", key("region", "n_regionkey")),
