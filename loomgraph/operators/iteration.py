@@ -3,6 +3,7 @@ sums come from parts and their totals, so that no task holds a whole table."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +28,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(spark: SparkSession) -> None:
+    """Shuffle files of finished steps, and checkpoints where Spark cleans them, stay until the driver collects its
+    garbage; it does so now. What is still referred to stays."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     """df's distinct values of `key`, with their positions in its order, from 0."""
     dealt = df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)

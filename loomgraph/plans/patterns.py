@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.iteration import checkpoint
+from ..operators.iteration import checkpoint, free
 from ..operators.retrieval import incident
 
 
@@ -94,6 +94,10 @@ class Match:
         return self.frame.select(*columns, *[c.alias(n) for n, c in named.items()])
 
 
+#: Rows of a frontier that are sent to all tasks, so that edges are not moved; more of them are joined by a shuffle.
+SENT = 1 << 12
+
+
 def _numbered(front: DataFrame) -> DataFrame:
     """A frontier(root, id, path) with a number for each row, which stays as it is."""
     return checkpoint(front.withColumn("n", F.monotonically_increasing_id()))
@@ -103,47 +107,65 @@ def _grown(front: DataFrame, before: DataFrame, each: DataFrame) -> DataFrame:
     """The next frontier(root, id, path): the neighbours of a frontier, each by one of the paths to it. Those seen earlier
     from a root are in this frontier or the one before it, as edges go both ways. Of the many ways to a hub a number
     decides, which tasks add up before the shuffle; paths are not moved for it."""
-    met = front.select("root", "id", "n").join(each, F.col("id") == F.col("here")).groupBy("root", F.col("there").alias("id")).agg(F.min("n").alias("n"))
+    own = front.select("root", "id", "n")
+    own = F.broadcast(own) if own.limit(SENT + 1).count() <= SENT else own
+    met = own.join(each, F.col("id") == F.col("here")).groupBy("root", F.col("there").alias("id")).agg(F.min("n").alias("n"))
     seen = front.select("root", "id").unionByName(before.select("root", "id"))
     return met.join(seen, ["root", "id"], "left_anti").join(front.select("n", "path"), "n").select("root", "id", F.concat("path", F.array("id")).alias("path"))
 
 
+def _met(open_: DataFrame, front: dict[str, DataFrame]) -> DataFrame:
+    """(start_id, end_id, path) of the open pairs whose two searches have a node of both frontiers in common."""
+    a = front["start_id"].select(F.col("root").alias("start_id"), "id", "n", F.col("path").alias("head"))
+    b = front["end_id"].select(F.col("root").alias("end_id"), "id", F.reverse("path").alias("tail"))
+    hit = open_.join(a.select("start_id", "id", "n"), "start_id").join(b.select("end_id", "id"), ["end_id", "id"]).groupBy("start_id", "end_id").agg(F.min("n").alias("n"))
+    whole = F.concat("head", F.slice("tail", F.lit(2), F.size("tail")))
+    return checkpoint(hit.join(a.drop("start_id"), "n").join(b, ["end_id", "id"]).select("start_id", "end_id", whole.alias("path")))
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
     """(start_id, end_id, length, path) for those of pairs(start_id, end_id) that an undirected path of up to `most` edges
     joins: the number of edges of a shortest one, and the ids of its nodes.
 
-    A search grows from all starts and one from all ends, each node once for each root; in each round the one grows that
-    has fewer edges before it. A pair is done where its two searches meet, and roots without open pairs stop. So many
-    starts with few ends are found from the ends, and hubs are not opened from each of many roots. Both sides of a round
-    are joined by keys; nothing but numbers of edges and of open pairs reaches the driver. Pairs with a null have no
-    path; a node is joined with itself by a path of no edges, also if no edge has it.
+    A search grows from all starts and one from all ends, each node once for each root; in each round the one grows whose
+    next frontier can have fewer rows: no more than the edges before it, nor than all nodes for each of its open roots. A
+    pair is done where its two searches meet, and roots without open pairs stop. So many starts with few ends are found
+    from the ends, and hubs are not opened from each of many roots. Both sides of a round are joined by keys; nothing but
+    numbers of edges, nodes, roots and open pairs reaches the driver. The files of a round's shuffles go when it is over.
+    Pairs with a null have no path; a node is joined with itself by a path of no edges, also if no edge has it.
     """
+    spark = edges.sparkSession
     each = incident(checkpoint(edges.select("src", "tgt"))).select("here", "there")
+    free(spark)
     degree = checkpoint(each.groupBy("here").agg(F.count("*").alias("edges")))
+    nodes = degree.count()
     open_ = checkpoint(pairs.select("start_id", "end_id").dropna().distinct())
     sides = ("start_id", "end_id")
     wanted = lambda c: open_.select(F.col(c).alias("root")).distinct()
+    kept = lambda c: front[c].join(wanted(c), "root", "left_semi")
     front = {c: _numbered(wanted(c).select("root", F.col("root").alias("id"), F.array("root").alias("path"))) for c in sides}
-    before, ahead, done = {c: front[c].limit(0) for c in sides}, {}, []
+    before, done = {c: front[c].limit(0) for c in sides}, []
     for length in range(most + 1):
         if length:
+            ahead = {}
             for c in sides:
-                if c not in ahead:
-                    ahead[c] = front[c].join(degree, F.col("id") == F.col("here")).agg(F.sum("edges")).first()[0] or 0
-            side = min(sides, key=ahead.get)
-            grown = _numbered(_grown(front[side].join(wanted(side), "root", "left_semi"), before[side], each))
-            before[side], front[side] = front[side], grown
-            del ahead[side]
+                found = kept(c).select("id").join(degree, F.col("id") == F.col("here")).agg(F.sum("edges")).first()[0] or 0
+                ahead[c] = (min(found, nodes * wanted(c).count()), found)
+            side, other = sorted(sides, key=ahead.get)
+            near = each
+            if length == most:  # only where it meets the other frontier is the last one of use
+                ends = kept(other).select(F.col("id").alias("there")).distinct()
+                near = each.join(F.broadcast(ends), "there", "left_semi") if ends.limit(SENT + 1).count() <= SENT else each
+            free(spark)
+            before[side], front[side] = front[side], _numbered(_grown(kept(side), before[side], near))
+            free(spark)
         # A path of this length has a node in both frontiers.
-        a = front["start_id"].select(F.col("root").alias("start_id"), "id", "n", F.col("path").alias("head"))
-        b = front["end_id"].select(F.col("root").alias("end_id"), "id", F.reverse("path").alias("tail"))
-        hit = open_.join(a.select("start_id", "id", "n"), "start_id").join(b.select("end_id", "id"), ["end_id", "id"]).groupBy("start_id", "end_id").agg(F.min("n").alias("n"))
-        whole = F.concat("head", F.slice("tail", F.lit(2), F.size("tail")))
-        met = checkpoint(hit.join(a.drop("start_id"), "n").join(b, ["end_id", "id"]).select("start_id", "end_id", whole.alias("path")))
+        met = _met(open_, front)
         done.append(met.select("start_id", "end_id", F.lit(length).alias("length"), "path"))
         open_ = checkpoint(open_.join(met, ["start_id", "end_id"], "left_anti"))
         if open_.isEmpty():
             break
+    free(spark)
     return reduce(DataFrame.unionByName, done)
 
 

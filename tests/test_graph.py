@@ -331,6 +331,33 @@ def test_hubs_are_not_opened_from_many_starts(spark, monkeypatch):
     assert max(n) <= 3 * 310  # all nodes from each end; from each start it were 100 leaves of its hub
 
 
+def test_frontiers_have_no_more_rows_than_nodes_for_each_root(spark, monkeypatch):
+    """Suppliers with many products each ask for regions: fewer edges lie before the many starts than before the three
+    ends, but those lead to a row for each edge."""
+    from loomgraph.plans import patterns
+
+    rng = random.Random(5)
+    rows = [(f"nation{i}", "T", f"region{i % 3}") for i in range(6)] + [(f"customer{i}", "T", f"nation{i % 6}") for i in range(60)] + [(f"supplier{i}", "T", f"nation{i % 6}") for i in range(60)]
+    rows += [(f"supplier{i}", "T", f"product{p}") for i in range(60) for p in rng.sample(range(100), 40)]
+    pairs = [(f"{k}{i}", f"region{(i // 6) % 3}") for k in ("customer", "supplier") for i in range(60)]
+    near, n = {}, []
+    for a, _, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    far = {f"region{r}": {f"region{r}": 0} for r in range(3)}
+    for root, found in far.items():
+        front = [root]
+        for d in range(1, 7):
+            front = [y for x in front for y in near[x] if y not in found and not found.update({y: d})]
+    grown = patterns._grown
+    monkeypatch.setattr(patterns, "_grown", lambda *a: n.append((made := grown(*a)).count()) or made)
+    found = shortest_paths(spark.createDataFrame(rows, "src string, type string, tgt string"), spark.createDataFrame(pairs, "start_id string, end_id string"), 6).collect()
+    assert {(r.start_id, r.end_id): r.length for r in found} == {(a, b): far[b][a] for a, b in pairs} and max(r.length for r in found) == 6
+    assert all(len(r.path) == r.length + 1 and (r.path[0], r.path[-1]) == (r.start_id, r.end_id) and all(y in near[x] for x, y in zip(r.path, r.path[1:])) for r in found)
+    assert max(n) <= 3 * len(near)
+    assert n[-1] <= 3 * 6  # the last one is of nations alone, where the customers' own searches are
+
+
 def test_edges_of_line_items_are_told_apart_by_numbers(spark):
     from loomgraph.sources import tables
 
