@@ -181,6 +181,9 @@ def _leading(keys: DataFrame, index: DataFrame, least: int, strict: bool, first:
             named = lambda df: df.select("type", F.col("sorted_name").alias("name")).distinct()
             led = index.join(named(found), ["type", "name"], "left_semi")
             part = checkpoint(part)
+            if part.isEmpty():
+                begin, end = end, 4 * end
+                continue
             own = index.join(named(part), ["type", "name"], "left_semi")
             near = similar(own, led, least).select("type", F.col("a").alias("sorted_name")).unionByName(led.select("type", F.col("name").alias("sorted_name"))).distinct()
             part = part.join(near, ["type", "sorted_name"], "left_anti").select(*keys.columns)
@@ -215,7 +218,9 @@ def assign(records: DataFrame, least: int = SAME_NAME, strict: bool = False, fir
     keyed = records.withColumn("sorted_name", token_sort(F.col("name")))
     same = lead.groupBy("id").agg(F.min("seq").alias("own_since"))
     led = index.join(lead.select("type", F.col("sorted_name").alias("name")).distinct(), ["type", "name"], "left_semi")
-    own = index.join(keys.select("type", F.col("sorted_name").alias("name")).distinct(), ["type", "name"], "left_semi")
+    # Keys whose id has a leader no later than their first record never ask for that of their name.
+    asking = keys.join(same, "id", "left").filter("coalesce(own_since > seq, true)")
+    own = index.join(asking.select("type", F.col("sorted_name").alias("name")).distinct(), ["type", "name"], "left_semi")
     both = similar(own, led, least).select("type", "a", "b")
     # The earliest similar leader of a name is that of all its records that come after it.
     near = both.join(lead.select("type", F.col("sorted_name").alias("b"), F.col("id").alias("leader"), F.col("seq").alias("since")), ["type", "b"])

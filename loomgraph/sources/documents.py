@@ -97,11 +97,14 @@ def read_extractions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entity and relationship records of extraction results with doc_ord, in the order of their lists."""
-    seq = (F.col("doc_ord") * (1 << 40) + F.col("pos")).cast("long").alias("seq")
+    """Entity and relationship records of extraction results with doc_ord, in the order of their lists. Where a file's lists
+    are dealt over several rows, `place` says where those of a row begin; places between rows may be left out."""
+    place = F.col("place") if "place" in found.columns else F.lit(0)
+    found = found.withColumn("place", place.cast("long"))
+    seq = (F.col("doc_ord") * (1 << 40) + F.col("place") + F.col("pos")).cast("long").alias("seq")
     stamped = lambda c: F.struct("document_id", F.col(f"{c}.source.page_num").alias("page_num"), F.col(f"{c}.source.section").alias("section")).alias("source")
-    e = found.select("document_id", "doc_ord", F.posexplode("entities").alias("pos", "e"))
-    r = found.select("document_id", "doc_ord", F.posexplode("relationships").alias("pos", "r"))
+    e = found.select("document_id", "doc_ord", "place", F.posexplode("entities").alias("pos", "e"))
+    r = found.select("document_id", "doc_ord", "place", F.posexplode("relationships").alias("pos", "r"))
     entities = e.select("document_id", "doc_ord", seq, "e.id", "e.type", "e.properties", stamped("e")).filter("id IS NOT NULL")
     relationships = r.select("document_id", "doc_ord", seq, "r.source_id", "r.target_id", "r.type", "r.properties", stamped("r")).filter("source_id IS NOT NULL AND target_id IS NOT NULL")
     return entities, relationships

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PROPERTIES
@@ -102,7 +102,8 @@ def name_records(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction results as files would hold them, one for each hour of the events, in the order of their names: users and
-    event types as entities, and what a user did as a relationship."""
+    event types as entities, and what a user did as a relationship. A file's lists are dealt over rows of one event each, so
+    that no row grows with its file; `place` is where a row's lists begin (documents.records)."""
     e = read(spark, sf_dir, "events")
     hour = F.concat(F.lit("events_"), F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyyMMddHH"))
     source = F.struct(F.lit(None).cast("string").alias("document_id"), F.dayofmonth("ts").alias("page_num"), F.col("event_type").alias("section"))
@@ -111,7 +112,6 @@ def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity = lambda key, t, p: F.struct(key.alias("id"), F.lit(t).alias("type"), p.alias("properties"), source.alias("source"))
     user = entity(person, "Person", bag(name=F.md5(F.col("user_id").cast("string")), event_type=F.col("event_type"), value=F.col("value")))
     did = F.struct(person.alias("source_id"), kind.alias("target_id"), F.lit("RELATED_TO").alias("type"), bag(event_id=F.col("event_id")).alias("properties"), source.alias("source"))
-    rows = e.select(hour.alias("file_path"), "event_id", F.array(user, entity(kind, "Event", bag(name=F.col("event_type")))).alias("entities"), did.alias("relationship"))
-    in_order = F.array_sort(F.collect_list(F.struct("event_id", "at")), lambda a, b: F.when(a["event_id"] < b["event_id"], -1).when(a["event_id"] > b["event_id"], 1).otherwise(0))
-    found = rows.withColumn("at", F.struct("entities", "relationship")).groupBy("file_path").agg(in_order.alias("all"))
-    return found.select("file_path", F.col("file_path").alias("document_id"), F.flatten(F.transform("all", lambda x: x["at"]["entities"])).alias("entities"), F.transform("all", lambda x: x["at"]["relationship"]).alias("relationships"))
+    nth = F.row_number().over(Window.partitionBy("file_path").orderBy("event_id")).cast("long") - 1
+    rows = e.withColumn("file_path", hour).withColumn("nth", nth)
+    return rows.select("file_path", F.col("file_path").alias("document_id"), (F.col("nth") * 2).alias("place"), F.array(user, entity(kind, "Event", bag(name=F.col("event_type")))).alias("entities"), F.array(did).alias("relationships"))

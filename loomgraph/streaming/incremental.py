@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from .. import schemas
 from ..operators import extraction, loading, resolution
-from ..operators.iteration import checkpoint, numbered
+from ..operators.iteration import checkpoint, free, numbered
 from ..sources import documents
 
 #: Tables with their keys and schemas. Files are written last: their versions are the ones that are complete.
@@ -110,8 +110,10 @@ def changes(last: dict[str, DataFrame], results: DataFrame) -> dict[str, DataFra
 
     Entities known before are leaders that come before all new records, which follow them or become leaders themselves,
     as if all had come at once. Each file is a document of its own, also if files share a document_id or have none. A
-    file without results changes nothing but the list of files.
+    file without results changes nothing but the list of files. A file's lists may be dealt over several rows with a
+    `place` each (documents.records).
     """
+    free(results.sparkSession)  # what the batch before has left
     read = last["files"].count()
     files = numbered(results, "file_path", "doc_ord").withColumn("doc_ord", F.col("doc_ord") + read)
     found = checkpoint(results.withColumn("document_id", F.coalesce("document_id", F.lit("unknown"))).join(files, "file_path"))
@@ -119,6 +121,7 @@ def changes(last: dict[str, DataFrame], results: DataFrame) -> dict[str, DataFra
     records = resolution.with_names(extraction.merge_entities(entities.withColumn("type", F.coalesce("type", F.lit("")))))
     known = last["state"].select(F.col("entity_id").alias("id"), F.col("entity_type").alias("type"), "name", "seq")
     assigned = checkpoint(resolution.assign(records, known=known))
+    free(results.sparkSession)
     state = checkpoint(_merged_state(last["state"], assigned))
     nodes = loading.nodes_of(state)
     places = last["state"].select("entity_id", "first_doc_ord").join(state.select("entity_id"), "entity_id", "left_anti").unionByName(state.select("entity_id", "first_doc_ord"))

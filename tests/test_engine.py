@@ -108,6 +108,39 @@ def test_later_files_of_a_batch_win(spark, tmp_path):
     assert json.loads(row.p) == {"name": "Alpha", "k": "New", "only": "first"} and row.sources == ["one", "two"]
 
 
+def test_no_row_grows_with_its_file(spark, tmp_path):
+    """Files of events are dealt over rows, whose records are in the order of the events."""
+    from datetime import datetime
+
+    from loomgraph.sources import documents, tables
+
+    ids = random.Random(3).sample(range(1000), 300)
+    rows = [(i, datetime(2024, 1, 1, 5, i % 60), i % 7, "AB"[i % 2], float(i), "{}") for i in ids]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    found = tables.event_files(spark, str(tmp_path))
+    assert {r[0] for r in found.select("file_path").distinct().collect()} == {"events_2024010105"}
+    assert found.agg(F.max(F.size("relationships"))).first()[0] == 1 and found.agg(F.max(F.size("entities"))).first()[0] == 2
+    entities, relationships = documents.records(found.withColumn("doc_ord", F.lit(2).cast("long")))
+    got = [r.id for r in entities.orderBy("seq").collect()]
+    assert got == [x for i in sorted(ids) for x in (f"person_{i % 7}", "event_" + "AB"[i % 2])]
+    assert [r.e for r in relationships.select("seq", F.expr("variant_get(properties['event_id'], '$', 'long')").alias("e")).orderBy("seq").collect()] == sorted(ids)
+    assert entities.select("seq").distinct().count() == 600 and entities.agg(F.min("seq")).first()[0] == 2 << 40
+
+
+def test_records_with_a_leader_of_their_id_are_not_compared_by_name(spark, monkeypatch):
+    names = ["acme steel works", "acme steel work", "wipro", "tata motors", "infosys"]
+    rows = [("d", 0, 10 + i, f"id{i}", "A", n) for i, n in enumerate(names)] + [("d", 0, 20 + i, f"id{i}", "A", n) for i, n in enumerate(names)]
+    records = spark.createDataFrame(rows, "document_id string, doc_ord long, seq long, id string, type string, name string")
+    asked, similar = [], resolution.similar
+    monkeypatch.setattr(resolution, "similar", lambda left, *more: asked.append([r.name for r in left.select("name").collect()]) or similar(left, *more))
+    got = [r.canonical_id for r in resolution.assign(records).orderBy("seq").collect()]
+    assert got == ["id0", "id0", "id2", "id3", "id4"] * 2 and asked[-1] == ["acme steel work"]
+    known = records.filter("seq < 20 AND id <> 'id1'").select("id", "type", "name", "seq")
+    asked.clear()
+    later = resolution.assign(records.filter("seq >= 20 AND id <> 'id1'"), known=known)
+    assert [r.canonical_id for r in later.orderBy("seq").collect()] == ["id0", "id2", "id3", "id4"] and asked == [[]]
+
+
 def test_guard_knows_tables_and_functions(spark):
     nodes = spark.createDataFrame([("a", "T", "A")], "entity_id string, entity_type string, name string")
     g = GraphSession(spark, nodes, spark.createDataFrame([("a", "R", "a")], "src string, type string, tgt string"), prefix="g_")
